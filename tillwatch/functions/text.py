@@ -1,131 +1,146 @@
-"""Scalar text, number and id expressions; all JVM-side columns."""
+"""Scalar text, number and id expressions as Spark SQL fragments.
+
+Every helper takes SQL expressions and returns one, so a whole projection is
+handed to the JVM in a single `selectExpr` instead of one call per operator.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from string import Formatter
 
 # fixed values: text spellings that mean "no value"
 MISSING_TEXT = ("", "na", "n/a", "none", "null", "nan")
 MISSING_TEXT_RAW = ("", "na", "n/a", "none", "nan")
 
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def lit(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def text_list(values) -> str:
+    return ", ".join(lit(v) for v in values)
 
 
-def clean_text(c: Column | str) -> Column:
+def say(template: str, **expressions: str) -> str:
+    """Text from a template: '{column} fell in {month}', fields may be given as expressions."""
+    parts = []
+    for literal, field, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(lit(literal))
+        if field is not None:
+            value = expressions.get(field, field)
+            parts.append(f"coalesce(CAST({value} AS STRING), '')")
+    return f"concat({', '.join(parts)})"
+
+
+def clean_text(x: str) -> str:
     """NULL becomes the empty string; runs of whitespace become one blank."""
-    return F.trim(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"\s+", " "))
+    return rf"trim(regexp_replace(coalesce(CAST({x} AS STRING), ''), '\\s+', ' '))"
 
 
-def clean_text_or_nan(c: Column | str) -> Column:
+def clean_text_or_nan(x: str) -> str:
     """Like clean_text, and the text 'nan' also counts as missing."""
-    text = clean_text(c)
-    return F.when(F.lower(text) == "nan", "").otherwise(text)
+    text = clean_text(x)
+    return f"CASE WHEN lower({text}) = 'nan' THEN '' ELSE {text} END"
 
 
-def safe_identifier(c: Column | str) -> Column:
+def safe_identifier(x: str) -> str:
     """Upper-case slug: anything outside A-Z and 0-9 becomes one dash."""
-    return F.trim(F.regexp_replace(F.upper(clean_text(c)), "[^A-Z0-9]+", "-"), F.lit("-"))
+    return f"trim(BOTH '-' FROM regexp_replace(upper({clean_text(x)}), '[^A-Z0-9]+', '-'))"
 
 
-def is_missing(c: Column | str, spellings: tuple[str, ...] = MISSING_TEXT) -> Column:
-    c = col(c).cast("string")
-    return c.isNull() | F.lower(F.trim(c)).isin(*spellings)
+def is_missing(x: str, spellings: tuple[str, ...] = MISSING_TEXT) -> str:
+    return f"({x} IS NULL OR lower(trim(CAST({x} AS STRING))) IN ({text_list(spellings)}))"
 
 
-def fixed(c: Column | str, digits: int = 2) -> Column:
+def fixed(x: str, digits: int = 2) -> str:
     """Plain text of a number with a fixed number of digits (half-even on the exact double)."""
     pattern = "0" if digits == 0 else "0." + "0" * digits
-    return F.call_function("format_number", col(c).cast("double"), F.lit(pattern))
+    return f"format_number(CAST({x} AS DOUBLE), '{pattern}')"
 
 
-def grouped(c: Column | str) -> Column:
+def grouped(x: str) -> str:
     """Two digits with thousands separators."""
-    return F.format_number(col(c).cast("double"), 2)
+    return f"format_number(CAST({x} AS DOUBLE), 2)"
+
 
+def currency(x: str) -> str:
+    return f"coalesce(concat('₹', {grouped(x)}), 'Not available')"
 
-def currency(c: Column | str) -> Column:
-    return F.coalesce(F.concat(F.lit("₹"), grouped(c)), F.lit("Not available"))
 
+def zero(x: str) -> str:
+    """Number as double, missing as zero."""
+    return f"coalesce(CAST({x} AS DOUBLE), 0D)"
 
-def currency0(c: Column | str) -> Column:
+
+def currency0(x: str) -> str:
     """Currency text where a missing amount shows as zero."""
-    return currency(F.coalesce(col(c).cast("double"), F.lit(0.0)))
+    return currency(zero(x))
 
 
-def percent(c: Column | str) -> Column:
-    return F.coalesce(F.concat(fixed(c), F.lit("%")), F.lit("Not available"))
+def percent(x: str) -> str:
+    return f"coalesce(concat({fixed(x)}, '%'), 'Not available')"
 
 
-def count_text(c: Column | str) -> Column:
-    return F.format_number(F.coalesce(col(c).cast("long"), F.lit(0)), 0)
+def count_text(x: str) -> str:
+    return f"format_number(coalesce(CAST({x} AS BIGINT), 0), 0)"
 
 
-def round2(c: Column | str) -> Column:
+def round2(x: str) -> str:
     """Round a double to two digits, half-even on its exact binary value."""
-    return fixed(c).cast("double")
+    return f"CAST({fixed(x)} AS DOUBLE)"
 
 
-def evidence(*items: tuple[str, Column]) -> Column:
+def evidence(items: dict[str, str]) -> str:
     """'Label: value; Label: value' in the given order, leaving out missing values."""
     parts = [
-        F.when(clean_text(value) != "", F.concat(F.lit(f"{label}: "), value.cast("string")))
-        for label, value in items
+        f"CASE WHEN {clean_text(value)} <> '' THEN concat({lit(label + ': ')}, CAST({value} AS STRING)) END"
+        for label, value in items.items()
     ]
-    return F.concat_ws("; ", *parts)
-
+    return f"concat_ws('; ', {', '.join(parts)})"
 
-def sentence(*parts: Column | str) -> Column:
-    """Concatenate literals (str) and columns; NULL columns count as empty text."""
-    return F.concat(
-        *[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts]
-    )
 
+def year_month(date: str) -> str:
+    return f"date_format({date}, 'yyyy-MM')"
 
-def year_month(date: Column | str) -> Column:
-    return F.date_format(col(date), "yyyy-MM")
 
-
-def year_month_in_text(c: Column | str) -> Column:
+def year_month_in_text(x: str) -> str:
     """First YYYY-MM with a valid month inside an id; NULL when there is none."""
-    return F.nullif(F.regexp_extract(clean_text(c), r"\d{4}-(0[1-9]|1[0-2])", 0), F.lit(""))
+    return rf"nullif(regexp_extract({clean_text(x)}, '\\d{{4}}-(0[1-9]|1[0-2])', 0), '')"
 
 
-def iso_date(c: Column | str) -> Column:
-    text = clean_text(c)
-    return F.when(
-        text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d")
-    )
+def iso_date(x: str) -> str:
+    return (rf"CASE WHEN {clean_text(x)} RLIKE '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$' "
+            f"THEN CAST(try_to_timestamp({clean_text(x)}, 'yyyy-M-d') AS DATE) END")
 
 
-def days_between(start: Column | str, end: Column | str) -> Column:
-    return F.datediff(iso_date(end), iso_date(start))
+def days_between(start: str, end: str) -> str:
+    return f"datediff({iso_date(end)}, {iso_date(start)})"
 
 
-def number_in(c: Column | str, pattern: str) -> Column:
+def number_in(x: str, pattern: str) -> str:
     """First captured number of a case-insensitive pattern, separators removed."""
-    raw = F.regexp_extract(clean_text(c), "(?i)" + pattern, 1)
-    return F.nullif(F.replace(raw, F.lit(","), F.lit("")), F.lit("")).try_cast("double")
+    raw = f"regexp_extract({clean_text(x)}, {lit('(?i)' + pattern)}, 1)"
+    return f"try_cast(nullif(replace({raw}, ',', ''), '') AS DOUBLE)"
 
 
-def entity_code(explicit: Column | str, entity_type: Column | str, entity_id: Column | str,
-                wanted_type: str, letter: str) -> Column:
+def entity_code(explicit: str, wanted_type: str, letter: str,
+                entity_type: str = "entity_type", entity_id: str = "entity_id") -> str:
     """Explicit id, else the entity id of a matching entity, else a three-digit code in it."""
-    own = clean_text_or_nan(explicit)
-    entity = clean_text_or_nan(entity_id)
+    own, entity = clean_text_or_nan(explicit), clean_text_or_nan(entity_id)
     return (
-        F.when(own != "", own)
-        .when(clean_text_or_nan(entity_type) == wanted_type, entity)
-        .otherwise(F.regexp_extract(entity, rf"\b{letter}\d{{3}}\b", 0))
+        f"CASE WHEN {own} <> '' THEN {own} "
+        f"WHEN {clean_text_or_nan(entity_type)} = {lit(wanted_type)} THEN {entity} "
+        rf"ELSE regexp_extract({entity}, '\\b{letter}\\d{{3}}\\b', 0) END"
     )
 
 
-def severity_rank(c: Column | str) -> Column:
-    c = col(c)
-    return F.when(c == "High", 1).when(c == "Medium", 2).when(c == "Low", 3).otherwise(4)
+def severity_rank(x: str = "severity") -> str:
+    return f"CASE {x} WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END"
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """Double ratio, NULL when the denominator is zero or missing."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+def level(x: str, t) -> str:
+    """Priority level of a score."""
+    return (f"CASE WHEN {x} >= {t.priority_high} THEN 'High' "
+            f"WHEN {x} >= {t.priority_medium} THEN 'Medium' ELSE 'Low' END")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from tillwatch.functions.text import clean_text, fixed, grouped, round2, sentence
-from tillwatch.operators.findings import now_text
+from tillwatch.functions.text import clean_text, fixed, grouped, level, round2, say, zero
+from tillwatch.operators.findings import stamp
 from tillwatch.operators.templates import (
-    average_of, at_least_average, complaint_counts, decline_percent, exact, latest_finance,
-    month_over_month, monthly_totals, ratio_to_average, with_averages,
+    COMPLAINT_COUNTS, aggregates, at_least_average, average_of, decline_percent, exact,
+    latest_finance, month_over_month, monthly_totals, order_by, ratio_to_average, with_averages,
 )
 from tillwatch.operators.vendor_finance import vendor_snapshot
 from tillwatch.thresholds import DEFAULTS, Thresholds
@@ -19,159 +19,106 @@ SCORE_COLUMNS = (
 )
 
 
-def priority_of(score: Column, t: Thresholds = DEFAULTS) -> Column:
-    return (
-        F.when(score >= t.priority_high, "High").when(score >= t.priority_medium, "Medium").otherwise("Low")
-    )
-
-
-def _issue(rows: DataFrame, score: Column, t: Thresholds, detected_at: str | None,
-           **values: Column | str) -> DataFrame:
-    scored = rows.withColumn("_score", score)
-    order = ["issue_id", "issue_type", "business_area", "priority", "priority_score", "entity_type",
-             "entity_id", "issue_title", "issue_description", "evidence", "status",
-             "detection_source", "detected_at"]
-    values |= {
-        "priority": priority_of(F.col("_score"), t), "priority_score": round2("_score"),
-        "status": "New", "detection_source": "Rule-Based Analytics Engine",
-        "detected_at": F.lit(detected_at) if detected_at else now_text(),
-    }
-    return scored.select(
-        *[(F.lit(values[c]) if isinstance(values[c], str) else values[c]).alias(c) for c in order]
+def _issue(rows: DataFrame, score: str, t: Thresholds, detected_at: str | None, *, issue_id: str,
+           issue_type: str, business_area: str, entity_type: str, entity_id: str, title: str,
+           description: str, evidence: str) -> DataFrame:
+    return rows.selectExpr("*", f"{score} AS score").selectExpr(
+        f"{issue_id} AS issue_id", f"'{issue_type}' AS issue_type", f"'{business_area}' AS business_area",
+        f"{level('score', t)} AS priority", f"{round2('score')} AS priority_score",
+        f"'{entity_type}' AS entity_type", f"{entity_id} AS entity_id", f"{title} AS issue_title",
+        f"{description} AS issue_description", f"{evidence} AS evidence", "'New' AS status",
+        "'Rule-Based Analytics Engine' AS detection_source", f"{stamp(detected_at)} AS detected_at",
     )
 
 
-def _zero(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-
-
-def _extra(condition: Column, points: float) -> Column:
-    return F.when(condition, F.lit(float(points))).otherwise(F.lit(0.0))
-
-
-def _least(value: Column, cap: float) -> Column:
-    return F.least(value, F.lit(float(cap)))
-
-
 def financial_risk(finance: DataFrame, t: Thresholds = DEFAULTS, detected_at: str | None = None) -> DataFrame:
-    target, profit = _zero("target_achievement_percent"), _zero("operating_profit")
-    low = F.col("target_achievement_percent") < exact(t.low_target_percent)
-    loss = F.col("operating_profit") < 0
-    rows = latest_finance(finance).where((F.col("risk_status") == "High Risk") | low | loss)
-    score = _least(F.lit(82.0) + _extra(target < t.low_target_percent, 8) + _extra(profit < 0, 10), 100)
+    low = f"target_achievement_percent < {exact(t.low_target_percent)}"
+    rows = latest_finance(finance).where(f"risk_status = 'High Risk' OR {low} OR operating_profit < 0")
+    target, profit = zero("target_achievement_percent"), zero("operating_profit")
     return _issue(
-        rows, score, t, detected_at,
-        issue_id=sentence("FIN-", F.col("store_id"), "-", F.col("month")),
-        issue_type="Financial Risk", business_area="Finance", entity_type="Store",
-        entity_id=F.col("store_id"),
-        issue_title=sentence("High financial risk at ", F.col("store_name")),
-        issue_description=sentence(F.col("store_name"), " has a high financial risk in ", F.col("month"),
-                                   ". The store achieved only ", fixed(target),
-                                   "% of its monthly sales target."),
-        evidence=sentence("Revenue: ", grouped(_zero("total_revenue")), "; Operating Profit: ",
-                          grouped(profit), "; Target Achievement: ", fixed(target),
-                          "%; Risk Status: ", F.col("risk_status")),
+        rows, f"least(82D + CASE WHEN {target} < {t.low_target_percent} THEN 8D ELSE 0D END "
+              f"+ CASE WHEN {profit} < 0 THEN 10D ELSE 0D END, 100D)", t, detected_at,
+        issue_id=say("FIN-{store_id}-{month}"), issue_type="Financial Risk", business_area="Finance",
+        entity_type="Store", entity_id="store_id", title=say("High financial risk at {store_name}"),
+        description=say("{store_name} has a high financial risk in {month}. The store achieved only {pct}% "
+                        "of its monthly sales target.", pct=fixed(target)),
+        evidence=say("Revenue: {revenue}; Operating Profit: {profit}; Target Achievement: {pct}%; Risk Status: {risk_status}",
+                     revenue=grouped(zero("total_revenue")), profit=grouped(profit), pct=fixed(target)),
     )
 
 
 def sales_decline(sales: DataFrame, t: Thresholds = DEFAULTS, as_of_month: str | None = None,
                   detected_at: str | None = None) -> DataFrame:
-    keys = ["store_id", "store_name"]
-    monthly = monthly_totals(sales, keys, {"sales": F.sum("total_sales")}, (), as_of_month)
+    monthly = monthly_totals(sales, ["store_id", "store_name"], {"sales": "sum(total_sales)"}, (), as_of_month)
     rows = month_over_month(monthly, ["store_id"], ["sales"]).where(
-        F.col("sales") * 100 < F.col("previous_sales") * 70
-    ).withColumn("decline", decline_percent("sales", "previous_sales"))
+        "sales * 100 < previous_sales * 70"
+    ).selectExpr("*", f"{decline_percent('sales', 'previous_sales')} AS decline")
+    texts = dict(pct=fixed("decline"), now=grouped("sales"), before=grouped("previous_sales"))
     return _issue(
-        rows, _least(F.col("decline") * 0.70 + 70, 95), t, detected_at,
-        issue_id=sentence("SALES-", F.col("store_id"), "-", F.col("month")),
-        issue_type="Sales Decline", business_area="Sales", entity_type="Store",
-        entity_id=F.col("store_id"),
-        issue_title=sentence("Major sales decline at ", F.col("store_name")),
-        issue_description=sentence(F.col("store_name"), " recorded a ", fixed("decline"),
-                                   "% sales decline in ", F.col("month"),
-                                   " compared with the previous month."),
-        evidence=sentence("Current Month Sales: ", grouped("sales"), "; Previous Month Sales: ",
-                          grouped("previous_sales"), "; Sales Decline: ", fixed("decline"), "%"),
+        rows, "least(70D + decline * 0.70D, 95D)", t, detected_at, issue_id=say("SALES-{store_id}-{month}"),
+        issue_type="Sales Decline", business_area="Sales", entity_type="Store", entity_id="store_id",
+        title=say("Major sales decline at {store_name}"),
+        description=say("{store_name} recorded a {pct}% sales decline in {month} compared with the previous month.", **texts),
+        evidence=say("Current Month Sales: {now}; Previous Month Sales: {before}; Sales Decline: {pct}%", **texts),
     )
 
 
 def critical_inventory(snapshot: DataFrame, t: Thresholds = DEFAULTS,
                        detected_at: str | None = None) -> DataFrame:
-    ratio = F.coalesce("stock_ratio", F.lit(1.0))
-    complaints, high = F.col("related_complaints"), F.col("high_severity_complaints")
-    rows = snapshot.where(
-        (F.col("stock_status") == "Low Stock")
-        & ((ratio <= t.stockout_ratio)
-           | ((complaints >= t.inventory_complaints) & (high >= t.inventory_high_complaints)))
-    )
-    score = _least(
-        F.lit(45.0) + F.greatest(F.lit(0.0), (F.lit(0.80) - ratio) * 20) + _least(complaints * 0.20, 12)
-        + _least(high * 0.75, 12) + _extra(ratio <= t.severe_stock_ratio, 7), 90)
-    entity = sentence(F.col("store_id"), "-", F.col("product_id"))
+    rows = snapshot.selectExpr("*", "coalesce(stock_ratio, 1D) AS ratio").where(
+        f"stock_status = 'Low Stock' AND (ratio <= {t.stockout_ratio} OR (related_complaints >= "
+        f"{t.inventory_complaints} AND high_severity_complaints >= {t.inventory_high_complaints}))")
+    score = ("least(45D + greatest(0D, (0.80D - ratio) * 20) + least(related_complaints * 0.20D, 12D) "
+             "+ least(high_severity_complaints * 0.75D, 12D) "
+             f"+ CASE WHEN ratio <= {t.severe_stock_ratio} THEN 7D ELSE 0D END, 90D)")
     return _issue(
-        rows, score, t, detected_at,
-        issue_id=sentence("INV-", entity, "-", F.col("date")),
+        rows, score, t, detected_at, issue_id=say("INV-{store_id}-{product_id}-{date}"),
         issue_type="Inventory Stock Risk", business_area="Operations", entity_type="Store Product",
-        entity_id=entity,
-        issue_title=sentence("Low-stock risk: ", F.col("product_name"), " at ", F.col("store_name")),
-        issue_description=sentence(
-            F.col("product_name"), " has a low-stock operational risk at ", F.col("store_name"),
-            ". The issue may affect customer service because the product is linked with customer complaints."),
-        evidence=sentence("Current Stock: ", fixed("current_stock", 0), "; Reorder Level: ",
-                          fixed("reorder_level", 0), "; Stock Ratio: ", fixed(ratio * 100),
-                          "%; Related Complaints: ", complaints, "; High-Severity Complaints: ", high),
+        entity_id=say("{store_id}-{product_id}"),
+        title=say("Low-stock risk: {product_name} at {store_name}"),
+        description=say("{product_name} has a low-stock operational risk at {store_name}. The issue may affect "
+                        "customer service because the product is linked with customer complaints."),
+        evidence=say("Current Stock: {stock}; Reorder Level: {reorder}; Stock Ratio: {pct}%; Related Complaints: "
+                     "{related_complaints}; High-Severity Complaints: {high_severity_complaints}",
+                     stock=fixed("current_stock", 0), reorder=fixed("reorder_level", 0), pct=fixed("ratio * 100")),
     )
 
 
 def complaint_hotspots(complaints: DataFrame, t: Thresholds = DEFAULTS,
                        detected_at: str | None = None) -> DataFrame:
     measures = ["total_complaints", "high_severity_complaints", "unresolved_complaints"]
-    summary = complaints.groupBy("store_id", "store_name").agg(
-        *[c.alias(n) for n, c in complaint_counts().items()]
-    )
-    k = t.complaint_outlier_multiplier
+    summary = complaints.groupBy("store_id", "store_name").agg(*aggregates(COMPLAINT_COUNTS))
     rows = with_averages(summary, measures).where(
-        at_least_average(measures[0], k) | at_least_average(measures[1], k) | at_least_average(measures[2], k)
-    )
-
-    def over(measure: str, weight: float, cap: float) -> Column:
-        return _least(F.greatest(ratio_to_average(measure) - 1, F.lit(0.0)) * weight, cap)
-
-    score = _least(F.lit(65.0) + over(measures[0], 20, 15) + over(measures[1], 15, 10)
-                   + over(measures[2], 10, 5), 95)
+        " OR ".join(at_least_average(m, t.complaint_outlier_multiplier) for m in measures))
+    parts = [f"least(greatest({ratio_to_average(m)} - 1, 0D) * {weight}, {cap}D)"
+             for m, weight, cap in zip(measures, (20, 15, 10), (15, 10, 5))]
     return _issue(
-        rows, score, t, detected_at,
-        issue_id=sentence("COMP-", F.col("store_id")), issue_type="Customer Complaint Hotspot",
-        business_area="Customer Support", entity_type="Store", entity_id=F.col("store_id"),
-        issue_title=sentence("Customer complaint hotspot at ", F.col("store_name")),
-        issue_description=sentence(F.col("store_name"), " has a significantly higher complaint burden "
-                                   "than the average SmartMart store."),
-        evidence=sentence("Total Complaints: ", F.col(measures[0]), "; High-Severity Complaints: ",
-                          F.col(measures[1]), "; Open or In-Progress Complaints: ", F.col(measures[2]),
-                          "; Average Store Complaints: ", fixed(average_of(measures[0]))),
+        rows, f"least(65D + {' + '.join(parts)}, 95D)", t, detected_at, issue_id=say("COMP-{store_id}"),
+        issue_type="Customer Complaint Hotspot", business_area="Customer Support", entity_type="Store",
+        entity_id="store_id", title=say("Customer complaint hotspot at {store_name}"),
+        description=say("{store_name} has a significantly higher complaint burden than the average SmartMart store."),
+        evidence=say("Total Complaints: {total_complaints}; High-Severity Complaints: {high_severity_complaints}; "
+                     "Open or In-Progress Complaints: {unresolved_complaints}; Average Store Complaints: {average}",
+                     average=fixed(average_of("total_complaints"))),
     )
 
 
 def vendor_risk(deliveries: DataFrame, t: Thresholds = DEFAULTS, detected_at: str | None = None) -> DataFrame:
-    delay, longest, quality = _zero("average_delay_days"), _zero("maximum_delay_days"), _zero("average_quality_rating")
-    delayed = F.col("delayed_deliveries")
+    delay, longest, quality = zero("average_delay_days"), zero("maximum_delay_days"), zero("average_quality_rating")
     rows = vendor_snapshot(deliveries).where(
-        (F.col("average_delay_days") >= t.vendor_average_delay)
-        | (delayed >= t.vendor_delayed_deliveries)
-        | (F.col("average_quality_rating") < t.vendor_low_quality)
-    )
-    score = _least(F.lit(55.0) + _least(delay * 4, 20) + _least(longest * 1.5, 15)
-                   + _least(delayed * F.lit(2.0), 10) + _extra(quality < t.vendor_low_quality, 8), 100)
+        f"average_delay_days >= {t.vendor_average_delay} OR delayed_deliveries >= {t.vendor_delayed_deliveries} "
+        f"OR average_quality_rating < {t.vendor_low_quality}")
+    score = (f"least(55D + least({delay} * 4, 20D) + least({longest} * 1.5D, 15D) + least(delayed_deliveries * 2D, 10D) "
+             f"+ CASE WHEN {quality} < {t.vendor_low_quality} THEN 8D ELSE 0D END, 100D)")
     return _issue(
-        rows, score, t, detected_at,
-        issue_id=sentence("VENDOR-", F.col("vendor_id")), issue_type="Vendor Performance Risk",
-        business_area="Procurement", entity_type="Vendor", entity_id=F.col("vendor_id"),
-        issue_title=sentence("Vendor delivery risk: ", F.col("vendor_name")),
-        issue_description=sentence(F.col("vendor_name"), " shows delivery-performance risk due to "
-                                   "recurring delays and/or below-expected quality ratings."),
-        evidence=sentence("Delivery Count: ", F.col("delivery_count"), "; Average Delay: ", fixed(delay),
-                          " days; Maximum Delay: ", fixed(longest, 0), " days; Delayed Deliveries: ",
-                          delayed, "; Average Quality Rating: ", fixed(quality)),
+        rows, score, t, detected_at, issue_id=say("VENDOR-{vendor_id}"), issue_type="Vendor Performance Risk",
+        business_area="Procurement", entity_type="Vendor", entity_id="vendor_id",
+        title=say("Vendor delivery risk: {vendor_name}"),
+        description=say("{vendor_name} shows delivery-performance risk due to recurring delays and/or "
+                        "below-expected quality ratings."),
+        evidence=say("Delivery Count: {delivery_count}; Average Delay: {delay} days; Maximum Delay: {longest} days; "
+                     "Delayed Deliveries: {delayed_deliveries}; Average Quality Rating: {quality}",
+                     delay=fixed(delay), longest=fixed(longest, 0), quality=fixed(quality)),
     )
 
 
@@ -188,31 +135,25 @@ def combined_issues(finance: DataFrame, sales: DataFrame, snapshot: DataFrame, c
 
 
 def order_issues(issues: DataFrame) -> DataFrame:
-    rank = F.when(F.col("priority") == "High", 1).when(F.col("priority") == "Medium", 2).otherwise(3)
-    return issues.orderBy(rank, F.col("priority_score").desc_nulls_last(), "issue_id")
+    rank = "CASE priority WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END"
+    return order_by(issues, rank, "priority_score DESC", "issue_id")
 
 
 def priority_summary(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("priority").agg(F.count(F.lit(1)).alias("issue_count"))
+    return issues.groupBy("priority").agg(*aggregates({"issue_count": "count(*)"}))
 
 
-def issue_record(issues: DataFrame) -> DataFrame:
+def issue_record(issues: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """Extended record: sub-scores stay NULL unless the input has them; texts are normalised."""
-    def text(name: str, source: str) -> Column:
-        return clean_text(source).alias(name)
-
-    def score(name: str) -> Column:
-        return (F.col(name).cast("double") if name in issues.columns else F.lit(None).cast("double")).alias(name)
-
-    store = F.when(F.col("entity_type").startswith("Store"), F.split("entity_id", "-")[0])
-    product = F.when(F.col("entity_type") == "Store Product", F.split("entity_id", "-")[1])
-    return issues.select(
-        text("issue_id", "issue_id"), text("issue_type", "issue_type"),
-        text("department", "business_area"), text("title", "issue_title"),
-        text("description", "issue_description"), priority_of(F.col("priority_score")).alias("priority"),
-        round2(_zero("priority_score")).alias("priority_score"), *[score(c) for c in SCORE_COLUMNS],
-        store.alias("affected_store_id"), product.alias("affected_product_id"),
-        text("entity_type", "entity_type"), text("entity_id", "entity_id"), text("evidence", "evidence"),
-        text("status", "status"), text("detection_source", "detection_source"),
-        F.substring("detected_at", 1, 10).alias("detected_date"), F.col("detected_at"),
+    scores = [f"CAST({c if c in issues.columns else 'NULL'} AS DOUBLE) AS {c}" for c in SCORE_COLUMNS]
+    return issues.selectExpr(
+        *[f"{clean_text(source)} AS {name}" for name, source in (
+            ("issue_id", "issue_id"), ("issue_type", "issue_type"), ("department", "business_area"),
+            ("title", "issue_title"), ("description", "issue_description"))],
+        f"{level('priority_score', t)} AS priority", f"{round2(zero('priority_score'))} AS priority_score",
+        *scores,
+        "CASE WHEN entity_type LIKE 'Store%' THEN split_part(entity_id, '-', 1) END AS affected_store_id",
+        "CASE WHEN entity_type = 'Store Product' THEN split_part(entity_id, '-', 2) END AS affected_product_id",
+        *[f"{clean_text(c)} AS {c}" for c in ("entity_type", "entity_id", "evidence", "status", "detection_source")],
+        "substring(detected_at, 1, 10) AS detected_date", "detected_at",
     )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tillwatch.functions.text import clean_text, fixed, safe_identifier, sentence, severity_rank
+from tillwatch.functions.text import clean_text, fixed, safe_identifier, say, severity_rank
 from tillwatch.operators import findings as fd
 from tillwatch.operators.templates import (
-    at_least_average, average_of, complaint_counts, exact, merge_labels, month_over_month,
-    monthly_totals, ratio_to_average, with_averages,
+    COMPLAINT_COUNTS, at_least_average, average_of, exact, merge_labels, month_over_month,
+    monthly_totals, order_by, ratio_to_average, with_averages,
 )
 from tillwatch.thresholds import DEFAULTS, Thresholds
 
@@ -16,187 +16,143 @@ MEASURES = ["total_complaints", "high_severity_complaints"]
 
 
 def entity_counts(complaints: DataFrame, key: str, labels: list[str]) -> DataFrame:
-    return merge_labels(complaints, [key], labels, complaint_counts(), [key])
+    return merge_labels(complaints, [key], labels, COMPLAINT_COUNTS)
 
 
 def outliers(summary: DataFrame, multiplier: float, t: Thresholds) -> DataFrame:
     """Entities whose total or High count reaches multiplier times the average entity."""
-    rows = with_averages(summary, MEASURES).where(
-        at_least_average("total_complaints", multiplier)
-        | at_least_average("high_severity_complaints", multiplier)
-    )
-    severe = (ratio_to_average("total_complaints") >= t.severe_outlier_ratio) | (
-        ratio_to_average("high_severity_complaints") >= t.severe_outlier_ratio
-    )
-    return rows.withColumns({
-        "average": average_of("total_complaints"),
-        "outlier_severity": F.when(severe, "High").otherwise("Medium"),
-    })
-
-
-def _volume_values(label: str) -> dict[str, Column | str]:
-    return dict(
-        business_area="Customer Support", severity=F.col("outlier_severity"),
-        total_complaints=F.col("total_complaints"),
-        high_severity_complaints=F.col("high_severity_complaints"),
-        unresolved_complaints=F.col("unresolved_complaints"),
-        benchmark_value=F.col("average"), benchmark_label=label,
+    ratio = t.severe_outlier_ratio
+    severe = " OR ".join(f"{ratio_to_average(m)} >= {ratio}" for m in MEASURES)
+    return with_averages(summary, MEASURES).where(
+        " OR ".join(at_least_average(m, multiplier) for m in MEASURES)
+    ).selectExpr(
+        "*", f"{average_of('total_complaints')} AS average",
+        f"CASE WHEN {severe} THEN 'High' ELSE 'Medium' END AS outlier_severity",
     )
 
 
-def _volume_evidence(label: str, *more: Column | str) -> Column:
-    return sentence(
-        "Total Complaints: ", F.col("total_complaints"), "; High-Severity Complaints: ",
-        F.col("high_severity_complaints"), "; Open or In-Progress Complaints: ",
-        F.col("unresolved_complaints"), f"; {label}: ", fixed("average"), *more,
+def _volume(rows: DataFrame, detected_at: str | None, label: str, more_evidence: str = "''",
+            **values: str) -> DataFrame:
+    return fd.record(
+        rows, fd.COMPLAINTS, detected_at, business_area="'Customer Support'",
+        severity="outlier_severity", benchmark_value="average", benchmark_label=f"'{label}'",
+        evidence=say("Total Complaints: {total_complaints}; High-Severity Complaints: {high_severity_complaints}; "
+                     "Open or In-Progress Complaints: {unresolved_complaints}; " + label + ": {average}{more}",
+                     average=fixed("average"), more=more_evidence),
+        **fd.columns("total_complaints", "high_severity_complaints", "unresolved_complaints"), **values,
     )
 
 
 def high_complaint_products(complaints: DataFrame, t: Thresholds = DEFAULTS,
                             detected_at: str | None = None) -> DataFrame:
-    rows = outliers(entity_counts(complaints, "product_id", ["product_name"]),
-                    t.complaint_outlier_multiplier, t)
-    label = "Average Complaints per Product"
-    return fd.record(
-        rows, fd.COMPLAINTS, detected_at,
-        finding_id=sentence("HIGH-COMPLAINT-PRODUCT-", F.col("product_id")),
-        analysis_type="High Complaint Product", entity_type="Product",
-        entity_id=F.col("product_id"), entity_name=F.col("product_name"),
-        product_id=F.col("product_id"), product_name=F.col("product_name"),
-        summary=sentence(F.col("product_name"), " has an unusually high complaint volume compared "
-                         "with other products."),
-        evidence=_volume_evidence(label), **_volume_values(label),
+    rows = outliers(entity_counts(complaints, "product_id", ["product_name"]), t.complaint_outlier_multiplier, t)
+    return _volume(
+        rows, detected_at, "Average Complaints per Product",
+        finding_id=say("HIGH-COMPLAINT-PRODUCT-{product_id}"), analysis_type="'High Complaint Product'",
+        entity_type="'Product'", entity_id="product_id", entity_name="product_name",
+        summary=say("{product_name} has an unusually high complaint volume compared with other products."),
+        **fd.columns("product_id", "product_name"),
     )
 
 
 def high_complaint_stores(complaints: DataFrame, t: Thresholds = DEFAULTS,
                           detected_at: str | None = None) -> DataFrame:
-    rows = outliers(entity_counts(complaints, "store_id", ["store_name", "region"]),
-                    t.complaint_outlier_multiplier, t)
-    label = "Average Complaints per Store"
-    return fd.record(
-        rows, fd.COMPLAINTS, detected_at,
-        finding_id=sentence("HIGH-COMPLAINT-STORE-", F.col("store_id")),
-        analysis_type="High Complaint Store", entity_type="Store", entity_id=F.col("store_id"),
-        entity_name=F.col("store_name"), store_id=F.col("store_id"),
-        store_name=F.col("store_name"), region=F.col("region"),
-        summary=sentence(F.col("store_name"), " has an unusually high complaint burden compared "
-                         "with other stores."),
-        evidence=_volume_evidence(label, "; Region: ", clean_text("region")),
-        **_volume_values(label),
+    rows = outliers(entity_counts(complaints, "store_id", ["store_name", "region"]), t.complaint_outlier_multiplier, t)
+    return _volume(
+        rows, detected_at, "Average Complaints per Store", say("; Region: {x}", x=clean_text("region")),
+        finding_id=say("HIGH-COMPLAINT-STORE-{store_id}"), analysis_type="'High Complaint Store'",
+        entity_type="'Store'", entity_id="store_id", entity_name="store_name",
+        summary=say("{store_name} has an unusually high complaint burden compared with other stores."),
+        **fd.columns("store_id", "store_name", "region"),
     )
 
 
 def repeated_complaint_categories(complaints: DataFrame, t: Thresholds = DEFAULTS,
                                   detected_at: str | None = None) -> DataFrame:
-    rows = outliers(entity_counts(complaints, "complaint_type", []),
-                    t.complaint_category_multiplier, t)
-    label = "Average Complaints per Category"
+    rows = outliers(entity_counts(complaints, "complaint_type", []), t.complaint_category_multiplier, t)
     slug = safe_identifier("complaint_type")
-    return fd.record(
-        rows, fd.COMPLAINTS, detected_at,
-        finding_id=sentence("REPEATED-COMPLAINT-CATEGORY-", slug),
-        analysis_type="Repeated Complaint Category", entity_type="Complaint Category",
-        entity_id=slug, entity_name=F.col("complaint_type"), complaint_type=F.col("complaint_type"),
-        summary=sentence(F.col("complaint_type"), " is a repeatedly occurring complaint category."),
-        evidence=_volume_evidence(label), **_volume_values(label),
+    return _volume(
+        rows, detected_at, "Average Complaints per Category",
+        finding_id=say("REPEATED-COMPLAINT-CATEGORY-{slug}", slug=slug),
+        analysis_type="'Repeated Complaint Category'", entity_type="'Complaint Category'",
+        entity_id=slug, entity_name="complaint_type", complaint_type="complaint_type",
+        summary=say("{complaint_type} is a repeatedly occurring complaint category."),
     )
 
 
 def with_age(complaints: DataFrame) -> DataFrame:
     """Unresolved complaints with their age against the last complaint date of the whole table."""
-    last = complaints.select(F.max("date")).scalar()
-    return complaints.where(F.col("status").isin("Open", "In Progress")).withColumn(
-        "age", F.datediff(last, F.col("date"))
-    )
+    last = complaints.selectExpr("max(date)").scalar()
+    return complaints.where("status IN ('Open', 'In Progress')").withColumn(
+        "age", F.datediff(last, F.col("date")))
 
 
-def _case_values(t: Thresholds) -> dict[str, Column | str]:
-    return dict(
-        business_area="Customer Support",
-        severity=F.when(F.col("age") >= t.urgent_age_days, "High").otherwise("Medium"),
-        entity_type="Complaint", entity_id=F.col("complaint_id"),
-        entity_name=F.col("complaint_type"), complaint_severity=F.col("severity"),
-        complaint_status=F.col("status"), complaint_date=F.col("date"),
-        complaint_age_days=F.col("age"),
-        **{c: F.col(c) for c in ("store_id", "store_name", "product_id", "product_name", "region",
-                                 "complaint_id", "complaint_type")},
+def _case(rows: DataFrame, t: Thresholds, detected_at: str | None, evidence: str, **values: str) -> DataFrame:
+    return fd.record(
+        rows, fd.COMPLAINTS, detected_at, business_area="'Customer Support'",
+        severity=f"CASE WHEN age >= {t.urgent_age_days} THEN 'High' ELSE 'Medium' END",
+        entity_type="'Complaint'", entity_id="complaint_id", entity_name="complaint_type",
+        complaint_severity="severity", complaint_status="status", complaint_date="date",
+        complaint_age_days="age",
+        evidence=say("Complaint Date: {date}; Age Against Latest Dataset Date: {age} days; " + evidence,
+                     employee=clean_text("assigned_employee_id"), days="coalesce(resolution_time_days, 0)"),
+        **fd.columns("store_id", "store_name", "product_id", "product_name", "region",
+                     "complaint_id", "complaint_type"), **values,
     )
 
 
-def _age_text() -> Column:
-    return sentence("Complaint Date: ", F.col("date"), "; Age Against Latest Dataset Date: ",
-                    F.col("age"), " days; ")
-
-
 def open_high_severity_complaints(complaints: DataFrame, t: Thresholds = DEFAULTS,
                                   detected_at: str | None = None) -> DataFrame:
-    rows = with_age(complaints).where(F.col("severity") == "High")
-    return fd.record(
-        rows, fd.COMPLAINTS, detected_at,
-        finding_id=sentence("OPEN-HIGH-COMPLAINT-", F.col("complaint_id")),
-        analysis_type="Open High-Severity Complaint",
-        summary=sentence("A High-severity ", F.col("complaint_type"), " complaint for ",
-                         F.col("product_name"), " at ", F.col("store_name"), " remains ",
-                         F.col("status"), "."),
-        evidence=sentence(_age_text(), "Status: ", F.col("status"), "; Assigned Employee: ",
-                          clean_text("assigned_employee_id"), "; Recorded Resolution Time: ",
-                          F.coalesce("resolution_time_days", F.lit(0)), " days"),
-        **_case_values(t),
+    return _case(
+        with_age(complaints).where("severity = 'High'"), t, detected_at,
+        "Status: {status}; Assigned Employee: {employee}; Recorded Resolution Time: {days} days",
+        finding_id=say("OPEN-HIGH-COMPLAINT-{complaint_id}"),
+        analysis_type="'Open High-Severity Complaint'",
+        summary=say("A High-severity {complaint_type} complaint for {product_name} at {store_name} remains {status}."),
     )
 
 
 def unresolved_complaint_ageing(complaints: DataFrame, t: Thresholds = DEFAULTS,
                                 detected_at: str | None = None) -> DataFrame:
-    rows = with_age(complaints).where(F.col("age") >= t.unresolved_age_days)
-    return fd.record(
-        rows, fd.COMPLAINTS, detected_at,
-        finding_id=sentence("UNRESOLVED-AGEING-", F.col("complaint_id")),
-        analysis_type="Unresolved Complaint Ageing",
-        summary=sentence("A ", F.col("severity"), "-severity complaint for ", F.col("product_name"),
-                         " at ", F.col("store_name"), " has remained ", F.col("status"), " for ",
-                         F.col("age"), " days relative to the latest dataset date."),
-        evidence=sentence(_age_text(), "Complaint Severity: ", F.col("severity"), "; Status: ",
-                          F.col("status"), "; Assigned Employee: ", clean_text("assigned_employee_id")),
-        **_case_values(t),
+    return _case(
+        with_age(complaints).where(f"age >= {t.unresolved_age_days}"), t, detected_at,
+        "Complaint Severity: {severity}; Status: {status}; Assigned Employee: {employee}",
+        finding_id=say("UNRESOLVED-AGEING-{complaint_id}"),
+        analysis_type="'Unresolved Complaint Ageing'",
+        summary=say("A {severity}-severity complaint for {product_name} at {store_name} has remained {status} "
+                    "for {age} days relative to the latest dataset date."),
     )
 
 
 def monthly_complaint_growth(complaints: DataFrame, t: Thresholds = DEFAULTS,
                              as_of_month: str | None = None,
                              detected_at: str | None = None) -> DataFrame:
-    monthly = monthly_totals(complaints, ["store_id"], complaint_counts(),
-                             ["store_name", "region"], as_of_month)
-    compared = month_over_month(monthly, ["store_id"], ["total_complaints"])
-    current, previous = F.col("total_complaints"), F.col("previous_total_complaints")
-    rows = compared.where(
-        (previous > 0) & (current * 100 >= previous * exact(100 + t.complaint_growth_percent))
-    ).withColumn("growth", (current - previous).cast("double") / previous * 100)
+    monthly = monthly_totals(complaints, ["store_id"], COMPLAINT_COUNTS, ["store_name", "region"], as_of_month)
+    rows = month_over_month(monthly, ["store_id"], ["total_complaints"]).where(
+        "previous_total_complaints > 0 AND total_complaints * 100 >= "
+        f"previous_total_complaints * {exact(100 + t.complaint_growth_percent)}"
+    ).selectExpr("*", "CAST(total_complaints - previous_total_complaints AS DOUBLE) "
+                      "/ previous_total_complaints * 100 AS growth")
     return fd.record(
-        rows, fd.COMPLAINTS, detected_at,
-        finding_id=sentence("COMPLAINT-GROWTH-", F.col("store_id"), "-", F.col("month")),
-        analysis_type="Monthly Complaint Growth", business_area="Customer Support",
-        severity=F.when(F.col("growth") >= t.severe_growth_percent, "High").otherwise("Medium"),
-        entity_type="Store", entity_id=F.col("store_id"), entity_name=F.col("store_name"),
-        store_id=F.col("store_id"), store_name=F.col("store_name"), region=F.col("region"),
-        total_complaints=current, high_severity_complaints=F.col("high_severity_complaints"),
-        unresolved_complaints=F.col("unresolved_complaints"),
-        monthly_growth_percent=F.col("growth"), benchmark_value=previous,
-        benchmark_label=sentence("Previous Month Complaints (", F.col("previous_month"), ")"),
-        summary=sentence(F.col("store_name"), " recorded a ", fixed("growth"),
-                         "% increase in complaints in ", F.col("month"), " compared with ",
-                         F.col("previous_month"), "."),
-        evidence=sentence("Current Month Complaints: ", current, "; Previous Month Complaints: ",
-                          previous, "; High-Severity Complaints: ", F.col("high_severity_complaints"),
-                          "; Open or In-Progress Complaints: ", F.col("unresolved_complaints")),
+        rows, fd.COMPLAINTS, detected_at, finding_id=say("COMPLAINT-GROWTH-{store_id}-{month}"),
+        analysis_type="'Monthly Complaint Growth'", business_area="'Customer Support'",
+        severity=f"CASE WHEN growth >= {t.severe_growth_percent} THEN 'High' ELSE 'Medium' END",
+        entity_type="'Store'", entity_id="store_id", entity_name="store_name",
+        monthly_growth_percent="growth", benchmark_value="previous_total_complaints",
+        benchmark_label=say("Previous Month Complaints ({previous_month})"),
+        summary=say("{store_name} recorded a {growth}% increase in complaints in {month} compared with "
+                    "{previous_month}.", growth=fixed("growth")),
+        evidence=say("Current Month Complaints: {total_complaints}; Previous Month Complaints: "
+                     "{previous_total_complaints}; High-Severity Complaints: {high_severity_complaints}; "
+                     "Open or In-Progress Complaints: {unresolved_complaints}"),
+        **fd.columns("store_id", "store_name", "region", "total_complaints",
+                     "high_severity_complaints", "unresolved_complaints"),
     )
 
 
 def order_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(
-        severity_rank("severity"), "analysis_type", F.col("complaint_age_days").desc_nulls_last(),
-        F.col("total_complaints").desc_nulls_last(), "finding_id",
-    )
+    return order_by(findings, severity_rank(), "analysis_type", "complaint_age_days DESC",
+                    "total_complaints DESC", "finding_id")
 
 
 def complaint_findings(complaints: DataFrame, t: Thresholds = DEFAULTS,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from tillwatch.functions.text import clean_text, round2
+from tillwatch.functions.text import clean_text, lit, round2
 
 # fixed values: column lists of the four finding families ("t" text, "d" amount, "n" whole number)
 SALES = {
@@ -46,58 +46,44 @@ VENDOR_FINANCE = {
     "status": "t", "detected_at": "t",
 }
 
-_EMPTY = {
-    "t": lambda: F.lit(""),
-    "d": lambda: F.lit(None).cast("double"),
-    "n": lambda: F.lit(None).cast("bigint"),
-}
+_EMPTY = {"t": "''", "d": "CAST(NULL AS DOUBLE)", "n": "CAST(NULL AS BIGINT)"}
 _SHAPE = {
-    "t": clean_text,
+    "t": lambda x: x if x.startswith("'") else clean_text(x),
     "d": round2,
-    "n": lambda c: c.cast("bigint"),
+    "n": lambda x: f"CAST({x} AS BIGINT)",
 }
+NOW = "date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')"
 
 
-def now_text() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+def stamp(detected_at: str | None) -> str:
+    return lit(detected_at) if detected_at else NOW
 
 
-def record(
-    rows: DataFrame, family: dict[str, str], detected_at: str | None, **values: Column | str
-) -> DataFrame:
-    """Project rows to the family's schema; names not given stay empty."""
-    values.setdefault("status", F.lit("Open"))
-    values["detected_at"] = F.lit(detected_at) if detected_at else now_text()
+def record(rows: DataFrame, family: dict[str, str], detected_at: str | None, **values: str) -> DataFrame:
+    """Project rows to the family's schema (SQL expressions); names not given stay empty."""
+    values = {"status": "'Open'", **values, "detected_at": stamp(detected_at)}
     unknown = set(values) - set(family)
     if unknown:
         raise ValueError(f"not in the finding schema: {sorted(unknown)}")
-    columns = []
-    for name, kind in family.items():
-        if name in values:
-            value = values[name]
-            columns.append(_SHAPE[kind](F.lit(value) if isinstance(value, str) else value).alias(name))
-        else:
-            columns.append(_EMPTY[kind]().alias(name))
-    return rows.select(*columns)
+    return rows.selectExpr(*[
+        f"{_SHAPE[kind](values[name]) if name in values else _EMPTY[kind]} AS {name}"
+        for name, kind in family.items()
+    ])
 
 
-def rule(condition: Column, analysis_type: str, severity: Column | str, summary: Column,
-         evidence: Column, **more: Column | str) -> Column:
-    """A struct describing the finding when the condition holds, else NULL."""
-    def c(v: Column | str) -> Column:
-        return F.lit(v) if isinstance(v, str) else v
+def columns(*names: str) -> dict[str, str]:
+    """Columns passed through under their own name."""
+    return {name: name for name in names}
 
-    return F.when(
-        condition,
-        F.struct(
-            F.lit(analysis_type).alias("analysis_type"), c(severity).alias("severity"),
-            summary.alias("summary"), evidence.alias("evidence"),
-            *[c(v).alias(k) for k, v in more.items()],
-        ),
-    )
+
+def rule(condition: str, analysis_type: str, severity: str, summary: str, evidence: str, **more: str) -> str:
+    """A struct describing the finding when the condition holds, else NULL."""
+    fields = {"analysis_type": lit(analysis_type), "severity": severity, "summary": summary,
+              "evidence": evidence, **more}
+    body = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return f"CASE WHEN {condition} THEN named_struct({body}) END"
 
 
-def apply_rules(snapshot: DataFrame, *rules: Column) -> DataFrame:
+def apply_rules(snapshot: DataFrame, *rules: str) -> DataFrame:
     """One pass over a snapshot: every rule that fires on a row yields one output row."""
-    hits = F.array_compact(F.array(*rules))
-    return snapshot.withColumn("_hits", hits).select("*", F.inline("_hits")).drop("_hits")
+    return snapshot.selectExpr("*", f"inline(array_compact(array({', '.join(rules)})))")

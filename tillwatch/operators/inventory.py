@@ -2,90 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from tillwatch.functions.text import clean_text, fixed, sentence, severity_rank
+from tillwatch.functions.text import clean_text, fixed, say, severity_rank
 from tillwatch.operators import findings as fd
+from tillwatch.operators.templates import aggregates, order_by
 from tillwatch.thresholds import DEFAULTS, Thresholds
 
+COUNTS = {
+    "related_complaints": "count(*)",
+    "high_severity_complaints": "count_if(severity = 'High')",
+    "unresolved_complaints": "count_if(status IN ('Open', 'In Progress'))",
+    "out_of_stock_complaints": "count_if(complaint_type = 'Out of Stock')",
+}
+
 
 def complaint_totals(complaints: DataFrame) -> DataFrame:
     """Complaint counts per store and product, aggregated before any join."""
-    return complaints.groupBy("store_id", "product_id").agg(
-        F.count(F.lit(1)).alias("related_complaints"),
-        F.count_if(F.col("severity") == "High").alias("high_severity_complaints"),
-        F.count_if(F.col("status").isin("Open", "In Progress")).alias("unresolved_complaints"),
-        F.count_if(F.col("complaint_type") == "Out of Stock").alias("out_of_stock_complaints"),
-    )
-
-
-COUNT_COLUMNS = (
-    "related_complaints", "high_severity_complaints", "unresolved_complaints",
-    "out_of_stock_complaints",
-)
+    return complaints.groupBy("store_id", "product_id").agg(*aggregates(COUNTS))
 
 
 def snapshot(inventory: DataFrame, products: DataFrame, vendors: DataFrame,
              complaints: DataFrame) -> DataFrame:
-    counts = complaint_totals(complaints)
     joined = (
         inventory.join(products.select("product_id", "is_perishable"), "product_id")
         .join(vendors.select("vendor_id", "vendor_name"), "vendor_id", "left")
-        .join(counts, ["store_id", "product_id"], "left")
+        .join(complaint_totals(complaints), ["store_id", "product_id"], "left")
+    )
+    kept = [c for c in joined.columns if c not in COUNTS]
+    return joined.selectExpr(
+        *kept, *[f"coalesce({c}, 0) AS {c}" for c in COUNTS],
+        "datediff(expiry_date, date) AS days_to_expiry",
+        "try_divide(CAST(current_stock AS DOUBLE), CAST(reorder_level AS DOUBLE)) AS stock_ratio",
     )
-    return joined.withColumns({
-        **{c: F.coalesce(F.col(c), F.lit(0)) for c in COUNT_COLUMNS},
-        "days_to_expiry": F.datediff("expiry_date", "date"),
-        "stock_ratio": F.try_divide(F.col("current_stock").cast("double"), F.col("reorder_level").cast("double")),
-    })
-
-
-def _rules(t: Thresholds) -> dict[str, Column]:
-    product, store = F.col("product_name"), F.col("store_name")
-    status, stock = F.col("stock_status"), F.col("current_stock")
-    ratio, shown = F.col("stock_ratio"), F.coalesce("stock_ratio", F.lit(0.0))
-    complaints, high = F.col("related_complaints"), F.col("high_severity_complaints")
-    days = F.col("days_to_expiry")
-    perishable = (F.lower(F.trim("is_perishable")) == "yes") & F.col("expiry_date").isNotNull() & (stock > 0)
-
-    stock_text = sentence("Current Stock: ", fixed(stock, 0))
-    level_text = sentence(stock_text, "; Reorder Level: ", fixed("reorder_level", 0),
-                          "; Stock Ratio: ", fixed(shown * 100), "%")
-    dates = sentence("Inventory Date: ", F.col("date"), "; Expiry Date: ", F.col("expiry_date"))
-    crowded = complaints >= t.inventory_complaints
+
+
+def _rules(t: Thresholds) -> dict[str, str]:
+    shown = "coalesce(stock_ratio, 0D)"
+    perishable = "lower(trim(is_perishable)) = 'yes' AND expiry_date IS NOT NULL AND current_stock > 0"
+    crowded = f"related_complaints >= {t.inventory_complaints}"
+    texts = dict(
+        stock=fixed("current_stock", 0), reorder=fixed("reorder_level", 0), ratio=fixed(f"{shown} * 100"),
+        required=clean_text("reorder_required"), vendor=clean_text("vendor_name"),
+        status=clean_text("stock_status"), expired="-days_to_expiry",
+    )
+    level = "Current Stock: {stock}; Reorder Level: {reorder}; Stock Ratio: {ratio}%; "
+    dates = "Inventory Date: {date}; Expiry Date: {expiry_date}; "
     return {
         "Low Stock": fd.rule(
-            status == "Low Stock", "Low Stock",
-            F.when(shown <= t.severe_stock_ratio, "High").otherwise("Medium"),
-            sentence(product, " is marked as Low Stock at ", store, "."),
-            sentence(level_text, "; Reorder Required: ", clean_text("reorder_required"),
-                     "; Related Complaints: ", complaints)),
+            "stock_status = 'Low Stock'", "Low Stock",
+            f"CASE WHEN {shown} <= {t.severe_stock_ratio} THEN 'High' ELSE 'Medium' END",
+            say("{product_name} is marked as Low Stock at {store_name}."),
+            say(level + "Reorder Required: {required}; Related Complaints: {related_complaints}", **texts)),
         "Reorder Soon": fd.rule(
-            status == "Reorder Soon", "Reorder Soon", "Low",
-            sentence(product, " is approaching its reorder level at ", store, "."),
-            sentence(level_text, "; Vendor: ", clean_text("vendor_name"))),
+            "stock_status = 'Reorder Soon'", "Reorder Soon", "'Low'",
+            say("{product_name} is approaching its reorder level at {store_name}."),
+            say(level + "Vendor: {vendor}", **texts)),
         "Overstock": fd.rule(
-            status == "Overstock", "Overstock",
-            F.when(shown >= t.severe_overstock_ratio, "Medium").otherwise("Low"),
-            sentence(product, " has excess stock at ", store, "."),
-            sentence(level_text, "; Stock Status: ", clean_text(status))),
+            "stock_status = 'Overstock'", "Overstock",
+            f"CASE WHEN {shown} >= {t.severe_overstock_ratio} THEN 'Medium' ELSE 'Low' END",
+            say("{product_name} has excess stock at {store_name}."),
+            say(level + "Stock Status: {status}", **texts)),
         "Stockout Risk": fd.rule(
-            (status == "Low Stock") & ((ratio <= t.stockout_ratio) | crowded), "Stockout Risk",
-            F.when((shown <= t.severe_stock_ratio)
-                   | (crowded & (high >= t.inventory_high_complaints)), "High").otherwise("Medium"),
-            sentence(product, " has a stockout risk at ", store,
-                     " because stock is critically low and may affect customer availability."),
-            sentence(level_text, "; Related Complaints: ", complaints, "; High-Severity Complaints: ",
-                     high, "; Vendor: ", clean_text("vendor_name"))),
+            f"stock_status = 'Low Stock' AND (stock_ratio <= {t.stockout_ratio} OR {crowded})", "Stockout Risk",
+            f"CASE WHEN {shown} <= {t.severe_stock_ratio} OR ({crowded} AND high_severity_complaints "
+            f">= {t.inventory_high_complaints}) THEN 'High' ELSE 'Medium' END",
+            say("{product_name} has a stockout risk at {store_name} because stock is critically low and "
+                "may affect customer availability."),
+            say(level + "Related Complaints: {related_complaints}; High-Severity Complaints: "
+                "{high_severity_complaints}; Vendor: {vendor}", **texts)),
         "Near Expiry Stock": fd.rule(
-            perishable & days.between(0, t.near_expiry_days), "Near Expiry Stock",
-            F.when(days <= t.urgent_expiry_days, "High").otherwise("Medium"),
-            sentence(product, " has stock nearing expiry at ", store, "."),
-            sentence(dates, "; Days to Expiry: ", days, "; ", stock_text, "; Perishable: Yes")),
+            f"{perishable} AND days_to_expiry BETWEEN 0 AND {t.near_expiry_days}", "Near Expiry Stock",
+            f"CASE WHEN days_to_expiry <= {t.urgent_expiry_days} THEN 'High' ELSE 'Medium' END",
+            say("{product_name} has stock nearing expiry at {store_name}."),
+            say(dates + "Days to Expiry: {days_to_expiry}; Current Stock: {stock}; Perishable: Yes", **texts)),
         "Expired Inventory": fd.rule(
-            perishable & (days < 0), "Expired Inventory", "High",
-            sentence(product, " has expired inventory at ", store, "."),
-            sentence(dates, "; Days Expired: ", -days, "; ", stock_text, "; Perishable: Yes")),
+            f"{perishable} AND days_to_expiry < 0", "Expired Inventory", "'High'",
+            say("{product_name} has expired inventory at {store_name}."),
+            say(dates + "Days Expired: {expired}; Current Stock: {stock}; Perishable: Yes", **texts)),
     }
 
 
@@ -96,25 +90,19 @@ def inventory_findings(snap: DataFrame, t: Thresholds = DEFAULTS, detected_at: s
                        only: tuple[str, ...] = RULES) -> DataFrame:
     """Findings of the chosen rules from one pass over the snapshot (unordered)."""
     rules = _rules(t)
-    hits = fd.apply_rules(snap, *[rules[name] for name in only])
-    entity = sentence(F.col("store_id"), "-", F.col("product_id"))
-    slug = F.replace(F.upper("analysis_type"), F.lit(" "), F.lit("-"))
     return fd.record(
-        hits, fd.INVENTORY, detected_at,
-        finding_id=sentence(slug, "-", entity, "-", F.col("date")),
-        business_area="Operations", entity_type="Store Product", entity_id=entity,
-        inventory_date=F.col("date"), stock_ratio=F.coalesce("stock_ratio", F.lit(0.0)),
-        current_stock=F.coalesce("current_stock", F.lit(0)),
-        reorder_level=F.coalesce("reorder_level", F.lit(0)),
-        **{c: F.col(c) for c in (
-            "analysis_type", "severity", "store_id", "store_name", "product_id", "product_name",
-            "vendor_id", "vendor_name", "expiry_date", "days_to_expiry", "stock_status",
-            "reorder_required", "related_complaints", "high_severity_complaints", "summary", "evidence")},
+        fd.apply_rules(snap, *[rules[name] for name in only]), fd.INVENTORY, detected_at,
+        finding_id=say("{kind}-{store_id}-{product_id}-{date}", kind="replace(upper(analysis_type), ' ', '-')"),
+        business_area="'Operations'", entity_type="'Store Product'",
+        entity_id=say("{store_id}-{product_id}"), inventory_date="date",
+        stock_ratio="coalesce(stock_ratio, 0D)", current_stock="coalesce(current_stock, 0)",
+        reorder_level="coalesce(reorder_level, 0)",
+        **fd.columns("analysis_type", "severity", "store_id", "store_name", "product_id", "product_name",
+                     "vendor_id", "vendor_name", "expiry_date", "days_to_expiry", "stock_status",
+                     "reorder_required", "related_complaints", "high_severity_complaints", "summary",
+                     "evidence"),
     )
 
 
 def order_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(
-        severity_rank("severity"), "analysis_type", F.col("stock_ratio").asc_nulls_last(),
-        F.col("days_to_expiry").asc_nulls_last(), "finding_id",
-    )
+    return order_by(findings, severity_rank(), "analysis_type", "stock_ratio", "days_to_expiry", "finding_id")

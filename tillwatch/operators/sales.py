@@ -2,144 +2,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tillwatch.functions.text import (
-    clean_text, currency, currency0, fixed, safe_identifier, sentence, severity_rank,
+    clean_text, currency, currency0, fixed, safe_identifier, say, severity_rank, zero,
 )
 from tillwatch.operators import findings as fd
 from tillwatch.operators.templates import (
-    at_most_percent, decline_percent, exact, latest_finance, latest_month, month_over_month,
-    monthly_totals,
+    decline_percent, exact, latest_finance, latest_month, month_over_month, monthly_totals, order_by,
 )
 from tillwatch.thresholds import DEFAULTS, Thresholds
 
-
-def monthly_sales(sales: DataFrame, keys: list[str], labels: list[str],
-                  as_of_month: str | None = None) -> DataFrame:
-    return monthly_totals(sales, keys, {"sales": F.sum("total_sales")}, labels, as_of_month)
-
-
-def _decline_severity(t: Thresholds) -> Column:
-    return F.when(F.col("decline") >= t.severe_decline_percent, "High").otherwise("Medium")
+SALES_SUM = {"sales": "sum(total_sales)"}
 
 
 def _declines(monthly: DataFrame, key: str, percent: float) -> DataFrame:
-    compared = month_over_month(monthly, [key], ["sales"])
-    return compared.where(
-        F.col("previous_sales").isNotNull() & at_most_percent("sales", "previous_sales", 100 - percent)
-    ).withColumn("decline", decline_percent("sales", "previous_sales"))
-
-
-def _decline_text(subject: Column) -> Column:
-    return sentence(
-        subject, " recorded a ", fixed("decline"), "% sales decline in ", F.col("month"),
-        " compared with ", F.col("previous_month"), ".",
-    )
-
-
-def _decline_evidence(*more: Column | str) -> Column:
-    return sentence(
-        "Current Month Sales: ", currency0("sales"), "; Previous Month Sales: ",
-        currency0("previous_sales"), "; Sales Decline: ", fixed("decline"), "%", *more,
-    )
+    """Latest month at or below (100 - percent)% of the previous month with data."""
+    return month_over_month(monthly, [key], ["sales"]).where(
+        f"previous_sales IS NOT NULL AND sales * 100 <= previous_sales * {exact(100 - percent)}"
+    ).selectExpr("*", f"{decline_percent('sales', 'previous_sales')} AS decline")
 
 
-def _decline_values() -> dict[str, Column]:
-    return dict(
-        month=F.col("month"), previous_month=F.col("previous_month"),
-        current_sales=F.col("sales").cast("double"),
-        previous_sales=F.col("previous_sales").cast("double"),
-        sales_change_percent=-F.col("decline"),
+def _decline_record(rows: DataFrame, t: Thresholds, detected_at: str | None, subject: str,
+                    more_evidence: str, **values: str) -> DataFrame:
+    texts = dict(decline=fixed("decline"), now=currency0("sales"), before=currency0("previous_sales"),
+                 subject=subject, more=more_evidence)
+    return fd.record(
+        rows, fd.SALES, detected_at, business_area="'Sales'",
+        severity=f"CASE WHEN decline >= {t.severe_decline_percent} THEN 'High' ELSE 'Medium' END",
+        month="month", previous_month="previous_month", current_sales="sales",
+        previous_sales="previous_sales", sales_change_percent="-decline",
+        summary=say("{subject} recorded a {decline}% sales decline in {month} compared with {previous_month}.", **texts),
+        evidence=say("Current Month Sales: {now}; Previous Month Sales: {before}; Sales Decline: {decline}%{more}", **texts),
+        **values,
     )
 
 
 def store_sales_decline(sales: DataFrame, t: Thresholds = DEFAULTS, as_of_month: str | None = None,
                         detected_at: str | None = None) -> DataFrame:
-    monthly = monthly_sales(sales, ["store_id"], ["store_name", "region"], as_of_month)
-    rows = _declines(monthly, "store_id", t.store_decline_percent)
-    return fd.record(
-        rows, fd.SALES, detected_at,
-        finding_id=sentence("STORE-DECLINE-", F.col("store_id"), "-", F.col("month")),
-        analysis_type="Store Sales Decline", business_area="Sales", severity=_decline_severity(t),
-        entity_type="Store", entity_id=F.col("store_id"), entity_name=F.col("store_name"),
-        store_id=F.col("store_id"), store_name=F.col("store_name"), region=F.col("region"),
-        summary=_decline_text(F.col("store_name")),
-        evidence=_decline_evidence("; Region: ", clean_text("region")), **_decline_values(),
+    monthly = monthly_totals(sales, ["store_id"], SALES_SUM, ["store_name", "region"], as_of_month)
+    return _decline_record(
+        _declines(monthly, "store_id", t.store_decline_percent), t, detected_at, "store_name",
+        say("; Region: {x}", x=clean_text("region")),
+        finding_id=say("STORE-DECLINE-{store_id}-{month}"), analysis_type="'Store Sales Decline'",
+        entity_type="'Store'", entity_id="store_id", entity_name="store_name",
+        **fd.columns("store_id", "store_name", "region"),
     )
 
 
-def product_month_sales(sales: DataFrame, as_of_month: str | None = None) -> DataFrame:
-    return monthly_sales(sales, ["product_id"], ["product_name", "category"], as_of_month)
-
-
 def product_sales_decline(sales: DataFrame, t: Thresholds = DEFAULTS, as_of_month: str | None = None,
                           detected_at: str | None = None) -> DataFrame:
-    monthly = product_month_sales(sales, as_of_month)
+    monthly = monthly_totals(sales, ["product_id"], SALES_SUM, ["product_name", "category"], as_of_month)
     rows = _declines(monthly, "product_id", t.product_decline_percent).where(
-        F.col("previous_sales") >= exact(t.min_previous_product_sales)
+        f"previous_sales >= {exact(t.min_previous_product_sales)}"
     )
-    return fd.record(
-        rows, fd.SALES, detected_at,
-        finding_id=sentence("PRODUCT-DECLINE-", F.col("product_id"), "-", F.col("month")),
-        analysis_type="Product Sales Decline", business_area="Sales", severity=_decline_severity(t),
-        entity_type="Product", entity_id=F.col("product_id"), entity_name=F.col("product_name"),
-        product_id=F.col("product_id"), product_name=F.col("product_name"),
-        category=F.col("category"), summary=_decline_text(F.col("product_name")),
-        evidence=_decline_evidence("; Category: ", clean_text("category")), **_decline_values(),
+    return _decline_record(
+        rows, t, detected_at, "product_name", say("; Category: {x}", x=clean_text("category")),
+        finding_id=say("PRODUCT-DECLINE-{product_id}-{month}"),
+        analysis_type="'Product Sales Decline'", entity_type="'Product'", entity_id="product_id",
+        entity_name="product_name", **fd.columns("product_id", "product_name", "category"),
     )
 
 
-def _named_decline(rows: DataFrame, column: str, kind: str, t: Thresholds,
-                   detected_at: str | None, subject: str) -> DataFrame:
+def _named_decline(rows: DataFrame, column: str, kind: str, title: str, t: Thresholds,
+                   detected_at: str | None) -> DataFrame:
     slug = safe_identifier(column)
-    return fd.record(
-        rows, fd.SALES, detected_at,
-        finding_id=sentence(f"{kind.upper()}-DECLINE-", slug, "-", F.col("month")),
-        analysis_type=f"{'Regional' if kind == 'Region' else kind} Sales Decline",
-        business_area="Sales", severity=_decline_severity(t), entity_type=kind, entity_id=slug,
-        entity_name=F.col(column), summary=_decline_text(sentence("The ", F.col(column), subject)),
-        evidence=_decline_evidence(), **{column: F.col(column)}, **_decline_values(),
+    return _decline_record(
+        rows, t, detected_at, say(f"The {{{column}}} {column}"), "''",
+        finding_id=say(f"{kind.upper()}-DECLINE-{{slug}}-{{month}}", slug=slug),
+        analysis_type=f"'{title}'", entity_type=f"'{kind}'", entity_id=slug, entity_name=column,
+        **fd.columns(column),
     )
 
 
 def category_sales_decline(sales: DataFrame, t: Thresholds = DEFAULTS, as_of_month: str | None = None,
                            detected_at: str | None = None) -> DataFrame:
-    monthly = monthly_sales(sales, ["category"], [], as_of_month)
+    monthly = monthly_totals(sales, ["category"], SALES_SUM, [], as_of_month)
     rows = _declines(monthly, "category", t.category_decline_percent)
-    return _named_decline(rows, "category", "Category", t, detected_at, " category")
+    return _named_decline(rows, "category", "Category", "Category Sales Decline", t, detected_at)
 
 
 def regional_sales_decline(sales: DataFrame, t: Thresholds = DEFAULTS, as_of_month: str | None = None,
                            detected_at: str | None = None) -> DataFrame:
-    named = sales.where(F.col("region").isNotNull() & (F.trim("region") != ""))
-    monthly = monthly_sales(named, ["region"], [], as_of_month)
+    named = sales.where("region IS NOT NULL AND trim(region) <> ''")
+    monthly = monthly_totals(named, ["region"], SALES_SUM, [], as_of_month)
     rows = _declines(monthly, "region", t.region_decline_percent)
-    return _named_decline(rows, "region", "Region", t, detected_at, " region")
+    return _named_decline(rows, "region", "Region", "Regional Sales Decline", t, detected_at)
 
 
 def low_target_achievement(finance: DataFrame, stores: DataFrame, t: Thresholds = DEFAULTS,
                            detected_at: str | None = None) -> DataFrame:
     rows = latest_finance(finance).drop("region").where(
-        F.col("target_achievement_percent") < exact(t.low_target_percent)
+        f"target_achievement_percent < {exact(t.low_target_percent)}"
     ).join(stores.select("store_id", "region"), "store_id", "left")
-    pct = F.col("target_achievement_percent").cast("double")
     return fd.record(
-        rows, fd.SALES, detected_at,
-        finding_id=sentence("LOW-TARGET-", F.col("store_id"), "-", F.col("month")),
-        analysis_type="Low Target Achievement", business_area="Sales",
-        severity=F.when(pct < t.severe_target_percent, "High").otherwise("Medium"),
-        entity_type="Store", entity_id=F.col("store_id"), entity_name=F.col("store_name"),
-        store_id=F.col("store_id"), store_name=F.col("store_name"), region=F.col("region"),
-        month=F.col("month"),
-        current_sales=F.coalesce(F.col("total_revenue").cast("double"), F.lit(0.0)),
-        benchmark_value=F.coalesce(F.col("monthly_sales_target").cast("double"), F.lit(0.0)),
-        benchmark_label="Monthly Sales Target", target_achievement_percent=pct,
-        summary=sentence(F.col("store_name"), " achieved only ", fixed(pct),
-                         "% of its sales target in ", F.col("month"), "."),
-        evidence=sentence("Monthly Target: ", currency0("monthly_sales_target"), "; Revenue: ",
-                          currency0("total_revenue"), "; Operating Profit: ",
-                          currency("operating_profit"), "; Risk Status: ", clean_text("risk_status")),
+        rows, fd.SALES, detected_at, finding_id=say("LOW-TARGET-{store_id}-{month}"),
+        analysis_type="'Low Target Achievement'", business_area="'Sales'",
+        severity=f"CASE WHEN target_achievement_percent < {exact(t.severe_target_percent)} THEN 'High' ELSE 'Medium' END",
+        entity_type="'Store'", entity_id="store_id", entity_name="store_name",
+        current_sales=zero("total_revenue"), benchmark_value=zero("monthly_sales_target"),
+        benchmark_label="'Monthly Sales Target'",
+        summary=say("{store_name} achieved only {pct}% of its sales target in {month}.",
+                    pct=fixed("target_achievement_percent")),
+        evidence=say("Monthly Target: {target}; Revenue: {revenue}; Operating Profit: {profit}; Risk Status: {risk}",
+                     target=currency0("monthly_sales_target"), revenue=currency0("total_revenue"),
+                     profit=currency("operating_profit"), risk=clean_text("risk_status")),
+        **fd.columns("store_id", "store_name", "region", "month", "target_achievement_percent"),
     )
 
 
@@ -147,48 +115,36 @@ def product_underperformance(sales: DataFrame, t: Thresholds = DEFAULTS,
                              as_of_month: str | None = None,
                              detected_at: str | None = None) -> DataFrame:
     """Latest-month product sales against the average of the products in the same category."""
-    monthly = monthly_totals(
-        sales, ["product_id", "category"], {"sales": F.sum("total_sales")}, ["product_name"], as_of_month
-    )
+    monthly = monthly_totals(sales, ["product_id", "category"], SALES_SUM, ["product_name"], as_of_month)
     latest = monthly.where(F.col("month_start") == latest_month(monthly))
     per_category = latest.groupBy("category").agg(
-        F.sum("sales").alias("category_sales"), F.count(F.lit(1)).alias("product_count")
-    )
-    average = F.col("category_sales").cast("double") / F.col("product_count")
-    wide = F.col("product_count").cast("decimal(12,0)")
-    rows = (
-        latest.join(per_category, "category")
-        .where(
-            (F.col("product_count") >= 2)
-            & (F.col("sales") * wide <= F.col("category_sales") * exact(t.product_to_category_ratio))
-        )
-        .withColumn("average", average)
-        .withColumn("performance", F.coalesce(
-            F.try_divide(F.col("sales").cast("double"), F.col("average")), F.lit(0.0)))
-        .withColumn("month", F.date_format("month_start", "yyyy-MM"))
+        F.expr("sum(sales) AS category_sales"), F.expr("count(*) AS product_count"))
+    rows = latest.join(per_category, "category").where(
+        "product_count >= 2 AND sales * CAST(product_count AS DECIMAL(12,0)) "
+        f"<= category_sales * {exact(t.product_to_category_ratio)}"
+    ).selectExpr(
+        "*", "CAST(category_sales AS DOUBLE) / product_count AS average",
+        "coalesce(try_divide(CAST(sales AS DOUBLE), CAST(category_sales AS DOUBLE) / product_count), 0D) AS performance",
+        "date_format(month_start, 'yyyy-MM') AS month",
     )
     return fd.record(
-        rows, fd.SALES, detected_at,
-        finding_id=sentence("PRODUCT-UNDERPERFORMANCE-", F.col("product_id"), "-", F.col("month")),
-        analysis_type="Product Underperformance", business_area="Sales",
-        severity=F.when(F.col("performance") < t.severe_product_ratio, "High").otherwise("Medium"),
-        entity_type="Product", entity_id=F.col("product_id"), entity_name=F.col("product_name"),
-        product_id=F.col("product_id"), product_name=F.col("product_name"),
-        category=F.col("category"), month=F.col("month"),
-        current_sales=F.col("sales").cast("double"), benchmark_value=F.col("average"),
-        benchmark_label="Latest Category Average Sales",
-        summary=sentence(F.col("product_name"), " achieved only ", fixed(F.col("performance") * 100),
-                         "% of the latest-month average sales for the ", F.col("category"), " category."),
-        evidence=sentence("Product Sales: ", currency0("sales"), "; Category Average Sales: ",
-                          currency0("average"), "; Product Count in Category: ", F.col("product_count")),
+        rows, fd.SALES, detected_at, finding_id=say("PRODUCT-UNDERPERFORMANCE-{product_id}-{month}"),
+        analysis_type="'Product Underperformance'", business_area="'Sales'",
+        severity=f"CASE WHEN performance < {t.severe_product_ratio} THEN 'High' ELSE 'Medium' END",
+        entity_type="'Product'", entity_id="product_id", entity_name="product_name",
+        current_sales="sales", benchmark_value="average",
+        benchmark_label="'Latest Category Average Sales'",
+        summary=say("{product_name} achieved only {pct}% of the latest-month average sales for the {category} category.",
+                    pct=fixed("performance * 100")),
+        evidence=say("Product Sales: {sales}; Category Average Sales: {average}; Product Count in Category: {product_count}",
+                     sales=currency0("sales"), average=currency0("average")),
+        **fd.columns("product_id", "product_name", "category", "month"),
     )
 
 
 def order_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(
-        severity_rank("severity"), "analysis_type", F.col("sales_change_percent").asc_nulls_last(),
-        F.col("target_achievement_percent").asc_nulls_last(), "finding_id",
-    )
+    return order_by(findings, severity_rank(), "analysis_type", "sales_change_percent",
+                    "target_achievement_percent", "finding_id")
 
 
 def sales_findings(sales: DataFrame, finance: DataFrame, stores: DataFrame,

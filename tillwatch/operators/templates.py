@@ -5,40 +5,55 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def exact(value: float) -> Column:
+def exact(value: float) -> str:
     """A threshold as a decimal literal, so that comparisons at the edge are exact."""
-    return F.lit(Decimal(str(value)))
+    return f"{Decimal(str(value))}BD"
 
 
-def merge_labels(
-    fact: DataFrame, keys: Sequence[str | Column], labels: Sequence[str],
-    aggregates: dict[str, Column], names: Sequence[str],
-) -> DataFrame:
+def order_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Order by SQL sort expressions such as 'score DESC NULLS LAST'."""
+    columns = []
+    for item in keys:
+        nulls_first = item.endswith(" NULLS FIRST")
+        body = item.removesuffix(" NULLS FIRST").removesuffix(" NULLS LAST")
+        down = body.endswith(" DESC")
+        column = F.expr(body.removesuffix(" DESC").removesuffix(" ASC"))
+        if down:
+            columns.append(column.desc_nulls_first() if nulls_first else column.desc_nulls_last())
+        else:
+            columns.append(column.asc_nulls_first() if nulls_first else column.asc_nulls_last())
+    return df.orderBy(*columns)
+
+
+def aggregates(named: dict[str, str]) -> list[Column]:
+    return [F.expr(f"{sql} AS {name}") for name, sql in named.items()]
+
+
+def merge_labels(fact: DataFrame, keys: Sequence[str], labels: Sequence[str],
+                 sums: dict[str, str], names: Sequence[str] | None = None) -> DataFrame:
     """Sum-like aggregates per key with the text maximum of each label.
 
     The label is a grouping key of the first step, so that step stays a hash
     aggregate with map-side combine; max(text) only sees the small result.
     """
-    first = fact.groupBy(*keys, *labels).agg(*[c.alias(n) for n, c in aggregates.items()])
+    first = fact.groupBy(*[F.expr(k) for k in keys], *labels).agg(*aggregates(sums))
     if not labels:
         return first
-    return first.groupBy(*names).agg(
-        *[F.sum(n).alias(n) for n in aggregates], *[F.max(label).alias(label) for label in labels]
+    return first.groupBy(*(names or keys)).agg(
+        *aggregates({n: f"sum({n})" for n in sums} | {x: f"max({x})" for x in labels})
     )
 
 
-def monthly_totals(
-    fact: DataFrame, keys: Sequence[str], sums: dict[str, Column],
-    labels: Sequence[str] = (), as_of_month: str | None = None,
-) -> DataFrame:
+def monthly_totals(fact: DataFrame, keys: Sequence[str], sums: dict[str, str],
+                   labels: Sequence[str] = (), as_of_month: str | None = None) -> DataFrame:
     """One row per key and calendar month; the month is a DATE until it is shown."""
     if as_of_month is not None:
-        fact = fact.where(F.col("date") < F.add_months(F.lit(f"{as_of_month}-01").cast("date"), 1))
-    month = F.trunc("date", "month").alias("month_start")
-    return merge_labels(fact, [*keys, month], labels, sums, [*keys, "month_start"])
+        fact = fact.where(f"date < add_months(DATE '{as_of_month}-01', 1)")
+    return merge_labels(fact, [*keys, "trunc(date, 'month') AS month_start"], labels, sums,
+                        [*keys, "month_start"])
 
 
 def latest_month(monthly: DataFrame) -> Column:
@@ -48,18 +63,16 @@ def latest_month(monthly: DataFrame) -> Column:
     exchange as the main query and the fact is not read a second time.
     """
     rest = [c for c in monthly.columns if c != "month_start"]
-    top = F.max(F.struct("month_start", *rest))
-    return monthly.select(top.getField("month_start")).scalar()
+    return monthly.selectExpr(f"max(struct(month_start, {', '.join(rest)})).month_start").scalar()
 
 
 def with_previous(monthly: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Add the previous month with data (per key) and its values."""
-    w = Window.partitionBy(*keys).orderBy("month_start")
-    return monthly.select(
-        "*",
-        F.date_format("month_start", "yyyy-MM").alias("month"),
-        F.date_format(F.lag("month_start").over(w), "yyyy-MM").alias("previous_month"),
-        *[F.lag(v).over(w).alias(f"previous_{v}") for v in values],
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY month_start)"
+    return monthly.selectExpr(
+        "*", "date_format(month_start, 'yyyy-MM') AS month",
+        f"date_format(lag(month_start) {over}, 'yyyy-MM') AS previous_month",
+        *[f"lag({v}) {over} AS previous_{v}" for v in values],
     )
 
 
@@ -68,72 +81,55 @@ def month_over_month(monthly: DataFrame, keys: Sequence[str], values: Sequence[s
     return with_previous(monthly, keys, values).where(F.col("month_start") == latest_month(monthly))
 
 
-def decline_percent(current: str, previous: str) -> Column:
-    c, p = F.col(current).cast("double"), F.col(previous).cast("double")
-    return F.when(p > 0, (p - c) / p * 100).otherwise(F.lit(0.0))
-
+def decline_percent(current: str, previous: str) -> str:
+    c, p = f"CAST({current} AS DOUBLE)", f"CAST({previous} AS DOUBLE)"
+    return f"CASE WHEN {previous} > 0 THEN ({p} - {c}) / {p} * 100 ELSE 0D END"
 
-def at_most_percent(current: str, previous: str, percent: float) -> Column:
-    """current <= previous * percent/100 on exact decimals."""
-    return F.col(current) * 100 <= F.col(previous) * exact(percent)
 
-
-def complaint_counts() -> dict[str, Column]:
-    return {
-        "total_complaints": F.count(F.lit(1)),
-        "high_severity_complaints": F.count_if(F.col("severity") == "High"),
-        "unresolved_complaints": F.count_if(F.col("status").isin("Open", "In Progress")),
-    }
+COMPLAINT_COUNTS = {
+    "total_complaints": "count(*)",
+    "high_severity_complaints": "count_if(severity = 'High')",
+    "unresolved_complaints": "count_if(status IN ('Open', 'In Progress'))",
+}
 
 
 def with_averages(summary: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Attach `benchmark` = sums of the measures and the number of entities, as a scalar subquery."""
     rest = [c for c in summary.columns if c not in measures]
-    stats = summary.select(
-        F.struct(
-            F.count(F.lit(1)).alias("entities"),
-            *[F.sum(m).alias(m) for m in measures],
-            *[F.max(c).alias(c) for c in rest],
-        )
-    ).scalar()
+    fields = ["count(*) AS entities"] + [f"sum({m}) AS {m}" for m in measures]
+    fields += [f"max({c}) AS {c}" for c in rest]
+    stats = summary.selectExpr(f"struct({', '.join(fields)})").scalar()
     return summary.withColumn("benchmark", stats)
 
 
-def average_of(measure: str) -> Column:
-    return F.try_divide(
-        F.col(f"benchmark.{measure}").cast("double"), F.col("benchmark.entities").cast("double")
-    )
+def average_of(measure: str) -> str:
+    return f"try_divide(CAST(benchmark.{measure} AS DOUBLE), CAST(benchmark.entities AS DOUBLE))"
 
 
-def at_least_average(measure: str, multiplier: float) -> Column:
+def at_least_average(measure: str, multiplier: float) -> str:
     """measure >= multiplier * average, without rounding the average."""
-    wide = "decimal(18,0)"
-    return (
-        F.col(measure).cast(wide) * F.col("benchmark.entities").cast(wide)
-        >= F.col(f"benchmark.{measure}").cast("decimal(24,0)") * exact(multiplier)
-    )
+    return (f"CAST({measure} AS DECIMAL(18,0)) * CAST(benchmark.entities AS DECIMAL(18,0)) "
+            f">= CAST(benchmark.{measure} AS DECIMAL(24,0)) * {exact(multiplier)}")
 
 
-def ratio_to_average(measure: str) -> Column:
+def ratio_to_average(measure: str) -> str:
     average = average_of(measure)
-    return F.when(average > 0, F.col(measure).cast("double") / average).otherwise(F.lit(0.0))
+    return f"(CASE WHEN {average} > 0 THEN CAST({measure} AS DOUBLE) / {average} ELSE 0D END)"
 
 
-def latest_per_key(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """First row per key; the rank filter is pushed below the shuffle as a group limit."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+def first_per_key(df: DataFrame, key: str, order: str, keep: int = 1) -> DataFrame:
+    """First rows per key; the rank filter is pushed below the shuffle as a group limit."""
+    ranked = df.selectExpr("*", f"row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS _rank")
+    return ranked.where(f"_rank <= {keep}").drop("_rank")
 
 
 def latest_finance(finance: DataFrame) -> DataFrame:
-    return latest_per_key(
-        finance, "store_id", [F.col("month").desc_nulls_last(), F.col("finance_id").asc_nulls_last()]
-    )
+    return first_per_key(finance, "store_id", "month DESC NULLS LAST, finance_id")
 
 
-def first_rows(df: DataFrame, limit: int, order: Sequence[Column], rank: str | None = None) -> DataFrame:
+def first_rows(df: DataFrame, limit: int, order: str, rank: str | None = None) -> DataFrame:
     """Top-N by a total order; the rank is numbered after the limit, on at most N rows."""
-    top = df.orderBy(*order).limit(limit)
+    top = order_by(df, *[k.strip() for k in order.split(",")]).limit(limit)
     if rank is None:
         return top
-    return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+    return top.selectExpr(f"row_number() OVER (ORDER BY {order}) AS {rank}", "*")

@@ -2,118 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from tillwatch.functions.text import clean_text, currency, currency0, fixed, sentence, severity_rank
+from tillwatch.functions.text import clean_text, currency, currency0, fixed, say, severity_rank, zero
 from tillwatch.operators import findings as fd
-from tillwatch.operators.templates import exact, latest_finance
+from tillwatch.operators.templates import aggregates, exact, latest_finance, order_by
 from tillwatch.thresholds import DEFAULTS, Thresholds
 
-
-def delivery_metrics() -> list[Column]:
-    n = F.count(F.lit(1))
-    return [
-        n.alias("delivery_count"),
-        F.count_if(F.col("delay_days") > 0).alias("delayed_deliveries"),
-        F.count_if(F.col("received_quantity") < F.col("ordered_quantity")).alias("partial_deliveries"),
-        F.avg("delay_days").alias("average_delay_days"),
-        F.max("delay_days").alias("maximum_delay_days"),
-        F.try_divide(F.sum("quality_rating").cast("double"), F.count("quality_rating").cast("double"))
-        .alias("average_quality_rating"),
-        (F.count_if(F.col("delay_days") <= 0) * F.lit(100.0) / n).alias("on_time_delivery_rate"),
-    ]
+DELIVERY_METRICS = {
+    "delivery_count": "count(*)",
+    "delayed_deliveries": "count_if(delay_days > 0)",
+    "partial_deliveries": "count_if(received_quantity < ordered_quantity)",
+    "average_delay_days": "avg(delay_days)",
+    "maximum_delay_days": "max(delay_days)",
+    "average_quality_rating": "try_divide(CAST(sum(quality_rating) AS DOUBLE), CAST(count(quality_rating) AS DOUBLE))",
+    "on_time_delivery_rate": "count_if(delay_days <= 0) * 100D / count(*)",
+}
 
 
 def vendor_snapshot(deliveries: DataFrame) -> DataFrame:
-    return deliveries.groupBy("vendor_id", "vendor_name").agg(*delivery_metrics())
+    return deliveries.groupBy("vendor_id", "vendor_name").agg(*aggregates(DELIVERY_METRICS))
 
 
 def finance_snapshot(finance: DataFrame) -> DataFrame:
-    revenue, profit = F.col("total_revenue").cast("double"), F.col("operating_profit").cast("double")
-    return latest_finance(finance).withColumn(
-        "operating_profit_margin_percent",
-        F.when(revenue > 0, profit * 100 / revenue).otherwise(F.lit(0.0)),
-    )
-
-
-def _zero(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    return latest_finance(finance).selectExpr(
+        "*", "CASE WHEN total_revenue > 0 THEN CAST(operating_profit AS DOUBLE) * 100 "
+             "/ CAST(total_revenue AS DOUBLE) ELSE 0D END AS operating_profit_margin_percent")
 
 
-def _vendor_rules(t: Thresholds) -> dict[str, Column]:
-    vendor = F.col("vendor_name")
-    delay, longest = _zero("average_delay_days"), _zero("maximum_delay_days")
-    quality, on_time = F.col("average_quality_rating"), F.col("on_time_delivery_rate")
-    delayed, partial = F.col("delayed_deliveries"), F.col("partial_deliveries")
-    count = F.col("delivery_count")
-    delay_text = sentence("Average Delay: ", fixed(delay), " days")
+def _vendor_rules(t: Thresholds) -> dict[str, str]:
+    delay, longest = zero("average_delay_days"), zero("maximum_delay_days")
+    texts = dict(delay=fixed(delay), longest=fixed(longest, 0), on_time=fixed("on_time_delivery_rate"),
+                 quality=fixed("average_quality_rating"))
     return {
         "Repeated Vendor Delays": fd.rule(
-            (F.col("average_delay_days") >= t.vendor_average_delay)
-            | (delayed >= t.vendor_delayed_deliveries),
+            f"average_delay_days >= {t.vendor_average_delay} OR delayed_deliveries >= {t.vendor_delayed_deliveries}",
             "Repeated Vendor Delays",
-            F.when((delay >= 10) | (longest >= 15) | (on_time < 50), "High").otherwise("Medium"),
-            sentence(vendor, " has repeated delivery delays that may disrupt inventory replenishment."),
-            sentence("Delivery Count: ", count, "; Delayed Deliveries: ", delayed, "; ", delay_text,
-                     "; Maximum Delay: ", fixed(longest, 0), " days; On-Time Delivery Rate: ",
-                     fixed(on_time), "%"),
-            prefix="VENDOR-DELAY-"),
+            f"CASE WHEN {delay} >= 10 OR {longest} >= 15 OR on_time_delivery_rate < 50 THEN 'High' ELSE 'Medium' END",
+            say("{vendor_name} has repeated delivery delays that may disrupt inventory replenishment."),
+            say("Delivery Count: {delivery_count}; Delayed Deliveries: {delayed_deliveries}; Average Delay: {delay} days; "
+                "Maximum Delay: {longest} days; On-Time Delivery Rate: {on_time}%", **texts),
+            prefix="'VENDOR-DELAY-'"),
         "Partial Vendor Deliveries": fd.rule(
-            partial >= t.vendor_partial_deliveries, "Partial Vendor Deliveries",
-            F.when(partial >= 3, "High").otherwise("Medium"),
-            sentence(vendor, " has repeated partial deliveries, which may create inventory "
-                     "availability risk."),
-            sentence("Delivery Count: ", count, "; Partial Deliveries: ", partial,
-                     "; Delayed Deliveries: ", delayed, "; ", delay_text),
-            prefix="PARTIAL-DELIVERY-"),
+            f"partial_deliveries >= {t.vendor_partial_deliveries}", "Partial Vendor Deliveries",
+            "CASE WHEN partial_deliveries >= 3 THEN 'High' ELSE 'Medium' END",
+            say("{vendor_name} has repeated partial deliveries, which may create inventory availability risk."),
+            say("Delivery Count: {delivery_count}; Partial Deliveries: {partial_deliveries}; "
+                "Delayed Deliveries: {delayed_deliveries}; Average Delay: {delay} days", **texts),
+            prefix="'PARTIAL-DELIVERY-'"),
         "Low Vendor Quality Rating": fd.rule(
-            quality < t.vendor_low_quality, "Low Vendor Quality Rating",
-            F.when(quality < 3.0, "High").otherwise("Medium"),
-            sentence(vendor, " has a below-threshold average quality rating."),
-            sentence("Average Quality Rating: ", fixed(quality), " out of 5; Delivery Count: ", count,
-                     "; Partial Deliveries: ", partial, "; ", delay_text),
-            prefix="LOW-VENDOR-QUALITY-"),
+            f"average_quality_rating < {t.vendor_low_quality}", "Low Vendor Quality Rating",
+            "CASE WHEN average_quality_rating < 3.0D THEN 'High' ELSE 'Medium' END",
+            say("{vendor_name} has a below-threshold average quality rating."),
+            say("Average Quality Rating: {quality} out of 5; Delivery Count: {delivery_count}; "
+                "Partial Deliveries: {partial_deliveries}; Average Delay: {delay} days", **texts),
+            prefix="'LOW-VENDOR-QUALITY-'"),
         "Low On-Time Delivery Rate": fd.rule(
-            on_time < t.vendor_low_on_time, "Low On-Time Delivery Rate",
-            F.when(on_time < 50, "High").otherwise("Medium"),
-            sentence(vendor, " has a low on-time delivery rate."),
-            sentence("On-Time Delivery Rate: ", fixed(on_time), "%; Delayed Deliveries: ", delayed,
-                     "; Delivery Count: ", count, "; ", delay_text),
-            prefix="LOW-ON-TIME-RATE-"),
+            f"on_time_delivery_rate < {t.vendor_low_on_time}", "Low On-Time Delivery Rate",
+            "CASE WHEN on_time_delivery_rate < 50 THEN 'High' ELSE 'Medium' END",
+            say("{vendor_name} has a low on-time delivery rate."),
+            say("On-Time Delivery Rate: {on_time}%; Delayed Deliveries: {delayed_deliveries}; "
+                "Delivery Count: {delivery_count}; Average Delay: {delay} days", **texts),
+            prefix="'LOW-ON-TIME-RATE-'"),
     }
 
 
-def _finance_rules(t: Thresholds) -> dict[str, Column]:
-    store, month = F.col("store_name"), F.col("month")
-    profit, margin = F.col("operating_profit"), F.col("operating_profit_margin_percent")
-    target, risk = F.col("target_achievement_percent"), clean_text("risk_status")
-    money = sentence("Revenue: ", currency("total_revenue"), "; Operating Profit: ")
-    margin_text = sentence("; Operating Profit Margin: ", fixed(margin), "%")
-    target_text = sentence("; Target Achievement: ", fixed(_zero("target_achievement_percent")), "%")
-    risk_text = sentence("; Risk Status: ", risk)
+def _finance_rules(t: Thresholds) -> dict[str, str]:
+    texts = dict(
+        revenue=currency("total_revenue"), profit=currency("operating_profit"),
+        margin=fixed("operating_profit_margin_percent"), target=fixed(zero("target_achievement_percent")),
+        risk=clean_text("risk_status"), profit0=currency0("operating_profit"),
+    )
+    money = "Revenue: {revenue}; Operating Profit: {profit}"
     return {
         "Low Operating Profit": fd.rule(
-            (profit >= 0) & (margin < t.low_margin_percent), "Low Operating Profit",
-            F.when(margin < 5, "High").otherwise("Medium"),
-            sentence(store, " has a low operating-profit margin in ", month, "."),
-            sentence(money, currency("operating_profit"), margin_text, target_text),
-            prefix="LOW-PROFIT-"),
+            f"operating_profit >= 0 AND operating_profit_margin_percent < {t.low_margin_percent}",
+            "Low Operating Profit",
+            "CASE WHEN operating_profit_margin_percent < 5 THEN 'High' ELSE 'Medium' END",
+            say("{store_name} has a low operating-profit margin in {month}."),
+            say(money + "; Operating Profit Margin: {margin}%; Target Achievement: {target}%", **texts),
+            prefix="'LOW-PROFIT-'"),
         "Loss-Making Store": fd.rule(
-            profit < 0, "Loss-Making Store", "High",
-            sentence(store, " recorded an operating loss in ", month, "."),
-            sentence(money, currency("operating_profit"), margin_text, risk_text),
-            prefix="LOSS-MAKING-"),
+            "operating_profit < 0", "Loss-Making Store", "'High'",
+            say("{store_name} recorded an operating loss in {month}."),
+            say(money + "; Operating Profit Margin: {margin}%; Risk Status: {risk}", **texts),
+            prefix="'LOSS-MAKING-'"),
         "Low Target Achievement": fd.rule(
-            target < exact(t.low_target_percent), "Low Target Achievement",
-            F.when(target < exact(t.severe_target_percent), "High").otherwise("Medium"),
-            sentence(store, " achieved only ", fixed(target), "% of its target in ", month, "."),
-            sentence(money, currency("operating_profit"), target_text, risk_text),
-            prefix="LOW-TARGET-"),
+            f"target_achievement_percent < {exact(t.low_target_percent)}", "Low Target Achievement",
+            f"CASE WHEN target_achievement_percent < {exact(t.severe_target_percent)} THEN 'High' ELSE 'Medium' END",
+            say("{store_name} achieved only {target}% of its target in {month}.", **texts),
+            say(money + "; Target Achievement: {target}%; Risk Status: {risk}", **texts),
+            prefix="'LOW-TARGET-'"),
         "High Financial Risk": fd.rule(
-            F.lower(F.trim("risk_status")) == "high risk", "High Financial Risk", "High",
-            sentence(store, " is classified as High Risk in the finance report for ", month, "."),
-            sentence(money, currency0("operating_profit"), margin_text, target_text, risk_text),
-            prefix="HIGH-FINANCIAL-RISK-"),
+            "lower(trim(risk_status)) = 'high risk'", "High Financial Risk", "'High'",
+            say("{store_name} is classified as High Risk in the finance report for {month}."),
+            say("Revenue: {revenue}; Operating Profit: {profit0}; Operating Profit Margin: {margin}%; "
+                "Target Achievement: {target}%; Risk Status: {risk}", **texts),
+            prefix="'HIGH-FINANCIAL-RISK-'"),
     }
 
 
@@ -126,47 +111,38 @@ FINANCE_RULES = ("Low Operating Profit", "Loss-Making Store",
 def vendor_findings(snap: DataFrame, t: Thresholds = DEFAULTS, detected_at: str | None = None,
                     only: tuple[str, ...] = VENDOR_RULES) -> DataFrame:
     rules = _vendor_rules(t)
-    hits = fd.apply_rules(snap, *[rules[name] for name in only])
     return fd.record(
-        hits, fd.VENDOR_FINANCE, detected_at,
-        finding_id=sentence(F.col("prefix"), F.col("vendor_id")),
-        business_area="Procurement", entity_type="Vendor", entity_id=F.col("vendor_id"),
-        entity_name=F.col("vendor_name"), average_delay_days=_zero("average_delay_days"),
-        maximum_delay_days=_zero("maximum_delay_days"),
-        average_quality_rating=_zero("average_quality_rating"),
-        **{c: F.col(c) for c in (
-            "analysis_type", "severity", "vendor_id", "vendor_name", "delivery_count",
-            "delayed_deliveries", "partial_deliveries", "on_time_delivery_rate", "summary", "evidence")},
+        fd.apply_rules(snap, *[rules[name] for name in only]), fd.VENDOR_FINANCE, detected_at,
+        finding_id=say("{prefix}{vendor_id}"), business_area="'Procurement'", entity_type="'Vendor'",
+        entity_id="vendor_id", entity_name="vendor_name",
+        average_delay_days=zero("average_delay_days"), maximum_delay_days=zero("maximum_delay_days"),
+        average_quality_rating=zero("average_quality_rating"),
+        **fd.columns("analysis_type", "severity", "vendor_id", "vendor_name", "delivery_count",
+                     "delayed_deliveries", "partial_deliveries", "on_time_delivery_rate", "summary",
+                     "evidence"),
     )
 
 
 def finance_findings(snap: DataFrame, t: Thresholds = DEFAULTS, detected_at: str | None = None,
                      only: tuple[str, ...] = FINANCE_RULES) -> DataFrame:
     rules = _finance_rules(t)
-    hits = fd.apply_rules(snap, *[rules[name] for name in only])
     return fd.record(
-        hits, fd.VENDOR_FINANCE, detected_at,
-        finding_id=sentence(F.col("prefix"), F.col("store_id"), "-", F.col("month")),
-        business_area="Finance", entity_type="Store", entity_id=F.col("store_id"),
-        entity_name=F.col("store_name"), total_revenue=_zero("total_revenue"),
-        operating_profit=_zero("operating_profit"),
-        target_achievement_percent=_zero("target_achievement_percent"),
-        **{c: F.col(c) for c in (
-            "analysis_type", "severity", "store_id", "store_name", "month",
-            "operating_profit_margin_percent", "risk_status", "summary", "evidence")},
+        fd.apply_rules(snap, *[rules[name] for name in only]), fd.VENDOR_FINANCE, detected_at,
+        finding_id=say("{prefix}{store_id}-{month}"), business_area="'Finance'", entity_type="'Store'",
+        entity_id="store_id", entity_name="store_name", total_revenue=zero("total_revenue"),
+        operating_profit=zero("operating_profit"),
+        target_achievement_percent=zero("target_achievement_percent"),
+        **fd.columns("analysis_type", "severity", "store_id", "store_name", "month",
+                     "operating_profit_margin_percent", "risk_status", "summary", "evidence"),
     )
 
 
 def vendor_finance_findings(deliveries: DataFrame, finance: DataFrame, t: Thresholds = DEFAULTS,
                             detected_at: str | None = None) -> DataFrame:
     return vendor_findings(vendor_snapshot(deliveries), t, detected_at).unionByName(
-        finance_findings(finance_snapshot(finance), t, detected_at)
-    )
+        finance_findings(finance_snapshot(finance), t, detected_at))
 
 
 def order_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(
-        severity_rank("severity"), "business_area", "analysis_type",
-        F.col("average_delay_days").desc_nulls_last(),
-        F.col("target_achievement_percent").asc_nulls_last(), "finding_id",
-    )
+    return order_by(findings, severity_rank(), "business_area", "analysis_type",
+                    "average_delay_days DESC", "target_achievement_percent", "finding_id")

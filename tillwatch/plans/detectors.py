@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import functions as F
-
 from tillwatch.operators import combined, complaints, inventory, sales, vendor_finance
 from tillwatch.operators.templates import latest_finance
 from tillwatch.plans.catalog import query
@@ -226,4 +224,4 @@ def combined_issues(b: Business):
 
 @query()
 def combined_priority_summary(b: Business):
-    return combined.priority_summary(_combined(b)).select("priority", F.col("issue_count"))
+    return combined.priority_summary(_combined(b))

@@ -7,7 +7,7 @@ optimizer, which broadcasts by measured size only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # fixed values: end of the usable history and the stock-count day of the sample data
 HISTORY_END = "2001-08-01"
@@ -28,22 +28,95 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def code(letter: str, number: Column) -> Column:
+def code(letter: str, number: str) -> str:
     """Three-digit code of one of the few stores or employees."""
-    return F.concat(F.lit(letter), F.lpad(number.cast("string"), 3, "0"))
-
-
-def key(letter: str, number: Column) -> Column:
-    return F.concat(F.lit(letter), number.cast("string"))
-
-
-def stock_status(stock: Column, reorder: Column) -> Column:
-    return (
-        F.when(stock * 10 < reorder * 8, "Low Stock")
-        .when(stock < reorder, "Reorder Soon")
-        .when(stock > reorder * 3, "Overstock")
-        .otherwise("Normal")
-    )
+    return f"concat('{letter}', lpad(CAST({number} AS STRING), 3, '0'))"
+
+
+def key(letter: str, number: str) -> str:
+    return f"concat('{letter}', CAST({number} AS STRING))"
+
+
+def choose(subject: str, labels: dict[str, str]) -> str:
+    return f"CASE {subject} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + " END"
+
+
+STOCK_STATUS = (
+    "CASE WHEN current_stock * 10 < reorder_level * 8 THEN 'Low Stock' "
+    "WHEN current_stock < reorder_level THEN 'Reorder Soon' "
+    "WHEN current_stock > reorder_level * 3 THEN 'Overstock' ELSE 'Normal' END"
+)
+QUANTITY = "CAST(l_quantity AS INT)"
+AMOUNT = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
+COST = "CAST(l_extendedprice * 0.8D AS DECIMAL(18,4))"
+LINE = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+# one expression per column of the fact tables, over the joined order lines
+LINE_COLUMNS = {
+    "date": "CAST(o_orderdate AS DATE)",
+    "store_id": "store_id",
+    "store_name": "store_name",
+    "region": "region",
+    "product_id": key("P", "l_partkey"),
+    "product_name": "product_name",
+    "category": "category",
+    "employee_id": code("E", "o_custkey % 27"),
+    "sale_id": "concat('SALE-', concat_ws('-', l_orderkey, l_linenumber))",
+    "quantity_sold": QUANTITY,
+    "unit_price": "unit_price",
+    "discount_percent": "CAST(l_discount * 100 AS DECIMAL(6,2))",
+    "total_sales": AMOUNT,
+    "total_cost": COST,
+    "profit": f"CAST({AMOUNT} - {COST} AS DECIMAL(18,4))",
+    "payment_status": "CASE o_orderstatus WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Pending' ELSE 'Delayed' END",
+    "complaint_id": f"concat('COMP-', {LINE})",
+    "customer_id": key("C", "o_custkey"),
+    "complaint_type": choose("o_orderpriority", COMPLAINT_TYPES),
+    "complaint_description": f"concat('Reported as ', {choose('o_orderpriority', COMPLAINT_TYPES)})",
+    "severity": f"CASE WHEN {QUANTITY} >= 40 THEN 'High' WHEN {QUANTITY} >= 20 THEN 'Medium' ELSE 'Low' END",
+    "status": "CASE WHEN l_linestatus = 'O' AND l_linenumber % 2 = 0 THEN 'In Progress' "
+              "WHEN l_linestatus = 'O' THEN 'Open' WHEN l_linenumber % 2 = 0 THEN 'Closed' ELSE 'Resolved' END",
+    "assigned_employee_id": code("E", "o_custkey % 27"),
+    "resolution_time_days": f"CASE WHEN l_linestatus <> 'O' THEN l_linenumber * 2 + {QUANTITY} % 7 END",
+}
+DELAY = ("CAST(greatest(pmod(datediff(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)), 20) "
+         "- CASE l_suppkey % 10 WHEN 4 THEN 4 WHEN 9 THEN 8 ELSE 16 END, 0) AS INT)")
+RECEIVED = (f"CASE WHEN (l_orderkey + l_partkey) % 10 = 0 THEN CAST({QUANTITY} * 9 DIV 10 AS INT) "
+            f"ELSE {QUANTITY} END")
+DELIVERY_COLUMNS = {
+    "purchase_order_id": f"concat('PO-', {LINE})",
+    "order_date": "CAST(o_orderdate AS DATE)",
+    "expected_delivery_date": "date_add(CAST(o_orderdate AS DATE), 10)",
+    "actual_delivery_date": f"date_add(CAST(o_orderdate AS DATE), {DELAY} + 10)",
+    "store_id": "store_id",
+    "store_name": "store_name",
+    "vendor_id": key("V", "l_suppkey"),
+    "vendor_name": "s_name",
+    "product_id": key("P", "l_partkey"),
+    "product_name": "product_name",
+    "ordered_quantity": QUANTITY,
+    "received_quantity": RECEIVED,
+    "unit_cost": "CAST(unit_price * 0.80BD AS DECIMAL(12,2))",
+    "purchase_value": "CAST(l_extendedprice AS DECIMAL(14,2))",
+    "delay_days": DELAY,
+    "delivery_status": f"CASE WHEN {DELAY} > 0 AND {RECEIVED} < {QUANTITY} THEN 'Delayed and Partial' "
+                       f"WHEN {DELAY} > 0 THEN 'Delayed' WHEN {RECEIVED} < {QUANTITY} THEN 'Partial Delivery' "
+                       "ELSE 'Delivered On Time' END",
+    "quality_rating": "CASE WHEN l_suppkey % 10 IN (4, 9) THEN CAST(2.5 AS DECIMAL(3,1)) "
+                      "ELSE CAST(3.5BD + (l_linenumber % 4) * 0.5BD AS DECIMAL(3,1)) END",
+    # the ship date as recorded, unrelated to the order date: input of the date checks
+    "recorded_delivery_date": "CAST(l_shipdate AS DATE)",
+}
+SALES_COLUMNS = (
+    "sale_id", "date", "store_id", "store_name", "region", "product_id", "product_name",
+    "category", "employee_id", "quantity_sold", "unit_price", "discount_percent",
+    "total_sales", "total_cost", "profit", "payment_status",
+)
+COMPLAINT_COLUMNS = (
+    "complaint_id", "date", "customer_id", "store_id", "store_name", "region", "product_id",
+    "product_name", "category", "complaint_type", "complaint_description", "severity",
+    "status", "assigned_employee_id", "resolution_time_days",
+)
 
 
 class Business:
@@ -58,263 +131,115 @@ class Business:
 
     # ---- dimensions -------------------------------------------------------
     def stores(self) -> DataFrame:
-        nation, region = self.raw("nation"), self.raw("region")
-        n = F.col("n_nationkey")
-        return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-            n.alias("store_number"),
-            code("S", n).alias("store_id"),
-            F.col("n_name").alias("store_name"),
-            F.col("r_name").alias("region"),
-            code("E", n).alias("manager_id"),
-            F.date_add(F.lit("1994-01-01").cast("date"), n).alias("opening_date"),
-            (n * 1000 + 50000).cast("decimal(14,2)").alias("monthly_sales_target"),
-            F.when(n % 12 == 11, "Inactive").otherwise("Active").alias("operational_status"),
+        return self.raw("nation").join(self.raw("region"), F.expr("n_regionkey = r_regionkey")).selectExpr(
+            "n_nationkey AS store_number", f"{code('S', 'n_nationkey')} AS store_id",
+            "n_name AS store_name", "r_name AS region", f"{code('E', 'n_nationkey')} AS manager_id",
+            "date_add(DATE '1994-01-01', n_nationkey) AS opening_date",
+            "CAST(n_nationkey * 1000 + 50000 AS DECIMAL(14,2)) AS monthly_sales_target",
+            "CASE WHEN n_nationkey % 12 = 11 THEN 'Inactive' ELSE 'Active' END AS operational_status",
         )
 
     def employees(self) -> DataFrame:
-        n = F.col("n_nationkey")
-        return self.raw("nation").select(
-            code("E", n).alias("employee_id"),
-            F.concat(F.lit("Employee "), F.col("n_name")).alias("employee_name"),
-            F.lit("Store Manager").alias("role"),
-            F.lit("Sales").alias("department"),
-            code("S", n).alias("store_id"),
-            (n * 100 + 5000).cast("decimal(14,2)").alias("monthly_target"),
+        return self.raw("nation").selectExpr(
+            f"{code('E', 'n_nationkey')} AS employee_id", "concat('Employee ', n_name) AS employee_name",
+            "'Store Manager' AS role", "'Sales' AS department", f"{code('S', 'n_nationkey')} AS store_id",
+            "CAST(n_nationkey * 100 + 5000 AS DECIMAL(14,2)) AS monthly_target",
         )
 
     def vendors(self) -> DataFrame:
-        k = F.col("s_suppkey")
-        return self.raw("supplier").select(
-            key("V", k).alias("vendor_id"),
-            F.col("s_name").alias("vendor_name"),
-            (k % 10).cast("int").alias("average_delivery_days"),
-            (F.lit(3) + (k % 5) * F.lit(0.5).cast("decimal(2,1)")).cast("decimal(3,1)").alias("rating"),
+        return self.raw("supplier").selectExpr(
+            f"{key('V', 's_suppkey')} AS vendor_id", "s_name AS vendor_name",
+            "CAST(s_suppkey % 10 AS INT) AS average_delivery_days",
+            "CAST(3 + (s_suppkey % 5) * 0.5BD AS DECIMAL(3,1)) AS rating",
         )
 
     def products(self) -> DataFrame:
-        k, size = F.col("p_partkey"), F.col("p_size")
-        price = F.col("p_retailprice").cast("decimal(12,2)")
-        perishable = size <= 15
-        return self.raw("part").select(
-            k.alias("product_number"),
-            key("P", k).alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_type").alias("category"),
-            F.col("p_brand").alias("brand"),
-            price.alias("unit_price"),
-            (price * F.lit("0.80").cast("decimal(3,2)")).cast("decimal(12,2)").alias("cost_price"),
-            (size * 2 + 10).alias("reorder_level"),
-            F.when(perishable, size * 3).alias("shelf_life_days"),
-            F.when(perishable, "Yes").otherwise("No").alias("is_perishable"),
-            key("V", F.floor(k / 20)).alias("vendor_id"),
+        return self.raw("part").selectExpr(
+            "p_partkey AS product_number", f"{key('P', 'p_partkey')} AS product_id",
+            "p_name AS product_name", "p_type AS category", "p_brand AS brand",
+            "CAST(p_retailprice AS DECIMAL(12,2)) AS unit_price",
+            "CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 0.80BD AS DECIMAL(12,2)) AS cost_price",
+            "p_size * 2 + 10 AS reorder_level",
+            "CASE WHEN p_size <= 15 THEN p_size * 3 END AS shelf_life_days",
+            "CASE WHEN p_size <= 15 THEN 'Yes' ELSE 'No' END AS is_perishable",
+            f"{key('V', 'p_partkey DIV 20')} AS vendor_id",
         )
 
     # ---- facts --------------------------------------------------------------
     def _lines(self, columns: tuple[str, ...]) -> DataFrame:
         """lineitem with its order and, where asked for, store and product columns."""
-        orders = self.raw("orders").where(
-            F.col("o_orderdate") < F.lit(HISTORY_END).cast("timestamp_ntz")
-        )
-        lines = self.raw("lineitem").join(
-            orders, F.col("l_orderkey") == F.col("o_orderkey")
-        )
+        orders = self.raw("orders").where(f"o_orderdate < TIMESTAMP_NTZ '{HISTORY_END}'")
+        lines = self.raw("lineitem").join(orders, F.expr("l_orderkey = o_orderkey"))
         if {"store_id", "store_name", "region"} & set(columns):
             stores = self.stores().select("store_number", "store_id", "store_name", "region")
-            homes = self.raw("customer").join(
-                stores, F.col("c_nationkey") == F.col("store_number")
-            ).select("c_custkey", "store_id", "store_name", "region")
-            lines = lines.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+            homes = self.raw("customer").join(stores, F.expr("c_nationkey = store_number")).select(
+                "c_custkey", "store_id", "store_name", "region")
+            lines = lines.join(homes, F.expr("o_custkey = c_custkey"))
         if {"product_name", "category", "unit_price"} & set(columns):
-            products = self.products().select(
-                "product_number", "product_name", "category", "unit_price"
-            )
-            lines = lines.join(products, F.col("l_partkey") == F.col("product_number"))
+            products = self.products().select("product_number", "product_name", "category", "unit_price")
+            lines = lines.join(products, F.expr("l_partkey = product_number"))
         return lines
 
-    @staticmethod
-    def _line_columns() -> dict[str, Column]:
-        amount = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
-        cost = (F.col("l_extendedprice") * F.lit(0.8)).cast("decimal(18,4)")
-        line = F.concat_ws("-", "l_orderkey", "l_linenumber")
-        full_line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        quantity = F.col("l_quantity").cast("int")
-        late = F.col("l_linestatus") == "O"
-        even = F.col("l_linenumber") % 2 == 0
-        complaint_type = F.lit(None).cast("string")
-        for priority, label in COMPLAINT_TYPES.items():
-            complaint_type = F.when(F.col("o_orderpriority") == priority, label).otherwise(complaint_type)
-        return {
-            "date": F.col("o_orderdate").cast("date"),
-            "store_id": F.col("store_id"),
-            "store_name": F.col("store_name"),
-            "region": F.col("region"),
-            "product_id": key("P", F.col("l_partkey")),
-            "product_name": F.col("product_name"),
-            "category": F.col("category"),
-            "employee_id": code("E", F.col("o_custkey") % 27),
-            "sale_id": F.concat(F.lit("SALE-"), line),
-            "quantity_sold": quantity,
-            "unit_price": F.col("unit_price"),
-            "discount_percent": (F.col("l_discount") * 100).cast("decimal(6,2)"),
-            "total_sales": amount,
-            "total_cost": cost,
-            "profit": (amount - cost).cast("decimal(18,4)"),
-            "payment_status": F.when(F.col("o_orderstatus") == "F", "Paid")
-            .when(F.col("o_orderstatus") == "O", "Pending").otherwise("Delayed"),
-            "complaint_id": F.concat(F.lit("COMP-"), full_line),
-            "customer_id": key("C", F.col("o_custkey")),
-            "complaint_type": complaint_type,
-            "complaint_description": F.concat(F.lit("Reported as "), complaint_type),
-            "severity": F.when(quantity >= 40, "High").when(quantity >= 20, "Medium").otherwise("Low"),
-            "status": F.when(late & even, "In Progress").when(late, "Open")
-            .when(even, "Closed").otherwise("Resolved"),
-            "assigned_employee_id": code("E", F.col("o_custkey") % 27),
-            "resolution_time_days": F.when(~late, F.col("l_linenumber") * 2 + quantity % 7),
-        }
-
-    SALES_COLUMNS = (
-        "sale_id", "date", "store_id", "store_name", "region", "product_id", "product_name",
-        "category", "employee_id", "quantity_sold", "unit_price", "discount_percent",
-        "total_sales", "total_cost", "profit", "payment_status",
-    )
-    COMPLAINT_COLUMNS = (
-        "complaint_id", "date", "customer_id", "store_id", "store_name", "region", "product_id",
-        "product_name", "category", "complaint_type", "complaint_description", "severity",
-        "status", "assigned_employee_id", "resolution_time_days",
-    )
-
     def sales(self, *columns: str) -> DataFrame:
-        columns = columns or self.SALES_COLUMNS
-        exprs = self._line_columns()
-        return self._lines(columns).select(*[exprs[c].alias(c) for c in columns])
+        columns = columns or SALES_COLUMNS
+        return self._lines(columns).selectExpr(*[f"{LINE_COLUMNS[c]} AS {c}" for c in columns])
 
     def complaints(self, *columns: str) -> DataFrame:
-        columns = columns or self.COMPLAINT_COLUMNS
-        exprs = self._line_columns()
-        return (
-            self._lines(columns)
-            .where(F.col("l_returnflag") == "R")
-            .select(*[exprs[c].alias(c) for c in columns])
-        )
+        columns = columns or COMPLAINT_COLUMNS
+        return self._lines(columns).where("l_returnflag = 'R'").selectExpr(
+            *[f"{LINE_COLUMNS[c]} AS {c}" for c in columns])
 
     def deliveries(self, *columns: str) -> DataFrame:
-        columns = columns or (
-            "purchase_order_id", "order_date", "expected_delivery_date", "actual_delivery_date",
-            "store_id", "store_name", "vendor_id", "vendor_name", "product_id", "product_name",
-            "ordered_quantity", "received_quantity", "unit_cost", "purchase_value", "delay_days",
-            "delivery_status", "quality_rating",
-        )
-        quantity = F.col("l_quantity").cast("int")
-        digit = F.col("l_suppkey") % 10
-        order_date = F.col("o_orderdate").cast("date")
-        slack = F.when(digit == 4, 4).when(digit == 9, 8).otherwise(16)
-        raw_delay = F.pmod(F.datediff(F.col("l_shipdate").cast("date"), order_date), F.lit(20))
-        delay = F.greatest(raw_delay - slack, F.lit(0)).cast("int")
-        partial = (F.col("l_orderkey") + F.col("l_partkey")) % 10 == 0
-        received = F.when(partial, F.floor(quantity * 9 / 10).cast("int")).otherwise(quantity)
-        half = F.lit(0.5).cast("decimal(2,1)")
-        exprs = {
-            "purchase_order_id": F.concat(
-                F.lit("PO-"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
-            "order_date": order_date,
-            "expected_delivery_date": F.date_add(order_date, 10),
-            "actual_delivery_date": F.date_add(order_date, delay + 10),
-            "store_id": F.col("store_id"),
-            "store_name": F.col("store_name"),
-            "vendor_id": key("V", F.col("l_suppkey")),
-            "vendor_name": F.col("s_name"),
-            "product_id": key("P", F.col("l_partkey")),
-            "product_name": F.col("product_name"),
-            "ordered_quantity": quantity,
-            "received_quantity": received,
-            "unit_cost": (F.col("unit_price") * F.lit("0.80").cast("decimal(3,2)")).cast("decimal(12,2)"),
-            "purchase_value": F.col("l_extendedprice").cast("decimal(14,2)"),
-            "delay_days": delay,
-            "delivery_status": F.when((delay > 0) & (received < quantity), "Delayed and Partial")
-            .when(delay > 0, "Delayed").when(received < quantity, "Partial Delivery")
-            .otherwise("Delivered On Time"),
-            "quality_rating": F.when(digit.isin(4, 9), F.lit(2.5).cast("decimal(3,1)"))
-            .otherwise((F.lit(3.5).cast("decimal(2,1)") + (F.col("l_linenumber") % 4) * half).cast("decimal(3,1)")),
-            # the ship date as recorded, unrelated to the order date: input of the date checks
-            "recorded_delivery_date": F.col("l_shipdate").cast("date"),
-        }
+        columns = columns or tuple(c for c in DELIVERY_COLUMNS if c != "recorded_delivery_date")
         lines = self._lines(columns + (("unit_price",) if "unit_cost" in columns else ()))
         if "vendor_name" in columns:
-            lines = lines.join(
-                self.raw("supplier").select("s_suppkey", "s_name"),
-                F.col("l_suppkey") == F.col("s_suppkey"),
-            )
-        return lines.select(*[exprs[c].alias(c) for c in columns])
+            lines = lines.join(self.raw("supplier").select("s_suppkey", "s_name"),
+                               F.expr("l_suppkey = s_suppkey"))
+        return lines.selectExpr(*[f"{DELIVERY_COLUMNS[c]} AS {c}" for c in columns])
 
     def inventory(self) -> DataFrame:
-        parts, stores = self.raw("part"), self.stores()
-        k, size = F.col("p_partkey"), F.col("p_size")
-        reorder = size * 2 + 10
-        stock = ((k * 37) % (reorder * 4 + 1)).cast("int")
-        status = stock_status(stock, reorder)
-        date = F.lit(SNAPSHOT_DATE).cast("date")
-        return (
-            parts.join(
-                stores.select("store_number", "store_id", "store_name"),
-                (k % 25).cast("int") == F.col("store_number"),
-            )
-            .select(
-                key("INV", k).alias("inventory_id"),
-                date.alias("date"),
-                "store_id", "store_name",
-                key("P", k).alias("product_id"),
-                F.col("p_name").alias("product_name"),
-                F.col("p_type").alias("category"),
-                key("V", F.floor(k / 20)).alias("vendor_id"),
-                stock.alias("current_stock"),
-                reorder.alias("reorder_level"),
-                status.alias("stock_status"),
-                F.when(status == "Low Stock", "Yes").otherwise("No").alias("reorder_required"),
-                F.when(size <= 15, F.date_add(date, (k % 61).cast("int") - 10)).alias("expiry_date"),
-            )
+        parts = self.raw("part").selectExpr(
+            "p_partkey", "p_name AS product_name", "p_type AS category", "p_size",
+            "CAST(p_partkey % 25 AS INT) AS store_key", "p_size * 2 + 10 AS reorder_level",
+            "CAST((p_partkey * 37) % ((p_size * 2 + 10) * 4 + 1) AS INT) AS current_stock")
+        stores = self.stores().select("store_number", "store_id", "store_name")
+        return parts.join(stores, F.expr("store_key = store_number")).selectExpr(
+            f"{key('INV', 'p_partkey')} AS inventory_id", f"DATE '{SNAPSHOT_DATE}' AS date",
+            "store_id", "store_name", f"{key('P', 'p_partkey')} AS product_id", "product_name",
+            "category", f"{key('V', 'p_partkey DIV 20')} AS vendor_id", "current_stock", "reorder_level",
+            f"{STOCK_STATUS} AS stock_status",
+            "CASE WHEN current_stock * 10 < reorder_level * 8 THEN 'Yes' ELSE 'No' END AS reorder_required",
+            f"CASE WHEN p_size <= 15 THEN date_add(DATE '{SNAPSHOT_DATE}', CAST(p_partkey % 61 AS INT) - 10) "
+            "END AS expiry_date",
         )
 
     def finance(self) -> DataFrame:
         """One row per store and month, with the store's mean monthly revenue as target."""
-        money = "decimal(18,2)"
+        money = "DECIMAL(18,2)"
         monthly = (
             self.sales("store_id", "store_name", "region", "date", "total_sales", "total_cost")
-            .groupBy("store_id", "store_name", "region", F.trunc("date", "month").alias("month_start"))
-            .agg(
-                F.sum("total_sales").cast(money).alias("total_revenue"),
-                F.sum("total_cost").cast(money).alias("total_cost"),
-            )
-        )
-        means = monthly.groupBy(F.col("store_id").alias("target_store")).agg(
-            F.floor(F.sum("total_revenue").cast("double") / F.count("*")).cast(money)
-            .alias("monthly_sales_target")
-        )
-        share = (F.substring("store_id", 2, 3).cast("int") % 5 * 3 + 4).cast("decimal(3,0)")
-        full = monthly.join(means, F.col("store_id") == F.col("target_store")).withColumn(
-            "gross_profit", (F.col("total_revenue") - F.col("total_cost")).cast(money)
-        ).withColumn(
-            "operating_expense",
-            (F.col("total_revenue") * share * F.lit("0.01").cast("decimal(3,2)")).cast(money),
-        ).withColumn(
-            "operating_profit", (F.col("gross_profit") - F.col("operating_expense")).cast(money)
-        ).withColumn(
-            "target_achievement_percent",
-            F.call_function(
-                "format_number",
-                F.col("total_revenue").cast("double") / F.col("monthly_sales_target").cast("double") * 100,
-                F.lit("0.00"),
-            ).cast("decimal(10,2)"),
+            .groupBy("store_id", "store_name", "region", F.expr("trunc(date, 'month') AS month_start"))
+            .agg(F.expr(f"CAST(sum(total_sales) AS {money}) AS total_revenue"),
+                 F.expr(f"CAST(sum(total_cost) AS {money}) AS total_cost"))
         )
-        pct = F.col("target_achievement_percent")
-        month = F.date_format("month_start", "yyyy-MM")
-        return full.select(
-            F.concat_ws("-", F.lit("FIN"), "store_id", month).alias("finance_id"),
-            month.alias("month"),
-            "store_id", "store_name", "region", "monthly_sales_target", "total_revenue",
-            "total_cost", "gross_profit", "operating_expense", "operating_profit",
-            "target_achievement_percent",
-            F.when((pct < 60) | (F.col("operating_profit") < 0), "High Risk")
-            .when(pct < 85, "Medium Risk").otherwise("Low Risk").alias("risk_status"),
+        per_store = "OVER (PARTITION BY store_id)"
+        share = "CAST(CAST(substring(store_id, 2, 3) AS INT) % 5 * 3 + 4 AS DECIMAL(3,0))"
+        return monthly.selectExpr(
+            "*", "date_format(month_start, 'yyyy-MM') AS month",
+            f"CAST(floor(CAST(sum(total_revenue) {per_store} AS DOUBLE) / count(*) {per_store}) AS {money}) "
+            "AS monthly_sales_target",
+            f"CAST(total_revenue - total_cost AS {money}) AS gross_profit",
+            f"CAST(total_revenue * {share} * 0.01BD AS {money}) AS operating_expense",
+        ).selectExpr(
+            "*", f"CAST(gross_profit - operating_expense AS {money}) AS operating_profit",
+            "CAST(format_number(CAST(total_revenue AS DOUBLE) / CAST(monthly_sales_target AS DOUBLE) * 100, '0.00') "
+            "AS DECIMAL(10,2)) AS target_achievement_percent",
+        ).selectExpr(
+            "concat_ws('-', 'FIN', store_id, month) AS finance_id", "month", "store_id", "store_name",
+            "region", "monthly_sales_target", "total_revenue", "total_cost", "gross_profit",
+            "operating_expense", "operating_profit", "target_achievement_percent",
+            "CASE WHEN target_achievement_percent < 60 OR operating_profit < 0 THEN 'High Risk' "
+            "WHEN target_achievement_percent < 85 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_status",
         )
 
     def documents(self) -> DataFrame:
