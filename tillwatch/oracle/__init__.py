@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detectors",)
+MODULES = ("detectors", "reports")
 
 
 def all_oracles() -> dict[str, str]:
