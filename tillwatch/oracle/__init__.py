@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detectors", "reports")
+MODULES = ("detectors", "reports", "issues")
 
 
 def all_oracles() -> dict[str, str]:
