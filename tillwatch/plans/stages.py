@@ -13,7 +13,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwatch.operators import (
-    complaints, executive, inventory, issues, sales, vendor_finance,
+    complaints, executive, inventory, issues, rootcause, sales, vendor_finance,
 )
 from tillwatch.plans.detectors import AT, RULE_SALES, vendor_snapshot_of
 from tillwatch.sources.business import Business
@@ -106,3 +106,32 @@ class Stages:
         at = "TIMESTAMP_NTZ '2001-07-01 06:00:00'"
         return fresh.selectExpr("*", f"{state} AS status", f"{at} AS created_at", f"{at} AS updated_at",
                                 f"{at} AS last_detected_at")
+
+    # ---- root causes and recommendations --------------------------------------------
+    def _deliveries(self) -> DataFrame:
+        return self.b.deliveries("vendor_id", "vendor_name", "store_id", "store_name", "delay_days", "received_quantity",
+                                 "ordered_quantity", "quality_rating")
+
+    def contexts(self) -> dict[str, DataFrame]:
+        sold, cases, delivered = self.table("sales"), self.table("complaints"), self.table("deliveries")
+        return {
+            "finance": rootcause.store_finance_context(self.table("finance")),
+            "store_sales": rootcause.store_sales_context(sold),
+            "categories": rootcause.store_category_decline(sold),
+            "stock_counts": rootcause.store_inventory_counts(self.table("inventory_snapshot")),
+            "store_cases": rootcause.store_complaint_counts(cases),
+            "stock": rootcause.inventory_product_context(self.table("inventory_snapshot")),
+            "vendors": rootcause.vendor_delivery_context(delivered),
+            "affected_stores": rootcause.vendor_affected_stores(delivered),
+            "case_types": rootcause.store_complaint_types(cases),
+            "case_products": rootcause.store_complaint_products(cases),
+            "product_cases": rootcause.product_complaint_context(cases),
+            "product_sales": self.table("product_sales"),
+            "case_categories": rootcause.complaint_category_context(cases),
+        }
+
+    def _product_sales(self) -> DataFrame:
+        return rootcause.product_sales_context(self.table("sales"))
+
+    def _root_causes(self) -> DataFrame:
+        return rootcause.analyses(self.table("issues"), self.table("evidence"), self.contexts(), RUN_AT)
