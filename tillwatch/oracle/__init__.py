@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detectors", "reports", "issues")
+MODULES = ("detectors", "reports", "issues", "actions", "documents")
 
 
 def all_oracles() -> dict[str, str]:

@@ -13,7 +13,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwatch.operators import (
-    complaints, executive, inventory, issues, rootcause, sales, vendor_finance,
+    complaints, executive, inventory, issues, recommend, rootcause, sales, vendor_finance,
 )
 from tillwatch.plans.detectors import AT, RULE_SALES, vendor_snapshot_of
 from tillwatch.sources.business import Business
@@ -41,7 +41,7 @@ class Stages:
         self.b = b
         self.spark = b.spark
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, build=None) -> DataFrame:
         """Read a stage, writing it first when this application has not yet done so."""
         app = self.spark.sparkContext.applicationId
         slot = (app, self.b.sf_dir, name)
@@ -49,7 +49,7 @@ class Stages:
         if path is None or not _exists(self.spark, path):
             digest = hashlib.sha256(self.b.sf_dir.encode()).hexdigest()[:12]
             path = f"{shared_folder(self.spark)}/tillwatch/{app}/{digest}/{name}"
-            getattr(self, f"_{name}")().write.mode("overwrite").parquet(path)
+            (build or getattr(self, f"_{name}"))().write.mode("overwrite").parquet(path)
             _WRITTEN[slot] = path
         return self.spark.read.parquet(path)
 
@@ -135,3 +135,33 @@ class Stages:
 
     def _root_causes(self) -> DataFrame:
         return rootcause.analyses(self.table("issues"), self.table("evidence"), self.contexts(), RUN_AT)
+
+    def _reviewed_causes(self) -> DataFrame:
+        """Root causes as reviewers left them after an earlier run."""
+        state = ("CASE evidence_count % 5 WHEN 0 THEN 'Accepted' WHEN 1 THEN 'Pending Review' WHEN 2 THEN 'Edited' "
+                 "WHEN 3 THEN 'Rejected' ELSE 'Pending Review' END")
+        kept = [c for c in self.table("root_causes").columns if c not in ("review_status", "generated_at")]
+        return self.table("root_causes").selectExpr(
+            *kept, f"{state} AS review_status", "1 AS analysis_version", "TIMESTAMP_NTZ '2001-07-01 06:00:00' AS generated_at")
+
+    def _recommendations(self) -> DataFrame:
+        rows = recommend.context(self.table("issues"), self.table("reviewed_causes"))
+        return recommend.recommendations(rows, "2001-08-01", RUN_AT)
+
+    def _stored_recommendations(self) -> DataFrame:
+        """Recommendations of an earlier run in all five states."""
+        state = ("CASE (length(issue_title) + length(issue_id)) % 5 WHEN 0 THEN 'Pending Review' WHEN 1 THEN 'Edited' "
+                 "WHEN 2 THEN 'Accepted' WHEN 3 THEN 'Rejected' ELSE 'Converted to Task' END")
+        kept = [c for c in self.table("recommendations").columns if c != "status"]
+        return self.table("recommendations").selectExpr(*kept, f"{state} AS status")
+
+    def _tasks(self) -> DataFrame:
+        """One task per converted recommendation and per third accepted one, in all five states."""
+        made = self.table("stored_recommendations").where(
+            "status = 'Converted to Task' OR (status = 'Accepted' AND length(issue_id) % 3 = 0)")
+        state = ("CASE length(issue_id) % 5 WHEN 0 THEN 'Unassigned' WHEN 1 THEN 'To Do' WHEN 2 THEN 'In Progress' "
+                 "WHEN 3 THEN 'Blocked' ELSE 'Completed' END")
+        return made.selectExpr(
+            "concat('TASK-', recommendation_id) AS task_id", "issue_id", "recommendation_id", "recommendation_title AS title",
+            "recommendation_text AS description", "CAST(NULL AS STRING) AS assigned_to", "suggested_owner_role AS assigned_role",
+            "suggested_deadline AS due_date", "priority_level", f"{state} AS status")
