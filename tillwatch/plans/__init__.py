@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detectors", "reports", "issue_queries", "action_queries", "document_queries")
+MODULES = ("detectors", "reports", "issue_queries", "action_queries", "document_queries", "quality_queries")
 
 
 def all_queries():
