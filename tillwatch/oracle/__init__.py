@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detectors", "reports", "issues", "actions", "documents")
+MODULES = ("detectors", "reports", "issues", "actions", "documents", "quality")
 
 
 def all_oracles() -> dict[str, str]:
