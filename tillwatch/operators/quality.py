@@ -11,10 +11,8 @@ from tillwatch.sources.config import DATASETS, names
 
 def raw_date(x: str) -> str:
     """DD-MM-YY text to a date; years 69 to 99 are 1900s, impossible days are NULL."""
-    t = f"trim({x})"
-    part = lambda i: rf"regexp_extract({t}, '^(\\d{{1,2}})-(\\d{{1,2}})-(\\d{{2}})$', {i})"
-    century = f"if(try_cast({part(3)} AS INT) >= 69, '19', '20')"
-    return f"try_cast(concat({century}, {part(3)}, '-', lpad({part(2)}, 2, '0'), '-', lpad({part(1)}, 2, '0')) AS DATE)"
+    parsed = f"CAST(try_to_timestamp(trim({x}), 'd-M-yy') AS DATE)"
+    return f"CASE WHEN year({parsed}) >= 2069 THEN add_months({parsed}, -1200) ELSE {parsed} END"
 
 
 def iso_date(x: str) -> str:

@@ -17,6 +17,13 @@ PRODUCT_SALES = ("product_id", "product_name", "category", "date", "total_sales"
 RULE_SALES = ("store_id", "store_name", "region", "product_id", "product_name", "category", "date", "total_sales")
 
 
+def loaded(b: Business, name: str):
+    """A business table written once, for queries in which several rules read it."""
+    from tillwatch.plans.stages import Stages
+
+    return Stages(b).table(name)
+
+
 @query()
 def store_sales_decline(b: Business):
     return sales.store_sales_decline(b.sales(*STORE_SALES), **AT)
@@ -50,7 +57,7 @@ def product_underperformance(b: Business):
 @query()
 def sales_findings(b: Business):
     return sales.order_findings(
-        sales.sales_findings(b.sales(*RULE_SALES), b.finance(), b.stores(), **AT))
+        sales.sales_findings(loaded(b, "sales"), loaded(b, "finance"), b.stores(), **AT))
 
 
 def inventory_snapshot_of(b: Business):
@@ -177,7 +184,7 @@ def unresolved_complaint_ageing(b: Business):
 
 @query()
 def complaint_findings(b: Business):
-    return complaints.order_findings(complaints.complaint_findings(b.complaints(), **AT))
+    return complaints.order_findings(complaints.complaint_findings(loaded(b, "complaints"), **AT))
 
 
 @query()
@@ -211,8 +218,7 @@ def combined_vendor_risk(b: Business):
 
 def _combined(b: Business):
     return combined.combined_issues(
-        b.finance(), b.sales("store_id", "store_name", "date", "total_sales"), inventory_snapshot_of(b),
-        b.complaints("store_id", "store_name", "severity", "status"),
+        loaded(b, "finance"), loaded(b, "sales"), loaded(b, "inventory_snapshot"), loaded(b, "complaints"),
         b.deliveries("vendor_id", "vendor_name", "delay_days", "received_quantity",
                      "ordered_quantity", "quality_rating"), **AT)
 

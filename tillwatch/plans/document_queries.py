@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tillwatch.functions.text import text_list
+from tillwatch.operators.templates import spread
 from tillwatch.operators import documents as docs
 from tillwatch.plans.catalog import query
 from tillwatch.plans.stages import Stages
@@ -29,7 +30,7 @@ def files(b: Business) -> DataFrame:
 
 def registered(b: Business) -> DataFrame:
     """The versioned document table, written once per application."""
-    return Stages(b).table("documents", lambda: _registered(b))
+    return Stages(b).table("documents", lambda: _registered(b.wide()))
 
 
 def _registered(b: Business) -> DataFrame:
@@ -41,7 +42,7 @@ def _registered(b: Business) -> DataFrame:
 
 @query()
 def document_validation(b: Business):
-    return docs.validate(files(b)).selectExpr(
+    return docs.validate(files(b.wide())).selectExpr(
         "document_id", "file_extension", "file_size_bytes", "checksum_sha256", "length(content_text) AS text_length", "outcome",
         "array_join(injection_matches, ', ') AS injection_matches")
 
@@ -82,7 +83,7 @@ def document_versions(b: Business):
 @query()
 def document_chunks(b: Business):
     found = registered(b)
-    return docs.cited(docs.chunks(found), found).drop("problem")
+    return docs.cited(docs.chunks(spread(found.select("document_id", "content_text"))), found).drop("problem")
 
 
 @query()

@@ -48,7 +48,7 @@ DIRTY_SALES = {
 
 
 def dirty_sales(b: Business) -> DataFrame:
-    return b.sales().selectExpr(*[f"{sql} AS {c}" for c, sql in DIRTY_SALES.items()])
+    return b.wide().sales().selectExpr(*[f"{sql} AS {c}" for c, sql in DIRTY_SALES.items()])
 
 
 def dirty_products(b: Business) -> DataFrame:

@@ -38,7 +38,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 class Stages:
     def __init__(self, b: Business):
-        self.b = b
+        self.b = b.wide()
         self.spark = b.spark
 
     def table(self, name: str, build=None) -> DataFrame:

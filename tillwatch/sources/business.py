@@ -122,12 +122,22 @@ COMPLAINT_COLUMNS = (
 class Business:
     """The nine business tables for one data directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._wide = wide
+
+    def wide(self) -> Business:
+        """The same tables with small inputs dealt out to all cores, for CPU-bound jobs and stage writes."""
+        return Business(self.spark, self.sf_dir, wide=True)
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        df = table(self.spark, self.sf_dir, name)
+        if not self._wide or name not in ("lineitem", "documents", "part"):
+            return df
+        # a scan of one small file is one task; a large table has more splits than cores and stays as it is
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     # ---- dimensions -------------------------------------------------------
     def stores(self) -> DataFrame:
