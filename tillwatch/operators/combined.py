@@ -85,7 +85,8 @@ def critical_inventory(snapshot: DataFrame, t: Thresholds = DEFAULTS,
 
 
 def complaint_hotspots(complaints: DataFrame, t: Thresholds = DEFAULTS,
-                       detected_at: str | None = None) -> DataFrame:
+                       detected_at: str | None = None, company: str = "") -> DataFrame:
+    """`company` is the name shown in the description, in front of 'store'."""
     measures = ["total_complaints", "high_severity_complaints", "unresolved_complaints"]
     summary = complaints.groupBy("store_id", "store_name").agg(*aggregates(COMPLAINT_COUNTS))
     rows = with_averages(summary, measures).where(
@@ -96,7 +97,8 @@ def complaint_hotspots(complaints: DataFrame, t: Thresholds = DEFAULTS,
         rows, f"least(65D + {' + '.join(parts)}, 95D)", t, detected_at, issue_id=say("COMP-{store_id}"),
         issue_type="Customer Complaint Hotspot", business_area="Customer Support", entity_type="Store",
         entity_id="store_id", title=say("Customer complaint hotspot at {store_name}"),
-        description=say("{store_name} has a significantly higher complaint burden than the average SmartMart store."),
+        description=say("{store_name} has a significantly higher complaint burden than the average "
+                        f"{company + ' ' if company else ''}store."),
         evidence=say("Total Complaints: {total_complaints}; High-Severity Complaints: {high_severity_complaints}; "
                      "Open or In-Progress Complaints: {unresolved_complaints}; Average Store Complaints: {average}",
                      average=fixed(average_of("total_complaints"))),

@@ -406,7 +406,7 @@ def legacy_hotspots(k: float) -> str:
         "least(greatest(CASE WHEN average_open > 0 THEN unresolved_complaints / average_open ELSE 0 END - 1, 0) * 10, 5), 95)",
         "'COMP-' || store_id", "Customer Complaint Hotspot", "Customer Support", "Store", "store_id",
         "'Customer complaint hotspot at ' || store_name",
-        "store_name || ' has a significantly higher complaint burden than the average SmartMart store.'",
+        "store_name || ' has a significantly higher complaint burden than the average store.'",
         f"'Total Complaints: ' || total_complaints || '; High-Severity Complaints: ' || high_severity_complaints || '; Open or In-Progress Complaints: ' || unresolved_complaints || '; Average Store Complaints: ' || {f2('average')}")
 
 

@@ -35,9 +35,13 @@ def registered(b: Business) -> DataFrame:
 
 def _registered(b: Business) -> DataFrame:
     """Text documents with identity, copies and versions (all stored as plain text files)."""
-    texts = docs.validate(files(b).selectExpr("*", "'x.txt' AS plain").drop("filename").withColumnRenamed("plain", "filename"))
-    keyed = texts.where("outcome = 'valid'").selectExpr("*", f"{docs.logical_key('title')} AS logical_document_key")
-    return docs.versions(docs.first_copies(keyed))
+    texts = Stages(b).table("validated_documents", lambda: docs.validate(
+        files(b).selectExpr("*", "'x.txt' AS plain").drop("filename").withColumnRenamed("plain", "filename")).where("outcome = 'valid'"))
+    # identity and versions are worked out on narrow rows; the texts are shuffled at most once
+    identity = texts.selectExpr("document_id", "checksum_sha256", "injection_matches",
+                                f"{docs.logical_key('title')} AS logical_document_key")
+    state = docs.versions(docs.first_copies(identity)).select("document_id", "logical_document_key", "version_number", "status")
+    return texts.join(state, "document_id")
 
 
 @query()
