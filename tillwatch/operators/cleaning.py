@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwatch.functions.text import is_missing, lit, round2
+from tillwatch.functions.text import MISSING_TEXT, fixed, is_missing, lit, round2, text_list
 from tillwatch.operators.quality import iso_date, number, raw_date
 from tillwatch.operators.templates import aggregates
 from tillwatch.sources.config import DATASETS, LABELS, names
@@ -30,59 +30,60 @@ def squeeze(x: str) -> str:
     return rf"regexp_replace(trim({x}), '\\s+', ' ')"
 
 
+def known(x: str) -> str:
+    """The text, or NULL when it spells a missing value; x is already squeezed."""
+    return f"CASE WHEN lower({x}) NOT IN ({text_list(MISSING_TEXT)}) THEN {x} END"
+
+
 def _canonical(column: str, x: str) -> str:
     labels = LABELS.get(column, ())
-    known = " ".join(f"WHEN {lit(v.lower())} THEN {lit(v)}" for v in labels)
-    mapped = f"CASE lower({squeeze(x)}) {known} ELSE {x} END" if known else x
-    return f"CASE WHEN {is_missing(x)} THEN NULL ELSE {mapped} END"
+    listed = " ".join(f"WHEN {lit(v.lower())} THEN {lit(v)}" for v in labels)
+    return f"CASE lower({x}) {listed} ELSE {x} END" if listed else x
 
 
-def _cleaned(dataset: str, columns: list[str]) -> tuple[dict[str, str], dict[str, str], list[str]]:
-    """Stages of each column as SQL: normalised text, final text, and the problem expressions."""
-    text = {c: squeeze(c) for c in columns}
+def _cleaned(dataset: str, columns: list[str]) -> tuple[dict[str, str], list[str]]:
+    """Final text and problem expressions over the squeezed columns t_*, in which missing is NULL."""
     final, problems = {}, []
     ids = [c for c in columns if c == "id" or c.endswith("_id")]
     whole, decimal = names(dataset, "whole"), names(dataset, "decimal")
     for c in columns:
         t = f"t_{c}"
         if c in ids:
-            final[c] = f"CASE WHEN {is_missing(t)} THEN NULL ELSE upper({t}) END"
+            final[c] = f"upper({t})"
         elif c in names(dataset, "labels"):
             final[c] = _canonical(c, t)
         elif c in names(dataset, "dates"):
             final[c] = f"date_format({raw_date(t)}, 'yyyy-MM-dd')"
-            problems.append(f"CASE WHEN {is_missing(t)} THEN 'missing {c}' WHEN {raw_date(t)} IS NULL THEN 'invalid {c}' END")
+            problems.append(f"CASE WHEN {t} IS NULL THEN 'missing {c}' WHEN {raw_date(t)} IS NULL THEN 'invalid {c}' END")
         elif c in names(dataset, "months"):
             final[c] = rf"CASE WHEN {t} RLIKE '^\\d{{4}}-(0?[1-9]|1[0-2])$' THEN concat(substring({t}, 1, 5), lpad(substring({t}, 6), 2, '0')) END"
-            problems.append(f"CASE WHEN {is_missing(t)} THEN 'missing {c}' WHEN NOT {t} RLIKE '^[0-9]{{4}}-(0?[1-9]|1[0-2])$' THEN 'invalid {c}' END")
+            problems.append(f"CASE WHEN {t} IS NULL THEN 'missing {c}' WHEN NOT {t} RLIKE '^[0-9]{{4}}-(0?[1-9]|1[0-2])$' THEN 'invalid {c}' END")
         elif c in whole or c in decimal:
-            n = f"CASE WHEN NOT {is_missing(t)} THEN {number(t)} END"
-            problems.append(f"CASE WHEN NOT {is_missing(t)} AND {number(t)} IS NULL THEN 'not numeric {c}' END")
+            n = f"try_cast({t} AS DOUBLE)"
+            problems.append(f"CASE WHEN {t} IS NOT NULL AND {n} IS NULL THEN 'not numeric {c}' END")
             if c in whole:
                 problems.append(f"CASE WHEN {n} % 1 <> 0 THEN 'not whole {c}' END")
                 final[c] = f"CAST(CAST({n} AS BIGINT) AS STRING)"
             else:
-                final[c] = f"CAST(CAST({round2(n)} AS DECIMAL(20,2)) AS STRING)"
-        elif (dataset, c) in (("products", "shelf_life_days"), ("inventory", "expiry_date")):
-            final[c] = t
+                final[c] = f"CAST(CAST({fixed(n)} AS DECIMAL(20,2)) AS STRING)"
         else:
-            final[c] = f"CASE WHEN {is_missing(t)} THEN NULL ELSE {t} END"
-    return text, final, problems
+            final[c] = t
+    return final, problems
 
 
 def clean(dataset: str, raw: DataFrame, products: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Canonical text columns plus `problem` (NULL when the row is usable)."""
     columns = [c for c in raw.columns if c not in names(dataset, "drop")]
-    text, final, problems = _cleaned(dataset, columns)
-    staged = raw.selectExpr(*[f"{sql} AS t_{c}" for c, sql in text.items()])
+    final, problems = _cleaned(dataset, columns)
+    staged = raw.selectExpr(*[f"{squeeze(c)} AS t_{c}" for c in columns]).selectExpr(*[f"{known(f't_{c}')} AS t_{c}" for c in columns])
     if dataset == "products":
         life = number("t_shelf_life_days")
         flag = _canonical("is_perishable", "t_is_perishable")
-        filled = f"{flag} = 'Yes' AND NOT {is_missing('t_shelf_life_days')}"
+        filled = f"{flag} = 'Yes' AND t_shelf_life_days IS NOT NULL"
         final["shelf_life_days"] = (f"CASE WHEN {flag} = 'No' THEN 'NA' WHEN {filled} AND {life} > 0 AND {life} % 1 = 0 "
                                     f"THEN CAST(CAST({life} AS BIGINT) AS STRING) END")
         problems += [
-            f"CASE WHEN {is_missing('t_product_id')} THEN 'missing product_id' END",
+            "CASE WHEN t_product_id IS NULL THEN 'missing product_id' END",
             f"CASE WHEN {flag} IS NULL THEN 'missing is_perishable' WHEN {flag} NOT IN ('Yes', 'No') THEN 'invalid is_perishable' END",
             f"CASE WHEN {filled} AND {life} IS NULL THEN 'invalid shelf_life_days' WHEN {filled} AND {life} % 1 <> 0 THEN 'fractional shelf_life_days' "
             f"WHEN {filled} AND {life} <= 0 THEN 'shelf_life_days not positive' END"]
@@ -90,9 +91,8 @@ def clean(dataset: str, raw: DataFrame, products: DataFrame | None = None, stric
         if products is None:
             raise ValueError("inventory cleaning needs the cleaned products")
         flags = products.selectExpr("product_id AS flag_id", "is_perishable AS flag")
-        staged = staged.withColumnRenamed("t_product_id", "_p").selectExpr("*", "_p AS t_product_id", f"{final['product_id'].replace('t_product_id', '_p')} AS flag_id").drop("_p").join(
-            flags, "flag_id", "left")
-        filled = f"flag = 'Yes' AND NOT {is_missing('t_expiry_date')}"
+        staged = staged.selectExpr("*", "upper(t_product_id) AS flag_id").join(flags, "flag_id", "left")
+        filled = "flag = 'Yes' AND t_expiry_date IS NOT NULL"
         final["expiry_date"] = f"CASE WHEN flag = 'No' THEN 'NA' WHEN {filled} THEN date_format({raw_date('t_expiry_date')}, 'yyyy-MM-dd') END"
         problems += ["CASE WHEN flag_id IS NOT NULL AND flag IS NULL THEN 'unknown product_id' END",
                      f"CASE WHEN {filled} AND {raw_date('t_expiry_date')} IS NULL THEN 'invalid expiry_date' END"]
