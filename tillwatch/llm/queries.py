@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, personal_data, quality_rules, sentence_pieces, simhash
 from .common import table
 
 
@@ -16,6 +16,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.detected(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
@@ -27,5 +35,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_simhash_near_dedup, op9_benchmark_decontamination, op10_quality_rules,
+    op2_simhash_near_dedup, op4_personal_data, op8_sentence_pieces, op9_benchmark_decontamination, op10_quality_rules,
 )}
