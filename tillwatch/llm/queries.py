@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, personal_data, quality_rules, sentence_pieces, simhash
+from . import decontaminate, personal_data, quality_rules, repeated_phrases, sentence_pieces, simhash, suffix_levels
 from .common import table
 
 
+def removed_units() -> Column:
+    return F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = repeated_phrases.without_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return marked.select("row.doc_id", F.col("n_units").alias("n_words"), removed_units().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(
         "row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -20,6 +29,13 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.detected(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = suffix_levels.without_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return marked.select(
+        "row.doc_id", F.col("n_units").alias("n_bytes"), removed_units().alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -35,5 +51,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_simhash_near_dedup, op4_personal_data, op8_sentence_pieces, op9_benchmark_decontamination, op10_quality_rules,
+    op1_substring_dedup, op2_simhash_near_dedup, op4_personal_data, op7_suffix_array_dedup, op8_sentence_pieces, op9_benchmark_decontamination, op10_quality_rules,
 )}
