@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, personal_data, quality_rules, repeated_phrases, sentence_pieces, simhash, suffix_levels
+from . import (
+    decontaminate, language_id, personal_data, quality_rules, repeated_phrases, sentence_pieces, simhash, suffix_levels, toxicity, url_templates,
+)
 from .common import table
 
 
@@ -25,10 +27,23 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judged(table(spark, sf_dir, "pages"), carry=["page_id"]).select("row.page_id", "host", "path", "rule", "verdict", "template", "block_rate")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.detected(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("row.doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.scored(docs, labels, carry=["doc_id"]).select("row.doc_id", "held_out", "score", "predicted")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = suffix_levels.without_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return marked.select(
@@ -51,5 +66,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_simhash_near_dedup, op4_personal_data, op7_suffix_array_dedup, op8_sentence_pieces, op9_benchmark_decontamination, op10_quality_rules,
+    op1_substring_dedup, op2_simhash_near_dedup, op3_url_filters, op4_personal_data, op5_language_id, op6_toxicity, op7_suffix_array_dedup,
+    op8_sentence_pieces, op9_benchmark_decontamination, op10_quality_rules,
 )}
