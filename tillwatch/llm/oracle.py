@@ -65,7 +65,7 @@ def _level(name: str, keys: str) -> str:
 
 
 def _top(b: str) -> str:
-    return f"(CASE WHEN {b} < 64 THEN {b} ELSE (({b} - 32) % 64 + 33) * (1::BIGINT << (({b} - 32) // 64 - 6)::BIGINT) - 1 END)"
+    return f"(CASE WHEN {b} < 64 THEN {b} ELSE ({b} % 64 + 33) * (1::BIGINT << ({b} // 64 - 6)::BIGINT) - 1 END)"
 
 
 OP10 = rf"""

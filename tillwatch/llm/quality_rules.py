@@ -106,8 +106,8 @@ def bucket(value: Column) -> Column:
 
 def bucket_top(b: Column) -> Column:
     """The largest value of a bucket."""
-    bits, lead = F.floor((b - 32) / 64), (b - 32) % 64
-    return F.when(b < 64, b).otherwise((lead + 33) * F.pow(F.lit(2.0), bits - 6) - 1).cast("long")
+    bits = F.floor(b / 64)
+    return F.when(b < 64, b).otherwise((b % 64 + 33) * F.pow(F.lit(2.0), bits - 6) - 1).cast("long")
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
