@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +19,7 @@ DOCUMENT_TYPES = ("Business Rule", "KPI Definition", "Policy", "SOP", "Vendor Co
                   "Historical Report", "Meeting Note", "User Guide", "Other")
 ACCESS_SCOPES = ("Internal", "Management", "Restricted")
 DOCUMENT_STATUSES = ("Active", "Quarantined", "Superseded", "Archived")
-MAX_FILE_BYTES = 5_000_000
-CHUNK_SIZE, CHUNK_OVERLAP, MAX_CHUNKS = 1800, 200, 500
+CHUNK_SIZE, CHUNK_OVERLAP = 1800, 200
 INJECTION_PATTERNS = {
     "ignore_previous_instructions": r"\bignore\s+(?:all\s+|any\s+|the\s+)?(?:previous|prior|above)\s+instructions?\b",
     "follow_instructions_instead": r"\bfollow\s+(?:these|my|the following)\s+instructions?\s+instead\b",
@@ -39,8 +38,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         "element_at(split(path, '/'), -1) AS filename", "content")
 
 
-def validate(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Normalised text, checksum, size, suspicious phrases and an outcome per file; nothing is dropped."""
+def validate(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Normalised text, checksum, size, suspicious phrases and an outcome per file; nothing is dropped.
+
+    Files of any size are accepted unless `max_bytes` is given."""
+    large = f"WHEN file_size_bytes > {max_bytes} THEN 'too large' " if max_bytes is not None else ""
     extension = r"lower(regexp_extract(filename, '(\\.[^./]+)$', 1))"
     normal = (r"regexp_replace(regexp_replace(regexp_replace(CAST(content AS STRING), '^\\uFEFF', ''), '\\r\\n?', '\n'), "
               f"'{EDGE_SPACE}', '')")
@@ -54,7 +56,7 @@ def validate(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
         *kept, "file_extension", "file_size_bytes", "checksum_sha256", "content_text",
         f"array_compact(array({found})) AS injection_matches",
         f"CASE WHEN {clean_text('filename')} = '' THEN 'empty filename' WHEN file_extension NOT IN ({text_list(EXTENSIONS)}) THEN 'unsupported extension' "
-        f"WHEN file_size_bytes = 0 THEN 'empty file' WHEN file_size_bytes > {max_bytes} THEN 'too large' "
+        f"WHEN file_size_bytes = 0 THEN 'empty file' {large}"
         "WHEN contains(content, X'00') THEN 'binary content' WHEN NOT valid_text THEN 'not UTF-8' "
         "WHEN content_text = '' THEN 'no readable text' WHEN file_extension = '.json' AND try_parse_json(content_text) IS NULL THEN 'invalid JSON' "
         "ELSE 'valid' END AS outcome")
@@ -78,9 +80,14 @@ def first_copies(documents: DataFrame) -> DataFrame:
     return documents.join(originals, "checksum_sha256").selectExpr("*", "document_id <> original_id AS duplicate")
 
 
-def numbered(documents: DataFrame, key: str, width: int = 100_000) -> DataFrame:
-    """Running number per key by document_id; long keys are counted in id ranges, not in one task."""
-    parts = documents.selectExpr("*", f"document_id DIV {width} AS _part")
+def numbered(documents: DataFrame, key: str, ranges: int = 256) -> DataFrame:
+    """Running number per key by document_id; long keys are counted in id ranges, not in one task.
+
+    The ranges end at quantiles of the ids, so they are even whether ids are dense, sparse or hashed."""
+    shares = ", ".join(f"{k / ranges}D" for k in range(1, ranges))
+    bounds = documents.selectExpr(f"percentile_approx(document_id, array({shares})) AS b").first()["b"] or []
+    listed = ", ".join(f"{b}L" for b in sorted(set(bounds)))
+    parts = documents.selectExpr("*", f"size(filter(CAST(array({listed}) AS ARRAY<BIGINT>), b -> b < document_id)) AS _part")
     sizes = parts.groupBy(key, "_part").agg(*aggregates({"_n": "count(*)"})).selectExpr(
         key, "_part", f"coalesce(sum(_n) OVER (PARTITION BY {key} ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before")
     return parts.selectExpr("*", f"row_number() OVER (PARTITION BY {key}, _part ORDER BY document_id) AS _number").join(
@@ -109,59 +116,90 @@ def _section(text: str, headings: list[re.Match], starts: list[int], position: i
     return None
 
 
+#: Kinds of breaks; any of them may end a chunk, and the latest one in reach does.
+BREAK = re.compile(r"\n| ")
+LEAST_SHARE = 0.6
+
+
+class Breaks:
+    """The places of a text where a chunk may end, collected once."""
+
+    def __init__(self, text: str):
+        self.places = [m.start() for m in BREAK.finditer(text)]
+
+    def last(self, low: int, high: int) -> int | None:
+        """The last break from low up to, not including, high."""
+        at = bisect_left(self.places, high) - 1
+        return self.places[at] if at >= 0 and self.places[at] >= low else None
+
+
+def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Untrimmed chunks: a window of `size`, ended at the last break beyond 60% of it, each `overlap` before the end of the one before."""
+    breaks, reach = Breaks(text), max(1, int(size * LEAST_SHARE))
+    at = 0
+    while len(text) - at > size:
+        end = breaks.last(at + reach, at + size) or at + size
+        yield at, end
+        at = end - overlap if end - overlap > at else end
+    if at < len(text):
+        yield at, len(text)
+
+
 def cut(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Trimmed (start, end) offsets; a cut falls on the last break in the last 40% of the window."""
-    start, length = 0, len(text)
-    while start < length:
-        end = target = min(start + size, length)
-        if target < length:
-            low = min(target, start + max(1, int(size * 0.60)))
-            best = max(text.rfind(mark, low, target) for mark in ("\n\n", "\n", " "))
-            if best > start:
-                end = best
-        piece = text[start:end]
-        if piece.strip():
-            yield start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip())
-        if end >= length:
-            return
-        start = end - overlap if end - overlap > start else end
+    """Chunk offsets without the blanks at either side; blank chunks are left out."""
+    solid = [m.span() for m in re.finditer(r"\S+", text)]
+    begins, ends = [a for a, _ in solid], [b for _, b in solid]
+    for low, high in windows(text, size, overlap):
+        first, last = bisect_right(ends, low), bisect_left(begins, high) - 1
+        if first <= last:
+            yield max(low, begins[first]), min(high, ends[last])
 
 
 CHUNK_SCHEMA = ("document_id bigint, chunk_index int, section_title string, chunk_text string, character_start int, "
                 "character_end int, character_count int, token_estimate int, problem string")
 
 
-def _chunker(size: int, overlap: int, limit: int):
+ROWS_AT_ONCE = 2_000
+
+
+def _chunker(size: int, overlap: int, limit: int | None):
     names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
 
+    def rows_of(document_id: int, raw: str | None) -> Iterator[tuple]:
+        text = (raw or "").strip()
+        spans = list(cut(text, size, overlap))
+        if not spans or (limit is not None and len(spans) > limit):
+            yield document_id, -1, None, None, 0, 0, 0, 0, "no text" if not spans else f"more than {limit} chunks"
+            return
+        headings = list(HEADING.finditer(text))
+        starts = [m.start() for m in headings]
+        for i, (a, b) in enumerate(spans):
+            piece = text[a:b]
+            tokens = max(1, len(piece.split()), math.ceil(len(piece) / 4))
+            yield document_id, i, _section(text, headings, starts, a), piece, a, b, b - a, tokens, None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for document_id, raw in zip(batch["document_id"], batch["content_text"]):
-                text = (raw or "").strip()
-                spans = list(cut(text, size, overlap))
-                if not spans or len(spans) > limit:
-                    problem = "no text" if not spans else f"more than {limit} chunks"
-                    rows.append((document_id, -1, None, None, 0, 0, 0, 0, problem))
-                    continue
-                headings = list(HEADING.finditer(text))
-                starts = [m.start() for m in headings]
-                for i, (a, b) in enumerate(spans):
-                    piece = text[a:b]
-                    tokens = max(1, len(piece.split()), math.ceil(len(piece) / 4))
-                    rows.append((document_id, i, _section(text, headings, starts, a), piece, a, b, b - a, tokens, None))
-            yield pd.DataFrame(rows, columns=names)
+                for row in rows_of(document_id, raw):
+                    rows.append(row)
+                    if len(rows) >= ROWS_AT_ONCE:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
-def chunks(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, limit: int = MAX_CHUNKS) -> DataFrame:
-    """Overlapping chunks of each whole text.
+def chunks(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, limit: int | None = None) -> DataFrame:
+    """Overlapping chunks of each whole text, however many.
 
-    A text that yields none or more than `limit` chunks gives one row with a
-    `problem` (chunk_index -1), as such a document is refused.
+    A text that yields none, or more than an optional `limit`, gives one row with a
+    `problem` (chunk_index -1).
     """
-    if size < 200 or not 0 <= overlap < size or limit < 1:
+    if size < 200 or not 0 <= overlap < size or (limit is not None and limit < 1):
         raise ValueError("chunk size must be at least 200, overlap below it and the limit positive")
     return documents.select("document_id", "content_text").mapInPandas(_chunker(size, overlap, limit), CHUNK_SCHEMA)
 

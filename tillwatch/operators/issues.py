@@ -218,10 +218,16 @@ PRESERVED = ("status", "root_cause_status", "created_at")
 
 
 def merge_issues(stored: DataFrame, fresh: DataFrame, run_at: str) -> DataFrame:
-    """Upsert by issue_id: new facts replace old ones, workflow columns of known issues stay."""
+    """Upsert by issue_id: new facts replace old ones, workflow columns of known issues stay.
+
+    Where two groups share an id, one row of it counts on either side: that of the highest score, then of the last group."""
     now = f"TIMESTAMP_NTZ '{run_at}'"
-    incoming = fresh.selectExpr("issue_id", f"struct({', '.join(fresh.columns)}) AS new")
-    old = stored.selectExpr("issue_id", f"struct({', '.join(stored.columns)}) AS old")
+
+    def one_each(df: DataFrame, name: str) -> DataFrame:
+        order = ", ".join(c for c in ("priority_score", "issue_type", "issue_group_id") if c in df.columns) or "issue_id"
+        return df.groupBy("issue_id").agg(*aggregates({name: f"max_by(struct({', '.join(df.columns)}), struct({order}))"}))
+
+    incoming, old = one_each(fresh, "new"), one_each(stored, "old")
     merged = old.join(incoming, "issue_id", "full_outer")
     body = [
         f"coalesce(old.{c}, new.{c}) AS {c}" if c in PRESERVED else f"if(new IS NULL, old.{c}, new.{c}) AS {c}"

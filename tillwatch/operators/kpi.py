@@ -97,9 +97,9 @@ KPIS = (
 
 
 def kpi_table(sales: DataFrame, finance: DataFrame, inventory: DataFrame, complaints: DataFrame,
-              deliveries: DataFrame, period: str = "January 2026 to June 2026",
+              deliveries: DataFrame, period: str | None = None,
               calculated_at: str | None = None) -> DataFrame:
-    """Twelve KPI rows; every summary is a one-row scalar subquery."""
+    """Twelve KPI rows; every summary is a one-row scalar subquery. The period is that of the sales unless one is given."""
     def one(df: DataFrame):
         return df.selectExpr(f"struct({', '.join(df.columns)})").scalar()
 
@@ -112,9 +112,10 @@ def kpi_table(sales: DataFrame, finance: DataFrame, inventory: DataFrame, compla
         one(latest_sales_growth(sales)).alias("growth"), one(targets).alias("targets"),
         one(inventory_counts(inventory)).alias("stock"), one(complaint_counts(complaints)).alias("cases"),
         one(delivery_counts(deliveries)).alias("supply"),
+        one(sales.agg(*aggregates({"low": "min(date)", "high": "max(date)"}))).alias("span"),
     )
     periods = {
-        "all": lit(period),
+        "all": lit(period) if period else "concat(date_format(span.low, 'yyyy-MM'), ' to ', date_format(span.high, 'yyyy-MM'))",
         "growth": say("{now} compared with {before}", now="growth.month",
                       before="coalesce(growth.previous_month, 'None')"),
         "target": say("Latest finance month: {m}", m="targets.month"),

@@ -122,13 +122,17 @@ def reference_samples(tables: dict[str, DataFrame], dataset: str, column: str, k
     return order_by(values.join(tables[parent].selectExpr(f"{parent_key} AS value"), "value", "left_anti"), "value").limit(keep)
 
 
-def violations(tables: dict[str, DataFrame], processed: bool = False) -> DataFrame:
-    """All violations of all datasets; a missing required column is a violation too."""
+def violations(tables: dict[str, DataFrame], processed: bool = False, only: str | None = None) -> DataFrame:
+    """All violations of all datasets, or of one; a missing required column is a violation too.
+
+    With `only`, no other table is read but those that the dataset refers to."""
     spark = next(iter(tables.values())).sparkSession
     schema = "dataset string, rule string, column_name string, violations bigint, example string"
-    absent = [(d, "missing column", c, 1, c) for d, df in tables.items() for c in missing_columns(d, df)]
+    absent = [(d, "missing column", c, 1, c) for d, df in tables.items() if only in (None, d) for c in missing_columns(d, df)]
     parts = [spark.createDataFrame(absent, schema)]
     for dataset, df in tables.items():
+        if only not in (None, dataset):
+            continue
         parts.append(column_violations(dataset, df, processed))
         if DATASETS[dataset]["key"] in df.columns:
             parts.append(duplicate_keys(dataset, df))

@@ -133,9 +133,3 @@ def first_rows(df: DataFrame, limit: int, order: str, rank: str | None = None) -
     if rank is None:
         return top
     return top.selectExpr(f"row_number() OVER (ORDER BY {order}) AS {rank}", "*")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-bound Python work when a small input has fewer partitions than that."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

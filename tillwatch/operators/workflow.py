@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tillwatch.functions.text import lit, say, severity_rank, text_list
 from tillwatch.operators.issues import ACTIVE
@@ -39,19 +39,21 @@ def issue_list(issues: DataFrame, limit: int, offset: int = 0, **equal: str | No
 EVIDENCE_FIELDS = ("source_finding_id", "analysis_type", "severity", "summary", "evidence", "detected_at")
 
 
-def issue_details(issues: DataFrame, evidence: DataFrame, analyses: DataFrame, wanted: DataFrame, keep: int = 100) -> DataFrame:
-    """Issue, evidence count, its strongest evidence rows and root cause, for the wanted issue ids."""
-    chosen = issues.join(wanted.select("issue_id").distinct(), "issue_id", "left_semi")
-    rows = evidence.join(wanted.select("issue_id").distinct(), "issue_id", "left_semi")
+def issue_details(issues: DataFrame, evidence: DataFrame, analyses: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A row per evidence of each wanted issue, strongest first by `position`, with the issue, its evidence count and root cause.
+
+    Issues without evidence keep one row. Evidence stays rows, so an issue may have any number of it."""
+    ids = wanted.select("issue_id").distinct()
+    chosen = issues.join(ids, "issue_id", "left_semi")
+    rows = evidence.join(ids, "issue_id", "left_semi")
     counts = rows.groupBy("issue_id").agg(*aggregates({"evidence_count": "count(*)"}))
     listed = rows.selectExpr(
-        "issue_id", *EVIDENCE_FIELDS,
-        f"row_number() OVER (PARTITION BY issue_id ORDER BY {severity_rank()}, detected_at DESC NULLS LAST, source_finding_id) AS position",
-    ).where(f"position <= {keep}").groupBy("issue_id").agg(*aggregates({
-        "evidence": f"array_sort(collect_list(struct(position, {', '.join(EVIDENCE_FIELDS)})))"}))
+        "issue_id", *[f"{c} AS evidence_{c}" if c in ("severity", "summary") else c for c in EVIDENCE_FIELDS],
+        f"row_number() OVER (PARTITION BY issue_id ORDER BY {severity_rank()}, detected_at DESC NULLS LAST, source_finding_id) AS position")
     cause = analyses.selectExpr("issue_id", "struct(root_cause_category, root_cause_summary, confidence_score, review_status) AS root_cause")
-    return chosen.join(counts, "issue_id", "left").join(listed, "issue_id", "left").join(cause, "issue_id", "left").selectExpr(
-        *[c for c in issues.columns], "coalesce(evidence_count, 0) AS evidence_count", "evidence", "root_cause")
+    kept = [c for c in issues.columns if c not in listed.columns or c == "issue_id"]
+    return chosen.select(*kept).join(counts, "issue_id", "left").join(listed, "issue_id", "left").join(cause, "issue_id", "left").withColumn(
+        "evidence_count", F.coalesce("evidence_count", F.lit(0)))
 
 
 def recommendation_list(recommendations: DataFrame, issues: DataFrame, limit: int, offset: int = 0,

@@ -66,7 +66,7 @@ def change(now: str, before: str) -> str:
 
 
 def factors(*parts: str) -> str:
-    return f"concat_ws(' ', {', '.join(parts)})"
+    return f"coalesce(nullif(concat_ws(' ', {', '.join(parts)}), ''), 'Available data did not identify a stronger contributing factor.')"
 
 
 def when(condition: str, text: str) -> str:
@@ -278,7 +278,7 @@ ORACLE: dict[str, str] = {
     "recommendation_refresh": check(REFRESH, STATE),
     "action_steps": check("SELECT recommendation_id, CAST(4 AS INTEGER) AS step_count, regexp_replace(regexp_replace(regexp_extract(recommendation_text, 'Recommended action steps: (.*)$', 1), '^1\\. ', ''), ' [2-4]\\. ', ' | ', 'g') AS steps FROM recommendations", STATE),
     "issue_list": check(f"SELECT issue_id, title, priority_level, priority_score, status FROM previous WHERE priority_level = 'High' AND status = 'Open' ORDER BY priority_score DESC, issue_id LIMIT 50 OFFSET 1", {**ISSUES, "previous": PREVIOUS}),
-    "issue_details": check(f"SELECT issue_id, title, e.n AS evidence_count, e.ids AS strongest_evidence, root_cause_category, review_status FROM issues JOIN reviewed USING (issue_id) JOIN (SELECT issue_id, count(*) AS n, array_to_string(list(source_finding_id ORDER BY {sev()}, detected_at DESC, source_finding_id)[1:5], ', ') AS ids FROM evidence GROUP BY issue_id) e USING (issue_id) WHERE priority_level = 'High'", {**LIGHT, "reviewed": REVIEWED}),
+    "issue_details": check(f"SELECT issue_id, title, count(source_finding_id) OVER (PARTITION BY issue_id) AS evidence_count, CASE WHEN source_finding_id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY issue_id ORDER BY {sev('e.severity')}, detected_at DESC, source_finding_id) AS INTEGER) END AS position, source_finding_id, root_cause_category, review_status FROM issues JOIN reviewed USING (issue_id) LEFT JOIN (SELECT issue_id, source_finding_id, severity, detected_at FROM evidence) e USING (issue_id) WHERE priority_level = 'High'", {**LIGHT, "reviewed": REVIEWED}),
     "recommendation_list": check(f"SELECT recommendation_id, issue_title, priority_level, priority_score, confidence_score, status FROM stored WHERE status = 'Accepted' ORDER BY {LEVEL}, priority_score DESC, confidence_score DESC, recommendation_id LIMIT 50 OFFSET 1", STATE),
     "recommendation_details": check("SELECT s.recommendation_id, s.issue_id, s.recommendation_title, s.suggested_owner_role, s.suggested_deadline, s.confidence_score, s.status, i.title AS issue_title, i.status AS issue_status, i.summary AS issue_summary, r.root_cause_category, r.confidence_score AS root_cause_confidence, r.review_status FROM stored s JOIN issues i USING (issue_id) LEFT JOIN reviewed r USING (issue_id)", STATE),
     "task_list": check(f"SELECT t.task_id, i.title AS issue_title, t.title AS recommendation_title, assigned_role, due_date, t.priority_level, t.status FROM tasks t JOIN issues i USING (issue_id) WHERE t.priority_level = 'High' ORDER BY {TASK_RANK}, due_date, task_id LIMIT 50 OFFSET 1", STATE),

@@ -95,7 +95,6 @@ def regional_decline(where: str = "trim(region) <> ''") -> str:
     return named_decline("region", "Region", "Regional Sales Decline", where)
 
 
-UNTIL_APRIL = "date < DATE '2001-05-01'"
 LATEST_FINANCE = ("SELECT * FROM finance QUALIFY row_number() OVER "
                   "(PARTITION BY store_id ORDER BY month DESC, finance_id) = 1")
 LOW_TARGET_SALES = shaped(
@@ -426,8 +425,8 @@ SLIM = "finding_id, analysis_type, severity, entity_id"
 ORACLE: dict[str, str] = {
     "store_sales_decline": with_views(["sales"], STORE_DECLINE),
     "product_sales_decline": with_views(["sales"], PRODUCT_DECLINE),
-    "category_sales_decline": with_views(["sales"], category_decline(UNTIL_APRIL)),
-    "regional_sales_decline": with_views(["sales"], regional_decline(f"trim(region) <> '' AND {UNTIL_APRIL}")),
+    "category_sales_decline": with_views(["sales"], category_decline("TRUE")),
+    "regional_sales_decline": with_views(["sales"], regional_decline("trim(region) <> ''")),
     "low_target_achievement": with_views(["finance"], LOW_TARGET_SALES),
     "product_underperformance": with_views(["sales"], UNDERPERFORMANCE),
     "sales_findings": with_views(["finance"], SALES_ALL),

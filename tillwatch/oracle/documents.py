@@ -38,7 +38,7 @@ FILES = (f"SELECT doc_id AS document_id, 'doc-' || doc_id || {pick(NAMES, 'doc_i
          f"trim(regexp_replace(lower(source || ' / ' || lang), '[^a-z0-9]+', '-', 'g'), '-') AS logical_document_key FROM documents")
 VERSIONS = ("SELECT *, row_number() OVER (PARTITION BY logical_document_key ORDER BY document_id) AS version_number, "
             "CASE WHEN injection <> '' THEN 'Quarantined' WHEN document_id < max(document_id) FILTER (injection = '') OVER (PARTITION BY logical_document_key) "
-            "THEN 'Superseded' ELSE 'Active' END AS status FROM (SELECT * FROM files WHERE content_text <> '' AND file_size_bytes <= 5000000 "
+            "THEN 'Superseded' ELSE 'Active' END AS status FROM (SELECT * FROM files WHERE content_text <> ''  "
             "QUALIFY row_number() OVER (PARTITION BY checksum_sha256 ORDER BY document_id) = 1)")
 CTE = f"WITH files AS MATERIALIZED ({FILES}), versions AS MATERIALIZED ({VERSIONS})"
 WORDS = "unnest(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
@@ -46,7 +46,7 @@ SEARCH = f"""{CTE},
 units AS MATERIALIZED (SELECT document_id AS unit_id, content_text AS text FROM versions WHERE status = 'Active' AND access_scope IN ('Internal', 'Management')
   AND source_date BETWEEN DATE '2026-01-01' AND DATE '2026-06-30'),
 postings AS MATERIALIZED (SELECT unit_id, word, count(*) AS uses FROM (SELECT unit_id, {WORDS.format('text')} AS word FROM units) GROUP BY ALL),
-queries AS MATERIALIZED (SELECT item_id * 1000 + place AS query_id, query FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[.!?]')) AS query,
+queries AS MATERIALIZED (SELECT item_id || '-' || place AS query_id, query FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[.!?]')) AS query,
   generate_subscripts(regexp_split_to_array(text, '[.!?]'), 1) - 1 AS place FROM benchmark) WHERE trim(query) <> ''),
 words AS MATERIALIZED (SELECT DISTINCT query_id, {WORDS.format('query')} AS word FROM queries),
 df AS (SELECT word, count(*) AS units FROM postings GROUP BY word),
@@ -58,14 +58,38 @@ ranked AS (SELECT query_id, unit_id, CAST(relevance AS DOUBLE) AS relevance_scor
   FROM hits JOIN (SELECT query_id, count(*) AS needed FROM words GROUP BY query_id) USING (query_id) WHERE found = needed
   QUALIFY position <= 20)"""
 
+LAST = "position(' ' IN reverse(replace(substr(t, {b} + 1081, 720), chr(10), ' ')))"
+BREAK = f"(CASE WHEN {LAST} > 0 THEN {{b}} + 1800 - {LAST} ELSE {{b}} + 1800 END)"
+# a chunk starts at s; its raw end is the last blank or newline in the last 40% of 1,800 characters, or the window's end
+WALK = f"""{CTE.replace("WITH ", "WITH RECURSIVE ", 1)},
+texts AS MATERIALIZED (SELECT document_id, version_number, status, title, document_type, access_scope, source_date, content_text AS t, length(content_text) AS n FROM versions),
+walk AS (SELECT document_id, n, t, 0 AS s, CASE WHEN n <= 1800 THEN n ELSE {BREAK.format(b="0")} END AS e FROM texts),
+steps AS (SELECT document_id, n, t, s, e FROM walk
+  UNION ALL SELECT document_id, n, t, b AS s, CASE WHEN n - b <= 1800 THEN n ELSE {BREAK.format(b="b")} END AS e
+  FROM (SELECT document_id, n, t, e, CASE WHEN e - 200 > s THEN e - 200 ELSE e END AS b FROM steps WHERE e < n)),
+pieces AS (SELECT document_id, s, e, t, substr(t, s + 1, e - s) AS raw FROM steps),
+trimmed AS (SELECT document_id, t, s + length(raw) - length(regexp_replace(raw, '^{SPACE}+', '')) AS a, s + length(regexp_replace(raw, '{SPACE}+$', '')) AS b FROM pieces
+  WHERE regexp_replace(raw, '^{SPACE}+', '') <> ''),
+chunked AS MATERIALIZED (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY a) - 1 AS INTEGER) AS chunk_index, substr(t, a + 1, b - a) AS chunk_text,
+  CAST(a AS INTEGER) AS character_start, CAST(b AS INTEGER) AS character_end, substr(t, 1, a) AS before FROM trimmed),
+cited AS MATERIALIZED (SELECT c.*, v.version_number, v.status, 'DOC-' || document_id || '-V' || v.version_number || ':CHUNK-' || (chunk_index + 1) AS citation_id,
+  regexp_extract_all(before, '(?m)^#{{1,6}}[ \\t]+([^\\n]+?)[ \\t]*$', 1) AS heads FROM chunked c JOIN texts v USING (document_id))"""
+
+RANKED = SEARCH[SEARCH.index("postings AS"):]
+CHUNK_SEARCH = f"""{WALK}, units AS MATERIALIZED (SELECT citation_id AS unit_id, chunk_text AS text FROM cited JOIN texts USING (document_id)
+  WHERE texts.status = 'Active' AND access_scope IN ('Internal', 'Management') AND document_type IN ('Business Rule', 'Policy', 'User Guide') AND title LIKE '% / en'),
+{RANKED.replace("<= 20", "<= 5")} SELECT * FROM ranked"""
+
 ORACLE: dict[str, str] = {
-    "document_validation": f"WITH files AS ({FILES}) SELECT document_id, file_extension, file_size_bytes, checksum_sha256, CAST(length(content_text) AS INTEGER) AS text_length, CASE WHEN file_extension NOT IN ('.txt', '.md', '.csv', '.json') THEN 'unsupported extension' WHEN file_size_bytes = 0 THEN 'empty file' WHEN file_size_bytes > 5000000 THEN 'too large' WHEN contains(text, chr(0)) THEN 'binary content' WHEN content_text = '' THEN 'no readable text' WHEN file_extension = '.json' AND NOT json_valid(content_text) THEN 'invalid JSON' ELSE 'valid' END AS outcome, injection AS injection_matches FROM files",
-    "injection_scan": f"SELECT 'turn' AS kind, conv_id * 1000 + turn AS document_id, {matches('text')} AS matches, {flags('text')} AS injection_matches FROM conversations UNION ALL SELECT 'document', doc_id, {matches('text')}, {flags('text')} FROM documents",
+    "chunk_search": CHUNK_SEARCH,
+    "document_validation": f"WITH files AS ({FILES}) SELECT document_id, file_extension, file_size_bytes, checksum_sha256, CAST(length(content_text) AS INTEGER) AS text_length, CASE WHEN file_extension NOT IN ('.txt', '.md', '.csv', '.json') THEN 'unsupported extension' WHEN file_size_bytes = 0 THEN 'empty file' WHEN contains(text, chr(0)) THEN 'binary content' WHEN content_text = '' THEN 'no readable text' WHEN file_extension = '.json' AND NOT json_valid(content_text) THEN 'invalid JSON' ELSE 'valid' END AS outcome, injection AS injection_matches FROM files",
+    "injection_scan": f"SELECT 'turn' AS kind, conv_id AS document_id, turn, {matches('text')} AS matches, {flags('text')} AS injection_matches FROM conversations UNION ALL SELECT 'document', doc_id, NULL, {matches('text')}, {flags('text')} FROM documents",
     "logical_keys": f"WITH files AS ({FILES}) SELECT document_id, logical_document_key FROM files",
     "vocabulary_check": "SELECT 'document_type' AS field, source AS value, count(*) AS documents FROM documents GROUP BY ALL UNION ALL SELECT 'access_scope', lang, count(*) FROM documents GROUP BY ALL",
     "duplicate_documents": "SELECT doc_id AS document_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS original_id, sha256(text) AS checksum_sha256 FROM documents QUALIFY document_id <> original_id",
     "document_versions": f"{CTE} SELECT document_id, logical_document_key, version_number, status FROM versions",
-    "document_list": f"{CTE} SELECT document_id, title, document_type, access_scope, version_number, status, source_date AS updated_at FROM versions WHERE status = 'Active' AND access_scope IN ('Internal', 'Management') ORDER BY source_date DESC, document_id DESC LIMIT 500",
+    "document_chunks": f"{WALK} SELECT document_id, chunk_index, heads[-1] AS section_title, chunk_text, character_start, character_end, character_end - character_start AS character_count, greatest(1, len(regexp_extract_all(chunk_text, '[^' || substr('{SPACE}', 2, length('{SPACE}') - 2) || ']+')), CAST(ceil((character_end - character_start) / 4) AS INTEGER)) AS token_estimate, version_number, status, citation_id FROM cited",
+    "document_list": f"{WALK}, counts AS (SELECT document_id, count(*) AS chunk_count FROM chunked GROUP BY ALL) SELECT document_id, title, document_type, access_scope, version_number, status, source_date AS updated_at, coalesce(chunk_count, 0) AS chunk_count FROM versions LEFT JOIN counts USING (document_id) WHERE status = 'Active' AND access_scope IN ('Internal', 'Management') ORDER BY source_date DESC, document_id DESC LIMIT 500",
     "document_search": f"{SEARCH} SELECT * FROM ranked",
     "retrieval_log": f"{SEARCH} SELECT query_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS search_query, 'Word Index Search' AS retrieval_method, 'Internal, Management' AS access_scopes, '{{}}' AS filters, coalesce(n, 0) AS result_count, coalesce(c, '[]') AS returned_citations FROM queries LEFT JOIN (SELECT query_id, count(*) AS n, '[' || string_agg(unit_id, ',' ORDER BY position) || ']' AS c FROM ranked GROUP BY query_id) USING (query_id)",
 }

@@ -66,7 +66,7 @@ def issues(source: str = "findings", where: str = "TRUE") -> str:
     key = "issue_type, issue_group_id, issue_id"
     return f"""
 SELECT issue_id,
- CASE issue_type WHEN 'Store Performance Risk' THEN 'Store performance risk at ' || f_store_name
+ CASE issue_type WHEN 'Store Performance Risk' THEN 'Store performance risk at ' || coalesce(nullif(f_store_name, ''), issue_group_id)
   WHEN 'Product Availability Risk' THEN 'Product availability risk: ' || f_product_name || ' at ' || f_store_name
   WHEN 'Inventory Overstock Risk' THEN 'Overstock risk: ' || f_product_name || ' at ' || f_store_name
   WHEN 'Complaint Resolution Backlog' THEN 'Complaint resolution backlog at ' || f_store_name

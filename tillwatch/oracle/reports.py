@@ -28,7 +28,7 @@ def kpi(key: str, name: str, value: str, shown: str, unit: str, period: str, tex
             f"FROM (SELECT {value} AS v, * FROM ({source}))")
 
 
-ALL = "'1995-01 to 2001-07'"
+ALL = "(SELECT strftime(min(date), '%Y-%m') || ' to ' || strftime(max(date), '%Y-%m') FROM sales)"
 COUNT = "format('{:,}', v)"
 SALES_ONE = "SELECT CAST(sum(total_sales) AS DOUBLE) AS s, count(*) AS n FROM sales"
 FINANCE_ONE = "SELECT CAST(sum(total_revenue) AS DOUBLE) AS r, CAST(sum(operating_profit) AS DOUBLE) AS p FROM finance"

@@ -121,9 +121,8 @@ def issue_list(b: Business):
 def issue_details(b: Business):
     s = Stages(b)
     wanted = s.table("issues").where("priority_level = 'High'").select("issue_id")
-    return workflow.issue_details(s.table("issues"), s.table("evidence"), s.table("reviewed_causes"), wanted, keep=5).selectExpr(
-        "issue_id", "title", "evidence_count", "array_join(transform(evidence, x -> x.source_finding_id), ', ') AS strongest_evidence",
-        "root_cause.root_cause_category AS root_cause_category", "root_cause.review_status AS review_status")
+    return workflow.issue_details(s.table("issues"), s.table("evidence"), s.table("reviewed_causes"), wanted).selectExpr(
+        "issue_id", "title", "evidence_count", "position", "source_finding_id", "root_cause.root_cause_category AS root_cause_category", "root_cause.review_status AS review_status")
 
 
 @query()
@@ -250,7 +249,7 @@ def numbered_kpis(b: Business) -> DataFrame:
     s = Stages(b)
     table = kpi.kpi_table(
         b.sales("date", "total_sales", "quantity_sold"), s.table("finance"), b.inventory(), s.table("complaints"),
-        s.table("deliveries"), period="1995-01 to 2001-07", calculated_at=DETECTED_AT)
+        s.table("deliveries"), calculated_at=DETECTED_AT)
     order = ", ".join(f"'{k[0]}'" for k in kpi.KPIS)
     return table.selectExpr("*", f"array_position(array({order}), kpi_key) AS position")
 

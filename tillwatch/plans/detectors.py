@@ -36,12 +36,12 @@ def product_sales_decline(b: Business):
 
 @query()
 def category_sales_decline(b: Business):
-    return sales.category_sales_decline(b.sales("category", "date", "total_sales"), as_of_month="2001-04", **AT)
+    return sales.category_sales_decline(b.sales("category", "date", "total_sales"), **AT)
 
 
 @query()
 def regional_sales_decline(b: Business):
-    return sales.regional_sales_decline(b.sales("region", "date", "total_sales"), as_of_month="2001-04", **AT)
+    return sales.regional_sales_decline(b.sales("region", "date", "total_sales"), **AT)
 
 
 @query()

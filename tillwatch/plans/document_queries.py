@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tillwatch.functions.text import text_list
-from tillwatch.operators.templates import spread
 from tillwatch.operators import documents as docs
 from tillwatch.plans.catalog import query
 from tillwatch.plans.stages import Stages
 from tillwatch.sources.business import Business
 
 SCOPES = ("Internal", "Management")
+SEARCHED_TYPES = ("Business Rule", "Policy", "User Guide")
 
 
 def _choice(values: tuple[str, ...], index: str) -> str:
@@ -30,11 +30,11 @@ def files(b: Business) -> DataFrame:
 
 def registered(b: Business) -> DataFrame:
     """The versioned document table, written once per application."""
-    return Stages(b).table("documents", lambda: _registered(b.wide()))
+    return Stages(b).table("documents", lambda: _registered(b))
 
 
 def _registered(b: Business) -> DataFrame:
-    """Text documents with identity, copies and versions (all stored as plain text files)."""
+    """Text documents with identity, copies and versions (all stored as plain text files); `document_validation` shows the refused ones."""
     texts = Stages(b).table("validated_documents", lambda: docs.validate(
         files(b).selectExpr("*", "'x.txt' AS plain").drop("filename").withColumnRenamed("plain", "filename")).where("outcome = 'valid'"))
     # identity and versions are worked out on narrow rows; the texts are shuffled at most once
@@ -46,7 +46,7 @@ def _registered(b: Business) -> DataFrame:
 
 @query()
 def document_validation(b: Business):
-    return docs.validate(files(b.wide())).selectExpr(
+    return docs.validate(files(b)).selectExpr(
         "document_id", "file_extension", "file_size_bytes", "checksum_sha256", "length(content_text) AS text_length", "outcome",
         "array_join(injection_matches, ', ') AS injection_matches")
 
@@ -55,10 +55,10 @@ def document_validation(b: Business):
 def injection_scan(b: Business):
     """Flags on every document and on every conversation turn."""
     turns = b.raw("conversations").selectExpr(
-        "conv_id * 1000 + turn AS document_id", "'turn.txt' AS filename", "CAST(text AS BINARY) AS content")
+        "conv_id AS document_id", "turn", "'turn.txt' AS filename", "CAST(text AS BINARY) AS content")
     both = turns.selectExpr("'turn' AS kind", "*").unionByName(
-        files(b).selectExpr("'document' AS kind", "document_id", "filename", "content"))
-    return docs.validate(both).selectExpr("kind", "document_id", "size(injection_matches) AS matches",
+        files(b).selectExpr("'document' AS kind", "document_id", "CAST(NULL AS BIGINT) AS turn", "filename", "content"))
+    return docs.validate(both).selectExpr("kind", "document_id", "turn", "size(injection_matches) AS matches",
                                           "array_join(injection_matches, ', ') AS injection_matches")
 
 
@@ -84,23 +84,27 @@ def document_versions(b: Business):
     return registered(b).select("document_id", "logical_document_key", "version_number", "status")
 
 
+def stored_chunks(b: Business) -> DataFrame:
+    """The chunks of all registered documents, cut once."""
+    return Stages(b).table("chunks", lambda: docs.chunks(registered(b).repartition("document_id")))
+
+
 @query()
 def document_chunks(b: Business):
-    found = registered(b)
-    return docs.cited(docs.chunks(spread(found.select("document_id", "content_text"))), found).drop("problem")
+    return docs.cited(stored_chunks(b), registered(b)).drop("problem")
 
 
 @query()
 def document_list(b: Business):
     found = registered(b).selectExpr(
-        "document_id", "title", "document_type", "access_scope", "version_number", "status", "source_date AS updated_at", "content_text")
-    return docs.document_list(found, docs.chunks(found), SCOPES, limit=500).drop("content_text", "chunk_count")
+        "document_id", "title", "document_type", "access_scope", "version_number", "status", "source_date AS updated_at")
+    return docs.document_list(found, stored_chunks(b), SCOPES, limit=500)
 
 
 def search_queries(b: Business) -> DataFrame:
     """Every sentence of every benchmark passage."""
     return b.raw("benchmark").selectExpr("item_id", "posexplode(split(text, '[.!?]')) AS (place, query)").where(
-        "trim(query) <> ''").selectExpr("item_id * 1000 + place AS query_id", "query")
+        "trim(query) <> ''").selectExpr("concat_ws('-', item_id, place) AS query_id", "query")
 
 
 def search_all(b: Business, limit: int) -> DataFrame:
@@ -122,8 +126,8 @@ def document_search(b: Business):
 @query()
 def chunk_search(b: Business):
     """Search over chunks with citations, restricted to English documents of three types."""
-    found = docs.searchable(registered(b), SCOPES, types=docs.DOCUMENT_TYPES, metadata={"lang": "en"})
-    pieces = docs.cited(docs.chunks(found), found)
+    found = docs.searchable(registered(b), SCOPES, types=SEARCHED_TYPES, metadata={"lang": "en"})
+    pieces = docs.cited(stored_chunks(b), found)
     units = Stages(b).table("chunk_units", lambda: pieces.selectExpr("citation_id AS unit_id", "chunk_text AS text"))
     index = Stages(b).table("chunk_index", lambda: docs.postings(units, "text"))
     return docs.search(units, search_queries(b), 5, index)

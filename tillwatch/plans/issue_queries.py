@@ -116,8 +116,13 @@ def requested_issues(b: Business):
 
 @query()
 def finding_reconciliation(b: Business):
+    """What the rules find when they run anew, against the findings that the issues were made of."""
     s = Stages(b)
-    return issues.reconciliation(s.table("findings"), s.table("findings"), s.table("issues"))
+    monitored = None
+    for family in s.families().values():
+        ids = family.select("finding_id")
+        monitored = ids if monitored is None else monitored.unionByName(ids)
+    return issues.reconciliation(monitored, s.table("findings"), s.table("issues"))
 
 
 @query()

@@ -51,7 +51,7 @@ def delivery_counts(b: Business):
 def kpi_table(b: Business):
     return kpi.kpi_table(
         b.sales("date", "total_sales", "quantity_sold"), b.finance(), b.inventory(),
-        b.complaints(*CASE), b.deliveries("delay_days"), period="1995-01 to 2001-07",
+        b.complaints(*CASE), b.deliveries("delay_days"),
         calculated_at=DETECTED_AT)
 
 

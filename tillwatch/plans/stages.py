@@ -8,14 +8,13 @@ nothing that was written.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwatch.operators import (
     complaints, executive, inventory, issues, recommend, rootcause, sales, vendor_finance,
 )
-from tillwatch.plans.detectors import AT, RULE_SALES, vendor_snapshot_of
+from tillwatch.plans.detectors import AT, vendor_snapshot_of
 from tillwatch.sources.business import Business
 
 RUN_AT = "2001-08-01 06:00:00"
@@ -23,12 +22,8 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by the cluster; only a session without one (tests) gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder that all nodes share: the cluster's checkpoint folder, else one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_stages").rstrip("/")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -38,7 +33,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 class Stages:
     def __init__(self, b: Business):
-        self.b = b.wide()
+        self.b = b
         self.spark = b.spark
 
     def table(self, name: str, build=None) -> DataFrame:
@@ -55,13 +50,14 @@ class Stages:
 
     # ---- loaded business tables that several rules read -------------------------
     def _sales(self) -> DataFrame:
-        return self.b.sales(*RULE_SALES, "profit")
+        """By store, product and month: every rule and context adds up months, so the lines themselves are not copied."""
+        return self.b.monthly_sales()
 
     def _complaints(self) -> DataFrame:
         return self.b.complaints()
 
     def _finance(self) -> DataFrame:
-        return self.b.finance()
+        return self.b.finance(self.table("sales"))
 
     def _inventory_snapshot(self) -> DataFrame:
         return inventory.snapshot(self.b.inventory(), self.b.products(), self.b.vendors(), self.table("complaints"))

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# fixed values: end of the usable history and the stock-count day of the sample data
-HISTORY_END = "2001-08-01"
+# fixed value: the stock-count day of the sample data
 SNAPSHOT_DATE = "2001-07-31"
 
 COMPLAINT_TYPES = {
@@ -122,22 +121,12 @@ COMPLAINT_COLUMNS = (
 class Business:
     """The nine business tables for one data directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self._wide = wide
-
-    def wide(self) -> Business:
-        """The same tables with small inputs dealt out to all cores, for CPU-bound jobs and stage writes."""
-        return Business(self.spark, self.sf_dir, wide=True)
 
     def raw(self, name: str) -> DataFrame:
-        df = table(self.spark, self.sf_dir, name)
-        if not self._wide or name not in ("lineitem", "documents", "part"):
-            return df
-        # a scan of one small file is one task; a large table has more splits than cores and stays as it is
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        return table(self.spark, self.sf_dir, name)
 
     # ---- dimensions -------------------------------------------------------
     def stores(self) -> DataFrame:
@@ -178,8 +167,7 @@ class Business:
     # ---- facts --------------------------------------------------------------
     def _lines(self, columns: tuple[str, ...]) -> DataFrame:
         """lineitem with its order and, where asked for, store and product columns."""
-        orders = self.raw("orders").where(f"o_orderdate < TIMESTAMP_NTZ '{HISTORY_END}'")
-        lines = self.raw("lineitem").join(orders, F.expr("l_orderkey = o_orderkey"))
+        lines = self.raw("lineitem").join(self.raw("orders"), F.expr("l_orderkey = o_orderkey"))
         if {"store_id", "store_name", "region"} & set(columns):
             stores = self.stores().select("store_number", "store_id", "store_name", "region")
             homes = self.raw("customer").join(stores, F.expr("c_nationkey = store_number")).select(
@@ -194,6 +182,18 @@ class Business:
         columns = columns or SALES_COLUMNS
         return self._lines(columns).selectExpr(*[f"{LINE_COLUMNS[c]} AS {c}" for c in columns])
 
+    def monthly_sales(self) -> DataFrame:
+        """Sales, cost and profit by store, product and month (`date` is its first day): added up by key, then named."""
+        lines = self.raw("lineitem").join(self.raw("orders"), F.expr("l_orderkey = o_orderkey")).join(
+            self.raw("customer").select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey"))
+        money = {c: f"CAST(sum({LINE_COLUMNS[c]}) AS DECIMAL(18,4))" for c in ("total_sales", "total_cost", "profit")}
+        sums = lines.groupBy("c_nationkey", "l_partkey", F.expr("CAST(trunc(o_orderdate, 'month') AS DATE) AS date")).agg(
+            *[F.expr(f"{sql} AS {c}") for c, sql in money.items()])
+        stores = self.stores().select("store_number", "store_id", "store_name", "region")
+        products = self.products().select("product_number", "product_id", "product_name", "category")
+        return sums.join(stores, F.expr("c_nationkey = store_number")).join(products, F.expr("l_partkey = product_number")).select(
+            "store_id", "store_name", "region", "product_id", "product_name", "category", "date", *money)
+
     def complaints(self, *columns: str) -> DataFrame:
         columns = columns or COMPLAINT_COLUMNS
         return self._lines(columns).where("l_returnflag = 'R'").selectExpr(
@@ -223,11 +223,11 @@ class Business:
             "END AS expiry_date",
         )
 
-    def finance(self) -> DataFrame:
-        """One row per store and month, with the store's mean monthly revenue as target."""
+    def finance(self, sales: DataFrame | None = None) -> DataFrame:
+        """One row per store and month, with the store's mean monthly revenue as target; from sales that are at hand, if given."""
         money = "DECIMAL(18,2)"
         monthly = (
-            self.sales("store_id", "store_name", "region", "date", "total_sales", "total_cost")
+            (sales if sales is not None else self.sales("store_id", "store_name", "region", "date", "total_sales", "total_cost"))
             .groupBy("store_id", "store_name", "region", F.expr("trunc(date, 'month') AS month_start"))
             .agg(F.expr(f"CAST(sum(total_sales) AS {money}) AS total_revenue"),
                  F.expr(f"CAST(sum(total_cost) AS {money}) AS total_cost"))

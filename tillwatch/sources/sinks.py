@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tillwatch.operators import cleaning, quality
 from tillwatch.operators.templates import order_by
 from tillwatch.sources.config import DATASETS, LOAD_ORDER
 
 LOG_SCHEMA = ("dataset_name string, source_file_name string, total_rows bigint, successful_rows bigint, failed_rows bigint, "
-              "import_status string, error_message string, imported_at timestamp_ntz")
+              "import_status string, error_message string, imported_at timestamp_ntz, duplicate_rows bigint")
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -40,35 +40,65 @@ def current_version(spark: SparkSession, root: str) -> str:
     return spark.read.schema("version string").json(f"{root}/current").first()["version"]
 
 
-def log_row(spark: SparkSession, dataset: str, source: str, total: int, good: int, status: str, at, error: str | None = None) -> DataFrame:
+def log_row(spark: SparkSession, dataset: str, source: str, total: int, good: int, status: str, at, error: str | None = None,
+            duplicates: int = 0) -> DataFrame:
+    """One log row; exact duplicates are neither successful nor failed."""
     return spark.createDataFrame(
-        [(dataset, source, total, good, total - good, status, error[:1000] if error else None, at)], LOG_SCHEMA)
+        [(dataset, source, total, good, total - good - duplicates, status, error[:1000] if error else None, at, duplicates)], LOG_SCHEMA)
+
+
+def append_log(row: DataFrame, path: str) -> None:
+    """Write the row of one dataset and source; a batch that runs again replaces its own row."""
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_name", "source_file_name").parquet(path)
 
 
 def import_dataset(dataset: str, raw: DataFrame, others: dict[str, DataFrame], target: DataFrame, products: DataFrame | None,
-                   target_path: str, log_path: str, source_name: str, at) -> str:
+                   target_path: str, log_path: str, source_name: str, at, quarantine_path: str | None = None) -> str:
     """Validate against the other datasets, clean, type and merge one dataset; returns the status.
 
-    The merged table goes to `target_path`, a new folder, never over the table being read.
+    The merged table goes to `target_path`, a new folder, never over the table being read. Nothing is lost: all violations of a
+    refused file and all rows that cannot be cleaned or typed are written under `quarantine_path` (by default next to the
+    target). Any error leaves a `Failed` log row; errors other than an empty file or wrong columns are raised again.
     """
     spark = raw.sparkSession
-    total = raw.count()
-    status, good, error = "Failed", 0, None
+    refused = quarantine_path or f"{target_path.rstrip('/')}-quarantine"
+    status, total, good, duplicates, error = "Failed", 0, 0, 0, None
     try:
+        seen = Observation()
+        found = quality.violations(quality.with_overrides(others, {dataset: raw}), only=dataset)
+        found.write.mode("overwrite").parquet(f"{refused}/violations")
+        stored = spark.read.schema(found.schema).parquet(f"{refused}/violations")
+        # as many rows as there are rules for the dataset
+        bad = order_by(stored, "rule", "column_name").collect()
+        cleaned = cleaning.clean(dataset, raw, products)
+        unusable = cleaning.quarantined(cleaned).observe(seen, F.count(F.lit(1)).alias("n"))
+        unusable.write.mode("overwrite").parquet(f"{refused}/cleaning")
+        total = raw.count()
         if total == 0:
             raise ValueError("the file has no rows")
-        found = quality.violations(quality.with_overrides(others, {dataset: raw})).where(F.col("dataset") == dataset)
-        bad = found.limit(20).collect()
         if bad:
             status = "Rejected"
             raise ValueError("; ".join(f"{r['rule']} in {r['column_name']}: {r['violations']}" for r in bad))
-        typed = cleaning.typed(dataset, cleaning.accepted(cleaning.clean(dataset, raw, products)))
-        rows = typed.where("problem IS NULL").drop("problem")
-        cleaning.upsert(target, rows, DATASETS[dataset]["key"]).write.mode("overwrite").parquet(target_path)
-        good, status = rows.count(), "Success"
-    except ValueError as problem:
+        kept, wrong = Observation(), Observation()
+        typed = cleaning.typed(dataset, cleaning.accepted(cleaned))
+        typed.where("problem IS NOT NULL").observe(wrong, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{refused}/typing")
+        rows = typed.where("problem IS NULL").drop("problem").observe(kept, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("overwrite").parquet(f"{refused}/accepted")
+        fresh = spark.read.schema(rows.schema).parquet(f"{refused}/accepted")
+        cleaning.upsert(target, fresh, DATASETS[dataset]["key"]).write.mode("overwrite").parquet(target_path)
+        rejected = seen.get["n"] + wrong.get["n"]
+        good = kept.get["n"]
+        duplicates = total - good - rejected
+        status = "Success" if rejected == 0 else "Partial"
+        error = f"{rejected} rows in quarantine" if rejected else None
+    except Exception as problem:
+        status = status if status == "Rejected" else "Failed"
         error = str(problem)
-    log_row(spark, dataset, source_name, total, good, status, at, error).write.mode("append").parquet(log_path)
+        append_log(log_row(spark, dataset, source_name, total, 0, status, at, error), log_path)
+        if not isinstance(problem, ValueError):
+            raise
+        return status
+    append_log(log_row(spark, dataset, source_name, total, good, status, at, error, duplicates), log_path)
     return status
 
 
