@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tillwatch.operators import cleaning, documents, executive, recommend, workflow
+from tillwatch.operators import cleaning, documents, executive, issues, recommend, workflow
 from tillwatch.operators.quality import raw_date
+from tillwatch.sources import sinks
+from tillwatch.sources.config import names
 
 
 def brute_selection(rows, limit):
@@ -66,6 +70,86 @@ def test_chunks(spark):
         documents.chunks(df, 500, 500)
 
 
+def test_long_texts_are_chunked_in_full(spark):
+    """900 kB of plain words: no limit of chunks or bytes drops any of them."""
+    text = " ".join(f"word{i % 1000}" for i in range(120_000))
+    df = spark.createDataFrame([(1, "long.txt", text.encode())], "document_id bigint, filename string, content binary")
+    valid = documents.validate(df)
+    assert valid.first()["outcome"] == "valid"
+    rows = documents.chunks(valid).orderBy("chunk_index").collect()
+    assert len(text) > 900_000 and rows[0]["character_start"] == 0 and rows[-1]["character_end"] == len(text)
+    assert all(b["character_start"] <= a["character_end"] for a, b in zip(rows, rows[1:]))
+    versioned = documents.versions(documents.first_copies(valid.selectExpr("*", "'k' AS logical_document_key")))
+    assert documents.cited(documents.chunks(valid), versioned).count() == len(rows)
+    assert [r["problem"] for r in documents.chunks(valid, limit=5).collect()] == ["more than 5 chunks"]
+
+
+def test_chunk_offsets(spark):
+    """Windows of 200 with an overlap of 50: each cut falls on the last blank or newline beyond 60% of the window."""
+    r = random.Random(2)
+    for _ in range(30):
+        text = "".join(r.choice("abcdefgh   \n\n") for _ in range(r.randint(1, 1500)))
+        at, want = 0, []
+        while at < len(text):
+            end = min(at + 200, len(text))
+            if end < len(text):
+                places = [i for i in range(at + 120, at + 200) if text[i] in " \n"]
+                end = places[-1] if places else end
+            if text[at:end].strip():
+                want.append(text[at:end].strip())
+            if end == len(text):
+                break
+            at = max(end - 50, at) if end - 50 > at else end
+        spans = list(documents.cut(text, 200, 50))
+        assert [text[a:b] for a, b in spans] == want
+
+
+def test_versions_of_sparse_ids(spark):
+    rows = [(i * 7_919_999_999, f"c{i}", "k" if i % 3 else "other") for i in range(900)]
+    df = spark.createDataFrame(rows, "document_id bigint, checksum_sha256 string, logical_document_key string")
+    got = {r["document_id"]: r["version_number"] for r in documents.numbered(df, "logical_document_key").collect()}
+    for key in ("k", "other"):
+        assert [got[i] for i, _, k in rows if k == key] == list(range(1, sum(k == key for _, _, k in rows) + 1))
+
+
+def test_colliding_issue_ids_stay_one_row(spark):
+    schema = "issue_id string, issue_type string, issue_group_id string, priority_score double, status string, root_cause_status string"
+    fresh = spark.createDataFrame([("I", "A", "x y", 50.0, "Open", "Pending"), ("I", "A", "x-y", 70.0, "Open", "Pending"), ("J", "A", "z", 1.0, "Open", "Pending")], schema)
+    stored = spark.createDataFrame([("I", "A", "x y", 10.0, "In Progress", "Done"), ("I", "A", "x-y", 20.0, "In Progress", "Done")], schema).selectExpr(
+        "*", *[f"TIMESTAMP_NTZ '2001-01-01 00:00:00' AS {c}" for c in ("created_at", "updated_at", "last_detected_at")])
+    got = {r["issue_id"]: (r["priority_score"], r["status"]) for r in issues.merge_issues(stored, fresh, "2001-02-01 00:00:00").collect()}
+    assert got == {"I": (70.0, "In Progress"), "J": (1.0, "Open")} and issues.merge_issues(stored, fresh, "2001-02-01 00:00:00").count() == 2
+
+
+def test_import_loses_nothing(spark, tmp_path):
+    columns = names("vendors", "columns")
+    base = {c: "x" for c in columns} | {"average_delivery_days": "3", "rating": "4", "region": "North", "supply_status": "Active"}
+
+    def rows(*changes):
+        return spark.createDataFrame([tuple((base | c)[n] for n in columns) for c in changes], ", ".join(f"{c} string" for c in columns))
+
+    target = rows({"vendor_id": "V0"}).selectExpr(*[
+        "CAST(3 AS BIGINT) AS average_delivery_days" if c == "average_delivery_days" else "CAST(4 AS DECIMAL(14,2)) AS rating" if c == "rating" else c for c in columns])
+    log, at = str(tmp_path / "log"), datetime.datetime(2026, 1, 1)
+    same = {"vendor_id": "V1"}
+    good = rows(same, same, {"vendor_id": "V2", "average_delivery_days": "3.5"})
+    deduped = rows(same, {"vendor_id": "V2", "average_delivery_days": "3.5"})
+    assert sinks.import_dataset("vendors", deduped, {}, target, None, str(tmp_path / "t"), log, "a", at) == "Partial"
+    assert sorted(r["vendor_id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["V0", "V1"]
+    held = spark.read.parquet(str(tmp_path / "t-quarantine/cleaning")).collect()
+    assert [(r["vendor_id"], r["problem"]) for r in held] == [("V2", "not whole average_delivery_days")]
+    assert sinks.import_dataset("vendors", good, {}, target, None, str(tmp_path / "u"), log, "b", at) == "Rejected"
+    assert spark.read.parquet(str(tmp_path / "u-quarantine/violations")).where("rule = 'duplicate key'").count() == 1
+    assert sinks.import_dataset("vendors", good.limit(0), {}, target, None, str(tmp_path / "v"), log, "c", at) == "Failed"
+    with pytest.raises(Exception):
+        sinks.import_dataset("vendors", deduped.withColumn("rating", F.expr("raise_error('boom')")), {}, target, None, str(tmp_path / "w"), log, "d", at)
+    for _ in range(2):  # a repeated batch keeps one log row
+        sinks.import_dataset("vendors", deduped, {}, target, None, str(tmp_path / "x"), log, "a", at)
+    logged = {r["source_file_name"]: (r["import_status"], r["total_rows"], r["successful_rows"], r["failed_rows"], r["duplicate_rows"]) for r in spark.read.parquet(log).collect()}
+    assert logged["a"] == ("Partial", 2, 1, 1, 0) and logged["b"][0] == "Rejected" and logged["c"][0] == "Failed" and logged["d"][0] == "Failed"
+    assert spark.read.parquet(log).count() == 4
+
+
 def test_document_validation_and_versions(spark):
     rows = [(1, "a.txt", b"same"), (2, "b.md", b"same"), (3, "c.json", b"{bad"), (4, "d.json", b'{"a": 1}'), (5, "e.pdf", b"x"), (6, "f.txt", b""),
             (7, "g.txt", b"a\x00b"), (8, "h.txt", b"\xff\xfe"), (9, "i.txt", b" \r\n "), (10, "j.txt", b"\xef\xbb\xbfone\r\ntwo\rthree "),
