@@ -165,9 +165,13 @@ class Business:
         )
 
     # ---- facts --------------------------------------------------------------
-    def _lines(self, columns: tuple[str, ...]) -> DataFrame:
-        """lineitem with its order and, where asked for, store and product columns."""
-        lines = self.raw("lineitem").join(self.raw("orders"), F.expr("l_orderkey = o_orderkey"))
+    def _lines(self, columns: tuple[str, ...], last_month: bool = False) -> DataFrame:
+        """lineitem with its order and, where asked for, store and product columns; all of it, or the last month of orders."""
+        orders = self.raw("orders")
+        if last_month:
+            first_day = orders.selectExpr("CAST(trunc(max(o_orderdate), 'month') AS TIMESTAMP_NTZ)").scalar()
+            orders = orders.where(F.col("o_orderdate") >= first_day)
+        lines = self.raw("lineitem").join(orders, F.expr("l_orderkey = o_orderkey"))
         if {"store_id", "store_name", "region"} & set(columns):
             stores = self.stores().select("store_number", "store_id", "store_name", "region")
             homes = self.raw("customer").join(stores, F.expr("c_nationkey = store_number")).select(
@@ -178,9 +182,9 @@ class Business:
             lines = lines.join(products, F.expr("l_partkey = product_number"))
         return lines
 
-    def sales(self, *columns: str) -> DataFrame:
+    def sales(self, *columns: str, last_month: bool = False) -> DataFrame:
         columns = columns or SALES_COLUMNS
-        return self._lines(columns).selectExpr(*[f"{LINE_COLUMNS[c]} AS {c}" for c in columns])
+        return self._lines(columns, last_month).selectExpr(*[f"{LINE_COLUMNS[c]} AS {c}" for c in columns])
 
     def monthly_sales(self) -> DataFrame:
         """Sales, cost and profit by store, product and month (`date` is its first day): added up by key, then named."""
