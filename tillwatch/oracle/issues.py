@@ -176,7 +176,31 @@ SOURCE_RANK = "CASE source WHEN 'sales' THEN 1 WHEN 'inventory' THEN 2 WHEN 'com
 PAGE = f"ORDER BY {sev()}, analysis_type, finding_id LIMIT 50 OFFSET 1"
 ACTIVE = "status IN ('Open', 'In Progress')"
 
+# greedy choice of ten: 18 points off for each earlier pick of the issue type, 4 for each of the business area
+FINALISTS = f"""SELECT i.*, coalesce(critical_evidence_score, 0) AS ces, coalesce(critical_signals, '') AS signals, minimum_stock_ratio_percent AS ratio,
+ CAST(round((priority_score + ces) * 100) AS BIGINT) AS cents,
+ row_number() OVER (ORDER BY priority_score DESC, ces DESC, high_finding_count DESC, finding_count DESC, {sev('priority_level')}, issue_id) AS position
+FROM issues i LEFT JOIN profiles USING (issue_id)"""
+PICKS = """WITH RECURSIVE pick AS (
+ SELECT 0 AS k, []::VARCHAR[] AS ids, []::VARCHAR[] AS types, []::VARCHAR[] AS areas, 0::BIGINT AS adjustment, 0::BIGINT AS score
+ UNION ALL
+ SELECT k + 1, list_append(ids, best.id), list_append(types, best.t), list_append(areas, best.a), best.adjustment, best.score
+ FROM (SELECT k, any_value(ids) AS ids, any_value(types) AS types, any_value(areas) AS areas,
+   arg_max({'id': issue_id, 't': issue_type, 'a': business_area, 'adjustment': off, 'score': cents - off}, (cents - off) * 1000000 - position) AS best
+  FROM (SELECT p.*, f.issue_id, f.issue_type, f.business_area, f.cents, f.position,
+    1800 * len(list_filter(types, lambda x: x = f.issue_type)) + 400 * len(list_filter(areas, lambda x: x = f.business_area)) AS off
+   FROM pick p, finalists f WHERE k < 10 AND NOT list_contains(ids, f.issue_id)) GROUP BY k))
+SELECT k AS executive_rank, ids[-1] AS issue_id, adjustment / 100.0::DOUBLE AS repetition_adjustment, score / 100.0::DOUBLE AS executive_score FROM pick WHERE k > 0"""
+CHOSEN = {**FULL, "finalists": FINALISTS, "picks": PICKS}
+EXECUTIVE = (f"SELECT executive_rank, issue_id, title, issue_type, business_area, priority_level, priority_score, ces AS critical_evidence_score, repetition_adjustment, "
+             f"executive_score, signals AS critical_signals, ratio AS minimum_stock_ratio_percent, 'Selected by executive score: base priority ' || {f2('priority_score')} || "
+             f"' + critical evidence ' || {f2('ces')} || ' - repetition adjustment ' || {f2('repetition_adjustment')} || '.' AS selection_reason, status, entity_type, entity_id, "
+             f"store_id, product_id, vendor_id, period_label, finding_count, high_finding_count, medium_finding_count, low_finding_count, summary, evidence_summary, {RUN} AS last_detected_at "
+             "FROM picks JOIN finalists USING (issue_id)")
+
 ORACLE: dict[str, str] = {
+    "executive_priorities": check(EXECUTIVE, CHOSEN),
+    "executive_evidence_references": check("SELECT issue_id, len(ids) AS included_count, array_to_string(ids, ', ') AS evidence_ids FROM (SELECT issue_id, list(source_finding_id ORDER BY seq)[1:12] AS ids FROM evidence WHERE issue_id IN (SELECT issue_id FROM picks) GROUP BY issue_id)", CHOSEN),
     "harmonised_findings": check(f"SELECT {', '.join(COMMON)}, source_module, source_report FROM findings", CTE),
     "issue_keys": check("SELECT finding_id, source_module, issue_type, issue_group_id, issue_id FROM findings", CTE),
     "consolidated_issues": check("SELECT * FROM issues", ISSUES),

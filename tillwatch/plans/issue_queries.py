@@ -88,7 +88,8 @@ def executive_priorities(b: Business):
 @query()
 def executive_evidence_references(b: Business):
     s = Stages(b)
-    return executive.evidence_references(s.table("executive"), s.table("evidence"))
+    return executive.evidence_references(s.table("executive"), s.table("evidence")).selectExpr(
+        "issue_id", "included_count", "array_join(evidence_ids, ', ') AS evidence_ids")
 
 
 @query()
