@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tillwatch.oracle.detectors import VENDOR_METRICS, COUNTS
-from tillwatch.oracle.issues import EVIDENCE, ISSUES, PREVIOUS, check
+from tillwatch.oracle.issues import EVIDENCE, FINALISTS, FULL, ISSUES, PICKS, PREVIOUS, check
 from tillwatch.oracle.reports import KPI_TABLE
 from tillwatch.oracle.views import d, f0, f2, inr, r2, sev, with_views
 from tillwatch.operators.recommend import TEMPLATES
@@ -253,6 +253,7 @@ def context(name: str, views: list[str], columns: str = "*") -> str:
     return with_views(views, f"SELECT {columns} FROM ({CONTEXT[name]})")
 
 
+SELECTION = {k: v for k, v in {**FULL, "finalists": FINALISTS, "picks": PICKS}.items() if k in ("scored", "profiles", "finalists", "picks")}
 ORACLE: dict[str, str] = {
     "store_finance_context": context("c_finance", ["finance"]),
     "store_sales_context": context("c_sales", ["sales"]),
@@ -268,6 +269,8 @@ ORACLE: dict[str, str] = {
     "complaint_category_context": context("c_categories", ["complaints"]),
     "inventory_product_context": context("c_product_stock", ["inventory", "vendors", "complaints"], "store_id, product_id, inventory_id, vendor_name, current_stock, reorder_level, stock_status, related_complaints, high_severity_complaints, unresolved_complaints, out_of_stock_complaints"),
     "root_causes": check("SELECT * FROM causes", DEEP),
+    "executive_root_causes": check("SELECT c.*, executive_rank, executive_score FROM causes c JOIN picks USING (issue_id)", {**DEEP, **SELECTION}),
+    "executive_recommendations": check("SELECT r.*, executive_rank, executive_score FROM recommendations r JOIN picks USING (issue_id)", {**STATE, **SELECTION}),
     "supporting_evidence": check(f"SELECT issue_id, count(*) AS evidence_rows, '[' || string_agg(CAST(json_object('source_finding_id', source_finding_id, 'source_module', source_module, 'analysis_type', analysis_type, 'business_area', business_area, 'severity', severity, 'summary', summary, 'evidence', evidence, 'detected_at', detected_at) AS VARCHAR), ',' ORDER BY p) || ']' AS supporting_evidence FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY {sev()}, analysis_type, detected_at DESC, seq) AS p FROM evidence QUALIFY p <= 12) GROUP BY issue_id", EVIDENCE),
     "root_cause_upsert": check(f"SELECT issue_id, root_cause_category, root_cause_summary, root_cause_explanation, confidence_score, evidence_count, 'Generated' AS analysis_status, CASE WHEN {OLD_CAUSES} THEN r.review_status ELSE 'Pending Review' END AS review_status, CASE WHEN {OLD_CAUSES} AND r.review_status IN ('Pending Review', 'Rejected') THEN 2 ELSE 1 END AS analysis_version, CASE WHEN {OLD_CAUSES} AND r.review_status IN ('Accepted', 'Edited') THEN TIMESTAMP '2001-07-01 06:00:00' ELSE TIMESTAMP '2001-08-01 06:00:00' END AS generated_at FROM (SELECT * EXCLUDE (review_status, analysis_status, generated_at) FROM causes) JOIN (SELECT issue_id, review_status FROM reviewed) r USING (issue_id)", {**DEEP, "reviewed": REVIEWED}),
     "issue_root_cause_status": check("SELECT issue_type, 'Generated' AS root_cause_status, count(*) AS issue_count FROM issues GROUP BY issue_type", ISSUES),
