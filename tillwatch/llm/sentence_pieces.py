@@ -16,10 +16,12 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,9 +140,9 @@ def backend(data: bytes):
 
 
 class Encoder:
-    """Encodes whole texts; the ids of distinct words are kept, up to `keep` of them."""
+    """Encodes whole texts; the ids of distinct words are kept, up to `keep` of them. Ids travel as bytes of 32-bit numbers."""
 
-    def __init__(self, data: bytes, keep: int = 400_000):
+    def __init__(self, data: bytes, keep: int = 150_000):
         self.tokenizer = backend(data)
         model = parsed(data)
         self.cut = separable(model)
@@ -150,24 +152,38 @@ class Encoder:
         self.words, self.keep = backend(data), keep
         if self.cut:  # it gets normalised words
             self.words.normalizer = self.words.pre_tokenizer = None
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        #: What each id stands for in a decoded text.
+        self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        pack = lambda encodings: [array("i", e.ids).tobytes() for e in encodings]
         if not self.cut:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return pack(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         normal = (lambda t: self.prefix + t.replace(" ", MARK)) if self.plain else self.tokenizer.normalizer.normalize_str
-        cut = [re.findall(WORD, normal(t)) if t else [] for t in texts]
-        new = list({w for words in cut for w in words if w not in self.known})
+        cut = [_WORDS(normal(t)) if t else [] for t in texts]
+        new = list(set(chain.from_iterable(cut)).difference(self.known))
         if len(self.known) + len(new) > self.keep:
-            self.known, new = {}, list({w for words in cut for w in words})
-        self.known.update(zip(new, (e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known = self.known
-        return [list(chain.from_iterable([known[w] for w in words])) for words in cut]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            self.known, new = {}, list(set(chain.from_iterable(cut)))
+        self.known.update(zip(new, pack(self.words.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [array("i", x).tolist() for x in self.packed(texts)]
 
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of ids: the bytes of the pieces. Where they aren't valid UTF-8, the tokenizers decoder decides."""
+        out = []
+        for row in ids:
+            try:
+                text = b"".join(map(self.surface.__getitem__, row)).decode()
+                out.append(text[1:] if self.prefix and text.startswith(" ") else text)
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(row, skip_special_tokens=False))
+        return out
+
+
+_WORDS = re.compile(WORD).findall
 _LOADED: dict[int, tuple] = {}
 
 
@@ -206,14 +222,17 @@ def encoded(docs: DataFrame, model_path: str | None = None, text: str = "text",
             texts = text_of(block, text).to_pylist()
             given = [t for t in texts if t is not None]
             wanted = theirs.encode(given, num_threads=threads)
-            got = ours.encode(given)
-            same = [a == b for a, b in zip(got, wanted, strict=True)]
-            back = ours.decode(wanted)
-            results = iter(zip(wanted, back, same, strict=True))
-            full = [next(results) if t is not None else (None, None, None) for t in texts]
+            packed = [array("i", x).tobytes() for x in wanted]
+            same = iter([a == b for a, b in zip(ours.packed(given), packed, strict=True)])
+            back = iter(ours.decode(wanted))
+            none = np.array([t is None for t in texts], dtype=bool)
+            sizes = np.zeros(len(texts), dtype=np.int32)
+            sizes[~none] = [len(x) for x in wanted]
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False)), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([
-                block.column("row"), pa.array([f[0] for f in full], pa.list_(pa.int32())),
-                pa.array([f[1] for f in full], pa.string()), pa.array([f[2] for f in full], pa.bool_())], ["row", "ids", "decoded", "parity"])
+                block.column("row"), ids, pa.array([None if t is None else next(back) for t in texts], pa.string()),
+                pa.array([None if t is None else next(same) for t in texts], pa.bool_())], ["row", "ids", "decoded", "parity"])
 
     return rows.mapInArrow(run, f"row {row_type(rows)}, ids array<int>, decoded string, parity boolean")
 
