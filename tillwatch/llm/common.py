@@ -68,11 +68,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if size <= 1 << 23:  # one very long text shall not stay in the worker's memory
+        if size <= 1 << 22:  # one very long text shall not stay in the worker's memory
             _POWERS[base] = have
     return have[:n]
 

@@ -165,7 +165,7 @@ def marker(part, block_bytes: int, text: str, cut: bool):
     return run
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 16 << 20, block_bytes: int = 6 << 20, text: str = "text", cut: bool = False) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 16 << 20, block_bytes: int = 2 << 20, text: str = "text", cut: bool = False) -> DataFrame:
     """Each row of docs (struct `row`) with n_words, hits (spans of words), items (ids) and, with cut, `clean`."""
     out = whole_rows(docs)
     row = out.schema["row"].dataType.simpleString()
