@@ -96,7 +96,7 @@ def fitted(sample: pa.Table, fit: Fit) -> Model | None:
         raw = np.frombuffer(t.encode(), dtype=np.uint8)
         grams = np.concatenate([g for g, _ in subwords(raw, np.array([0, len(raw)]), fit.buckets)])
         ids, n = np.unique(grams, return_counts=True)
-        features.append((ids, (n / max(1, n.sum())).astype(np.float32)[:, None]))
+        features.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)[:, None]))
     random = np.random.default_rng(fit.seed)
     table = random.normal(0, 0.1, (fit.buckets, fit.width)).astype(np.float32)
     weights, bias = np.zeros((fit.width, len(labels)), dtype=np.float32), np.zeros(len(labels), dtype=np.float32)

@@ -77,7 +77,7 @@ def fitted(sample: pa.Table, fit: Fit) -> Model:
     column = sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string())
     bags = []
     for k in range(sample.num_rows):
-        bags.append(np.unique(features(column.slice(k, 1), fit.buckets)[1]))
+        bags.append(np.unique(features(column.slice(k, 1), fit.buckets)[1]).astype(np.int32))
     bias, bias_n = 0.0, 0.0
     random = np.random.default_rng(fit.seed)
     for _ in range(fit.epochs):
@@ -116,7 +116,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), text: str = "te
         m = sent.value
         weights = np.zeros(fit.buckets)
         weights[m.ids] = m.weights
-        for block in blocks(batches, 4 << 20):
+        for block in blocks(batches, 2 << 20):
             doc, bucket = features(block.column("text"), fit.buckets)
             some = weights[bucket] != 0
             pairs = np.unique(doc[some] * np.int64(fit.buckets) + bucket[some])
