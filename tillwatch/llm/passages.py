@@ -193,7 +193,8 @@ def covered(texts: DataFrame, grid: Grid, find: Finder) -> DataFrame:
     """texts(id, th, text) -> (id, th, spans): the spans of units to remove, for texts that have any; spans may overlap."""
     ident = texts.schema["id"].dataType.simpleString()
     places = stored(texts.mapInArrow(scan(grid), f"id {ident}, th bigint, anchor bigint, seg bigint, start bigint, lead int, n int"), "places")
-    recurring = places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # A written table, so that the join's sides are plain shuffles and a hot anchor can be split among tasks.
+    recurring = stored(places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     places = stored(places.join(recurring, "anchor", "left_semi"), "recurring")
     of_first = [F.first(c).alias(c) for c in ("id", "th", "start", "lead", "n")]
     kinds = stored(places.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), *of_first), "kinds")

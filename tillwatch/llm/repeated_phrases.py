@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .common import merged
 from .passages import Grid, Piece, without_recurring
 
-GRID = Grid(words=True, window=35, gram=8, block_bytes=6 << 20)
+GRID = Grid(words=True, window=35, gram=8, block_bytes=2 << 20)
 
 
 def finder(window: int):
