@@ -1,0 +1,74 @@
+"""The pipeline's near-duplicate stage against brute force over the shingle sets of all pairs."""
+
+from __future__ import annotations
+
+import random
+from fractions import Fraction
+
+import pytest
+from test_dedup import roots
+
+from tillwatch.llm import near_copies, simhash
+
+
+def plain_set(text, k=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def alike(a, b):
+    return a == b or bool(a & b) and Fraction(len(a & b), len(a | b)) >= Fraction(8, 10)
+
+
+def kept_by_force(rows):
+    sets = {i: plain_set(t) for i, t in rows}
+    label = roots(sets, lambda x, y: alike(sets[x], sets[y]))
+    return sorted(set(label.values()))
+
+
+def planted(n, words, changes):
+    """Originals with copies that lack words at some places, and texts that share one common passage."""
+    draw = random.Random(7)
+    word = lambda: f"w{draw.randrange(4000)}"
+    passage = [word() for _ in range(40)]
+    out = []
+    for _ in range(n):
+        base = [word() for _ in range(words)]
+        out.append(base)
+        for c in changes:
+            copy = list(base)
+            for _ in range(c):
+                copy[draw.randrange(words)] = word()
+            out.append(copy)
+        out.append([*[word() for _ in range(draw.choice([8, 60]))], *passage, *[word() for _ in range(5)]])
+    draw.shuffle(out)
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_copies_with_changed_words(spark):
+    rows = planted(25, 200, [1, 2, 3, 4, 5])  # about 0.95 to 0.78
+    sets = [plain_set(t) for _, t in rows]
+    similar = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :] if a & b]
+    assert sum(0.8 <= s < 0.85 for s in similar) > 10 and sum(0.9 < s < 1 for s in similar) > 10 and any(0.7 < s < 0.8 for s in similar)
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == kept_by_force(rows)
+
+
+def test_large_family(spark):
+    """Most members are near the base but not near each other; one head a group makes the rounds go on."""
+    rows = planted(1, 120, [1, 2, 3, 3, 4, 5, 6] * 12)
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), heads_first=1)
+    assert sorted(r.doc_id for r in got.collect()) == kept_by_force(rows)
+
+
+@pytest.mark.parametrize("common", [0, 3])
+def test_any_order_gives_the_same(spark, monkeypatch, common):
+    monkeypatch.setattr(near_copies, "commonness", lambda *_: (near_copies.np.arange(near_copies.BUCKETS) % (common + 1)).astype("uint8"))
+    rows = planted(8, 100, [1, 2, 2, 3])
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == kept_by_force(rows)
+
+
+def test_documents(docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == kept_by_force(rows)
