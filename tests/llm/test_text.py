@@ -69,6 +69,17 @@ def test_more_spans_by_votes(spark):
     assert all(spans[100 + i] == "" for i in range(40))
 
 
+def test_secrets_of_any_length(spark):
+    """Keys over 128 characters, a first digit after over 64 letters, and a very long run are redacted whole."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    long = ["9f3a" * 100, "eyJ" + "aB3dE5gH" * 40, letters * 2 + "7x8y9z0w", "a1B2c3D4" * 25_000]
+    rows = [(i, f"the password={long[i % 4]} is set") for i in range(40)]
+    out = personal_data.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 40
+    for r in out:
+        assert long[r.doc_id % 4] not in r.text and long[r.doc_id % 4][-20:] not in r.text and r.text.startswith("the password")
+
+
 def test_redaction(odd):
     out = personal_data.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

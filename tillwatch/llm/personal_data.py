@@ -70,7 +70,7 @@ CANDIDATES = (
         "phone", r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
         r"[0-9]{3}[\x20.-][0-9]{4}", r"^\([0-9]{3}\)|^[0-9]{3}-[0-9]{3}-", r"(?i)\b(?:call|tel|phone|mobile|fax|cell|number)\b", r"555"),
     Candidate(
-        "secret", rf"(?<!{TOKEN})(?=[A-Za-z+/_-]{{0,64}}[0-9]){TOKEN}{{16,128}}(?!{TOKEN})",
+        "secret", rf"(?<!{TOKEN})(?=[A-Za-z+/_-]*+[0-9]){TOKEN}{{16,}}+",
         r"[A-Za-z0-9+/_-]{16}", r"^(?:[0-9a-f]{16,}|AKIA[0-9A-Z]{16}|[A-Za-z0-9+/_-]{32,})$",
         r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|bearer)\b\W{0,4}$", r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox|glpat-|eyJ)"),
     Candidate(
