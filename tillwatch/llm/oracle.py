@@ -1,7 +1,7 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express on whole tables.
 
 Not here: op2 (no XXH64 in SQL), op3 (levels of a tree that depend on each other), op4 (expectation-maximisation), op5 and op6
-(trained models), op8 (a tokenizer). These are tested against brute force, held-out labels or an exact round trip."""
+(trained models), op8 (a tokenizer), op11 (no CRC-32 in DuckDB), op12 (decoding until nothing is left). These are tested against brute force, held-out labels or an exact round trip."""
 
 from __future__ import annotations
 
@@ -102,6 +102,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM r
 """
 
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) r(m)),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n.n, 1000 * c.a * n.n // (x.f * y.f) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:c.m], ' ') JOIN n ON n.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, m AS whole, f, string_split(phrase, ' ') AS ws, unnest(range(2, m)) AS s FROM f WHERE m > 2),
+parts AS (SELECT lang, f, s, ws, unnest(range(1, whole - s + 2)) AS i FROM inner_),
+around AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(f) AS f FROM parts GROUP BY ALL),
+free AS (SELECT best.* FROM best LEFT JOIN around USING (lang, phrase) WHERE around.f IS NULL OR 100 * around.f < 100 * best.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1, "op7_suffix_array_dedup": OP7, "op9_benchmark_decontamination": OP9, "op10_quality_rules": OP10,
+    "op13_phrase_collocations": OP13,
 }

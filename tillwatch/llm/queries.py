@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, language_id, personal_data, quality_rules, repeated_phrases, sentence_pieces, simhash, suffix_levels, toxicity, url_templates,
+    collocations, conversations, decontaminate, language_id, personal_data, quality_rules, repeated_phrases, secret_scan, sentence_pieces, simhash, suffix_levels, toxicity,
+    url_templates,
 )
 from .common import table
 
@@ -65,7 +66,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(table(spark, sf_dir, "conversations"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scanned(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substring_dedup, op2_simhash_near_dedup, op3_url_filters, op4_personal_data, op5_language_id, op6_toxicity, op7_suffix_array_dedup,
-    op8_sentence_pieces, op9_benchmark_decontamination, op10_quality_rules,
+    op8_sentence_pieces, op9_benchmark_decontamination, op10_quality_rules, op11_conversation_repair, op12_secret_scan, op13_phrase_collocations,
 )}
