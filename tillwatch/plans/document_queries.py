@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tillwatch.functions.text import text_list
-from tillwatch.operators import documents as docs
+from tillwatch.operators import documents as docs, search
 from tillwatch.plans.catalog import query
 from tillwatch.plans.stages import Stages
 from tillwatch.sources.business import Business
@@ -123,6 +123,27 @@ def document_search(b: Business):
     return search_all(b, 20)
 
 
+def search_forms(b: Business) -> DataFrame:
+    """Five queries from the words of every benchmark passage: words, a phrase, alternatives, exclusions, and all of these."""
+    words = rf"regexp_extract_all(lower(text), '{docs.WORD}', 0)"
+    forms = {
+        0: "concat_ws(' ', w[0], w[1], w[2])", 1: "concat('\"', concat_ws(' ', w[0], w[1], w[2]), '\"')",
+        2: "concat(w[0], ' ', w[1], ' or \"', w[2], ' ', w[3], '\"')", 3: "concat(w[0], ' -', w[1])",
+        4: "concat('\"', w[1], ' ', w[2], '\" -\"', w[4], ' ', w[5], '\" OR ', w[3], ' ', w[6])",
+    }
+    listed = ", ".join(f"struct({k} AS form, {sql} AS query)" for k, sql in forms.items())
+    return b.raw("benchmark").selectExpr("item_id", f"{words} AS w").where("size(w) >= 7").selectExpr(
+        "item_id", f"inline(array({listed}))").selectExpr("concat_ws('-', item_id, form) AS query_id", "query")
+
+
+@query()
+def stemmed_search(b: Business):
+    """English full-text search with stems, phrases, alternatives and exclusions, ranked by cover density."""
+    index = Stages(b).table("stem_index", lambda: search.index(searched_units(b)))
+    words = Stages(b).table("stem_words", lambda: search.dictionary(index))
+    return search.search(index, words, search_forms(b), 20)
+
+
 @query()
 def chunk_search(b: Business):
     """Search over chunks with citations, restricted to English documents of three types."""
