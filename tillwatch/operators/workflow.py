@@ -153,15 +153,39 @@ _MOVES = "array(" + ", ".join(
     "1" if b in TRANSITIONS[a] else "0" for a in TASK_STATUSES for b in TASK_STATUSES) + ")"
 _INDEX = "CASE {x} " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(TASK_STATUSES)) + " END"
 _NAMES = "array(" + ", ".join(f"'{s}'" for s in TASK_STATUSES) + ")"
-EVENTS_PER_CHUNK = 1000
-
-
-def transitions(tasks: DataFrame, events: DataFrame, chunk: int = EVENTS_PER_CHUNK) -> DataFrame:
-    """Outcome of each status event; event_seq is unique per task and gives the order.
+#: Events of a chunk, and chunks (or groups of them) that are chained in one row.
+EVENTS_PER_CHUNK, FAN = 64, 64
+
+
+def _chained(maps: DataFrame, fan: int) -> DataFrame:
+    """(task_id, chunk, start_state): the state in which each chunk begins.
+
+    maps(task_id, chunk, first_state, moves): moves is a chunk's map from start state to end state. A prefix composition: `fan`
+    neighbouring maps at a time become one, level by level, until a task has one; then start states are handed down the same
+    levels. No row holds more than `fan` maps, however many events a task has; chunk numbers may have gaps."""
+    last = maps.selectExpr("max(chunk)").first()[0] or 0
+    levels, height = [maps.selectExpr("task_id", "chunk AS node", "first_state", "moves")], 0
+    joined = "aggregate(maps, array(0, 1, 2, 3, 4), (m, c) -> transform(m, s -> element_at(c.moves, s + 1)))"
+    while last >= fan**height:
+        gathered = levels[-1].groupBy("task_id", F.expr(f"node DIV {fan} AS above")).agg(*aggregates({
+            "first_state": "min(first_state)", "maps": "array_sort(collect_list(struct(node, moves)))"}))
+        levels.append(gathered.selectExpr("task_id", "above AS node", "first_state", "maps", f"{joined} AS moves"))
+        height += 1
+    # the top level has one node per task; every node hands its children the states they start in
+    state = levels[-1].selectExpr("task_id", "node", "first_state AS start_state")
+    hand_down = ("inline(transform(sequence(0, size(maps) - 1), i -> named_struct('node', maps[i].node, 'start_state', "
+                 "aggregate(slice(maps, 1, i), start_state, (s, c) -> element_at(c.moves, s + 1)))))")
+    for level in reversed(levels[1:]):
+        state = level.select("task_id", "node", "maps").join(state, ["task_id", "node"]).selectExpr("task_id", hand_down)
+    return state.withColumnRenamed("node", "chunk")
+
+
+def transitions(tasks: DataFrame, events: DataFrame, chunk: int = EVENTS_PER_CHUNK, fan: int = FAN) -> DataFrame:
+    """Outcome of each status event; event_seq is unique per task, not negative, and gives the order.
 
     Every chunk of a task's events is reduced to a map from start state to end
-    state. Only those maps are chained per task, so a task with very many events
-    is spread over many rows instead of being folded as one list.
+    state. The maps are composed in groups of `fan`, so a task with a third of all
+    events is spread over as many rows as any others, at every step.
     """
     step = f"if(element_at({_MOVES}, s * 5 + e.target + 1) = 1, e.target, s)"
     coded = events.selectExpr(
@@ -173,16 +197,12 @@ def transitions(tasks: DataFrame, events: DataFrame, chunk: int = EVENTS_PER_CHU
         "first_state": "min(first_state)",
         "steps": "array_sort(collect_list(struct(event_seq, target, target_status)))"})).selectExpr(
         "*", f"aggregate(steps, array(0, 1, 2, 3, 4), (m, e) -> transform(m, s -> {step})) AS moves")
-    chained = chunks.groupBy("task_id").agg(*aggregates({
-        "first_state": "min(first_state)", "maps": "array_sort(collect_list(struct(chunk, moves)))"})).selectExpr(
-        "task_id", "explode(aggregate(maps, named_struct('state', first_state, 'starts', CAST(array() AS ARRAY<STRUCT<chunk: BIGINT, state: INT>>)), "
-        "(a, c) -> named_struct('state', element_at(c.moves, a.state + 1), 'starts', "
-        "concat(a.starts, array(named_struct('chunk', c.chunk, 'state', a.state))))).starts) AS start"
-    ).selectExpr("task_id", "start.chunk AS chunk", "start.state AS start_state")
+    chained = _chained(chunks.select("task_id", "chunk", "first_state", "moves"), fan)
     outcome = (f"CASE WHEN e.target = a.state THEN 'no_change' WHEN element_at({_MOVES}, a.state * 5 + e.target + 1) = 1 THEN 'success' "
                "ELSE 'invalid_transition' END")
     moved = f"if(element_at({_MOVES}, a.state * 5 + e.target + 1) = 1, e.target, a.state)"
     kind = "ARRAY<STRUCT<event_seq: BIGINT, old_status: STRING, target_status: STRING, outcome: STRING>>"
+    # the log of one chunk: at most `chunk` events
     applied = chunks.select("task_id", "chunk", "steps").join(chained, ["task_id", "chunk"]).selectExpr(
         "task_id", f"inline(aggregate(steps, named_struct('state', start_state, 'log', CAST(array() AS {kind})), "
         f"(a, e) -> named_struct('state', {moved}, 'log', concat(a.log, array(named_struct('event_seq', e.event_seq, 'old_status', "
@@ -193,6 +213,16 @@ def transitions(tasks: DataFrame, events: DataFrame, chunk: int = EVENTS_PER_CHU
     return applied.unionByName(unknown)
 
 
+def task_details(tasks: DataFrame, issues: DataFrame, recommendations: DataFrame, analyses: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each wanted task once, with its issue, recommendation and root cause where there are any; unknown ids are `found` false."""
+    ids = wanted.select("task_id").distinct()
+    rows = tasks.join(ids, "task_id", "left_semi").join(
+        issues.selectExpr("issue_id", "title AS issue_title", "status AS issue_status", "summary AS issue_summary"), "issue_id", "left").join(
+        recommendations.selectExpr("recommendation_id", "recommendation_title", "status AS recommendation_status", "expected_impact"), "recommendation_id", "left").join(
+        analyses.selectExpr("issue_id", "root_cause_category", "root_cause_summary"), "issue_id", "left")
+    return ids.join(rows, "task_id", "left").withColumn("found", F.col("status").isNotNull())
+
+
 def moved_tasks(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
     last = outcomes.where("outcome = 'success'").groupBy("task_id").agg(
         *aggregates({"new_status": "max(struct(event_seq, target_status)).target_status"}))
