@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 
 def exact(value: float) -> str:
@@ -32,6 +33,17 @@ def aggregates(named: dict[str, str]) -> list[Column]:
     return [F.expr(f"{sql} AS {name}") for name, sql in named.items()]
 
 
+def observed(what: Observation, *names: str) -> tuple[int, ...]:
+    """Counts taken during a write; zeros if Spark found the input empty while planning and so ran nothing that could count."""
+    try:
+        found = what.get
+    except Py4JJavaError as problem:
+        if "AssertionError" not in str(problem.java_exception):
+            raise
+        found = {}
+    return tuple(found.get(name) or 0 for name in names)
+
+
 def merge_labels(fact: DataFrame, keys: Sequence[str], labels: Sequence[str],
                  sums: dict[str, str], names: Sequence[str] | None = None) -> DataFrame:
     """Sum-like aggregates per key with the text maximum of each label.

@@ -10,13 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillwatch.sources.config import names
 from tillwatch.sources.sinks import import_dataset
+from tillwatch.sources.versioned import BucketedTable
 
 
 def ingest_stream(spark: SparkSession, dataset: str, folder: str, root: str, others: Callable[[], dict[str, DataFrame]],
-                  products: Callable[[], DataFrame] | None = None, start: DataFrame | None = None) -> StreamingQuery:
+                  products: Callable[[], DataFrame] | None = None, start: DataFrame | None = None,
+                  table: BucketedTable | None = None) -> StreamingQuery:
     """Merge every arriving CSV file of one dataset.
 
-    Batch n reads the table version of the last successful batch and writes its own
+    With a bucketed table, batch n is its version n + 1 and rewrites the buckets it touches only. Otherwise batch n reads the table version of the last successful batch and writes its own
     folder, so a batch that is run again after a failure gives the same result.
     """
     schema = ", ".join(f"`{c}` string" for c in names(dataset, "columns"))
@@ -35,11 +37,11 @@ def ingest_stream(spark: SparkSession, dataset: str, folder: str, root: str, oth
         return start
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        target = latest(batch_id)
+        target = table if table is not None else latest(batch_id)
         if target is None:
             raise ValueError("the first batch needs a start table")
         import_dataset(dataset, batch, others(), target, products() if products else None, path(batch_id),
-                       f"{root}/import_log", f"batch-{batch_id}", datetime.datetime.now())
+                       f"{root}/import_log", f"batch-{batch_id}", datetime.datetime.now(), run_id=f"{dataset}-{batch_id}", version=batch_id + 1)
 
     return (
         spark.readStream.schema(schema).option("header", True).csv(folder).writeStream.foreachBatch(run)
