@@ -7,12 +7,13 @@ goes to quarantine. `strict=True` restores the stop-on-first-problem behaviour.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from tillwatch.functions.text import MISSING_TEXT, fixed, is_missing, lit, round2, text_list
 from tillwatch.operators.quality import iso_date, number, raw_date
-from tillwatch.operators.templates import aggregates
+from tillwatch.operators.templates import aggregates, observed
 from tillwatch.sources.config import DATASETS, LABELS, names
 
 
@@ -143,6 +144,55 @@ def statistics(dataset: str, raw: DataFrame, cleaned: DataFrame) -> DataFrame:
         "categorical_values_standardized", "generic_missing_values_standardized", "date_values_standardized")
 
 
+REPORT = ("input_file string, output_file string, original_rows bigint, original_columns int, final_rows bigint, duplicates_removed bigint, "
+          "columns_removed string, text_values_normalized bigint, id_values_standardized bigint, categorical_values_standardized bigint, "
+          "generic_missing_values_standardized bigint, date_values_standardized bigint, date_columns_standardized string, month_columns_standardized string, "
+          "numeric_columns_standardized string, perishable_missing_shelf_life bigint, non_perishable_shelf_life_set_to_na bigint, "
+          "perishable_missing_expiry bigint, non_perishable_expiry_set_to_na bigint, quarantined_rows bigint")
+
+
+def cleaned_with_report(dataset: str, raw: DataFrame, products: DataFrame | None, write: Callable[[DataFrame], None]) -> tuple:
+    """Clean, remove duplicates and write one dataset; gives its row of the report (REPORT).
+
+    The counters ride on the cleaning pass: they are observed on the rows as they come in, as they leave the cleaning and as they
+    leave the removal of duplicates, while `write` runs. Nothing is read a second time."""
+    columns = [c for c in raw.columns if c not in names(dataset, "drop")]
+    ids = [c for c in columns if c == "id" or c.endswith("_id")]
+    labels, dates, months = ([c for c in columns if c in names(dataset, what)] for what in ("labels", "dates", "months"))
+    numbers = [c for c in columns if c in names(dataset, "whole") + names(dataset, "decimal")]
+    special = [("products", "shelf_life_days"), ("inventory", "expiry_date")]
+    plain = [c for c in columns if c not in ids + labels + dates + months + numbers and (dataset, c) not in special]
+
+    def total(parts: list[str]) -> str:
+        return " + ".join(f"coalesce(sum(CAST({p} AS BIGINT)), 0)" for p in parts) or "sum(CAST(0 AS BIGINT))"
+
+    came, left, stayed = Observation(), Observation(), Observation()
+    incoming = raw.observe(came, *aggregates({
+        "original_rows": "count(*)",
+        "text_values": total([f"coalesce({c} <> {squeeze(c)}, FALSE)" for c in raw.columns]),
+        "id_values": total([f"coalesce(NOT {is_missing(c)} AND {squeeze(c)} <> upper({squeeze(c)}), FALSE)" for c in ids]),
+        "label_values": total([f"coalesce({squeeze(c)} <> {_canonical(c, squeeze(c))}, FALSE)" for c in labels]),
+        "missing_values": total([is_missing(c) for c in plain + ids + labels]),
+        "date_values": total([f"{raw_date(squeeze(c))} IS NOT NULL" for c in dates]),
+    }))
+    perishable = {
+        "missing_life": "is_perishable = 'Yes' AND shelf_life_days IS NULL" if dataset == "products" else "FALSE",
+        "life_na": "is_perishable = 'No'" if dataset == "products" else "FALSE",
+        "missing_expiry": "product_id IS NOT NULL AND expiry_date IS NULL" if dataset == "inventory" else "FALSE",
+        "expiry_na": "expiry_date = 'NA'" if dataset == "inventory" else "FALSE",
+    }
+    outgoing = clean(dataset, incoming, products).observe(left, *aggregates(
+        {"usable": "count_if(problem IS NULL)", "bad": "count_if(problem IS NOT NULL)"} | {k: f"count_if(problem IS NULL AND {v})" for k, v in perishable.items()}))
+    write(accepted(outgoing).observe(stayed, *aggregates({"final_rows": "count(*)"})))
+    original, text, ids_changed, label, missing, date = observed(came, "original_rows", "text_values", "id_values", "label_values", "missing_values", "date_values")
+    usable, bad, *flags = observed(left, "usable", "bad", *perishable)
+    (final,) = observed(stayed, "final_rows")
+    listed = ", ".join
+    return (
+        f"{dataset}_data.csv", f"{dataset}_clean.csv", original, len(raw.columns), final, usable - final, listed(x for x in raw.columns if x not in columns),
+        text, ids_changed, label, missing, date, listed(dates), listed(months), listed(numbers), *flags, bad)
+
+
 def typed(dataset: str, cleaned: DataFrame) -> DataFrame:
     """Typed columns in load order; missing or unexpected columns raise, bad values go to `problem`."""
     expected = names(dataset, "columns")

@@ -122,6 +122,95 @@ def reference_samples(tables: dict[str, DataFrame], dataset: str, column: str, k
     return order_by(values.join(tables[parent].selectExpr(f"{parent_key} AS value"), "value", "left_anti"), "value").limit(keep)
 
 
+def _tagged(dataset: str, df: DataFrame, tables: dict[str, DataFrame], spellings: tuple[str, ...]) -> DataFrame | None:
+    """Every reference value and every value that is no number, with what it belongs to: one pass over the dataset."""
+    marks = []
+    for column, (parent, key) in DATASETS[dataset].get("references", {}).items():
+        if column in df.columns and parent in tables and key in tables[parent].columns:
+            marks.append((column, f"NOT {is_missing(column, spellings)}", "unknown reference", lit(f"{parent}.{key}")))
+    for column in names(dataset, "non_negative"):
+        if column in df.columns:
+            marks.append((column, f"NOT {is_missing(column, spellings)} AND {number(column)} IS NULL", "not numeric", "CAST(NULL AS STRING)"))
+    if not marks:
+        return None
+    listed = ", ".join(
+        f"CASE WHEN {condition} THEN struct({lit(dataset)} AS dataset, {lit(rule)} AS rule, {lit(column)} AS column_name, {parent} AS parent, CAST({column} AS STRING) AS value) END"
+        for column, condition, rule, parent in marks)
+    return df.selectExpr(f"inline(array_compact(array({listed})))").distinct()
+
+
+def violation_samples(tables: dict[str, DataFrame], references: int = 10, numbers: int = 5, processed: bool = False) -> DataFrame:
+    """The first offending values (in text order) of every reference and every number column of all datasets.
+
+    Values are tagged with the key they refer to and made distinct; one anti-join against the tagged keys of all parents settles all
+    references at once. The rank per rule and column goes below the shuffle as a group limit."""
+    spellings = MISSING_TEXT if processed else MISSING_TEXT_RAW
+    parts = [part for name, df in tables.items() if (part := _tagged(name, df, tables, spellings)) is not None]
+    keys = sorted({r for name in tables for r in DATASETS[name].get("references", {}).values() if r[0] in tables and r[1] in tables[r[0]].columns})
+    values, parents = parts[0], None
+    for part in parts[1:]:
+        values = values.unionByName(part)
+    for table, key in keys:
+        own = tables[table].selectExpr(f"{lit(f'{table}.{key}')} AS parent", f"CAST({key} AS STRING) AS value")
+        parents = own if parents is None else parents.unionByName(own)
+    if parents is not None:
+        values = values.join(parents, ["parent", "value"], "left_anti")  # values without a parent stay
+    ranked = values.selectExpr(
+        "dataset", "rule", "column_name", "row_number() OVER (PARTITION BY dataset, rule, column_name ORDER BY value) AS position", "value")
+    return ranked.where(f"position <= {max(references, numbers)}").where(f"position <= CASE rule WHEN 'unknown reference' THEN {references} ELSE {numbers} END")
+
+
+def skipped_checks(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    """(dataset, reason) of the checks that can't run: absent datasets, absent columns of references, absent inputs of a rule."""
+    found = [(d, "dataset not given") for d in DATASETS if d not in tables]
+    needed = {
+        "inventory": [("stock status", ("current_stock", "reorder_level", "stock_status")), ("expiry date", ("expiry_date",))],
+        "finance": [("finance calculation", ("total_revenue", "total_cost", "gross_profit", "operating_expense", "operating_profit"))],
+        "vendor_deliveries": [("delivery dates", ("order_date", "expected_delivery_date", "actual_delivery_date", "delay_days"))],
+    }
+    for dataset, df in tables.items():
+        have = set(df.columns)
+        for column, (parent, key) in DATASETS[dataset].get("references", {}).items():
+            if parent not in tables:
+                continue
+            if column not in have:
+                found.append((dataset, f"reference column {column} not found"))
+            elif key not in tables[parent].columns:
+                found.append((parent, f"reference column {key} not found"))
+        for check, columns in needed.get(dataset, ()):
+            if not set(columns) <= have:
+                found.append((dataset, f"{check} check skipped"))
+        if dataset == "inventory" and "expiry_date" in have and not {"date", "inventory_date", "record_date", "stock_date", "last_restock_date"} & have:
+            found.append((dataset, "expiry date check skipped"))
+    return found
+
+
+def dataset_verdicts(tables: dict[str, DataFrame], processed: bool = False) -> DataFrame:
+    """A row per dataset: rows and columns, errors (rules that found something), warnings (checks that could not run), verdict.
+
+    Every finding is tagged with its severity and the findings are folded per dataset; the row count comes out of the same aggregate
+    as the column checks."""
+    spark = next(iter(tables.values())).sparkSession
+    spellings = MISSING_TEXT if processed else MISSING_TEXT_RAW
+    known = [(d, "error", 1) for d, df in tables.items() for _ in missing_columns(d, df)] + [(d, "warning", 1) for d, _ in skipped_checks(tables)]
+    tagged = spark.createDataFrame(known, "dataset string, tag string, amount bigint")
+    for dataset, df in tables.items():
+        rules = checks(dataset, df.columns, processed)
+        counted = df.agg(*aggregates({"n": "count(*)"} | {f"n{i}": f"count_if({condition})" for i, (_, _, condition, _) in enumerate(rules)}))
+        rows = ", ".join([f"struct({lit(dataset)} AS dataset, 'rows' AS tag, n AS amount)", *[
+            f"struct({lit(dataset)} AS dataset, 'error' AS tag, CAST(if(n{i} > 0, 1, 0) AS BIGINT) AS amount)" for i in range(len(rules))]])
+        tagged = tagged.unionByName(counted.selectExpr(f"inline(array({rows}))"))
+        more = broken_references(dataset, tables, spellings)
+        if DATASETS[dataset]["key"] in df.columns:
+            more.append(duplicate_keys(dataset, df))
+        for part in more:
+            tagged = tagged.unionByName(part.selectExpr("dataset", "'error' AS tag", "CAST(1 AS BIGINT) AS amount"))
+    widths = " ".join(f"WHEN {lit(d)} THEN {len(df.columns)}" for d, df in tables.items())
+    total = lambda tag: f"CAST(coalesce(sum(amount) FILTER (WHERE tag = '{tag}'), 0) AS BIGINT)"
+    return tagged.groupBy("dataset").agg(*aggregates({"row_count": total("rows"), "error_count": total("error"), "warning_count": total("warning")})).selectExpr(
+        "dataset", "row_count", f"CAST(CASE dataset {widths} ELSE 0 END AS BIGINT) AS column_count", "error_count", "warning_count", "error_count = 0 AS is_valid")
+
+
 def violations(tables: dict[str, DataFrame], processed: bool = False, only: str | None = None) -> DataFrame:
     """All violations of all datasets, or of one; a missing required column is a violation too.
 

@@ -118,6 +118,113 @@ def counted(rules: dict[str, str], source: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({c}) AS violations FROM {source}" for n, c in rules.items())
 
 
+# ---- samples and verdicts of all datasets, with three files that lack columns -------------------
+GIVEN = {"sales": ("dirty_sales", ("product_id", "discount_percent", "total_cost")), "inventory": (None, ("expiry_date",)), "finance": (None, ("operating_expense",))}
+
+
+def sample_parts(ds: str, table: str, without: tuple[str, ...]) -> list[str]:
+    out = [f"SELECT DISTINCT '{ds}' AS dataset, 'unknown reference' AS rule, '{column}' AS column_name, {column} AS value FROM {table} "
+           f"WHERE NOT {gone(column)} AND {column} NOT IN (SELECT {parent_key} FROM raw_{parent})"
+           for child, column, parent, parent_key in LINKS if child == ds and column not in without]
+    return out + [f"SELECT DISTINCT '{ds}', 'not numeric', '{c}', {c} FROM {table} WHERE NOT {gone(c)} AND {num(c)} IS NULL"
+                  for c in NUMBERS.get(ds, "").split() if c not in without]
+
+
+SAMPLES = ("SELECT dataset, rule, column_name, CAST(row_number() OVER (PARTITION BY dataset, rule, column_name ORDER BY value) AS INTEGER) AS position, value FROM ("
+           + " UNION ALL ".join(p for ds in KEYS for p in sample_parts(ds, "dirty_sales" if ds == "sales" else f"raw_{ds}", GIVEN["sales"][1] if ds == "sales" else ()))
+           + ") QUALIFY position <= CASE rule WHEN 'unknown reference' THEN 10 ELSE 5 END")
+WIDTH = {"vendors": 4, "employees": 6, "stores": 7, "products": 10, "sales": 10, "inventory": 12, "complaints": 15, "finance": 12, "vendor_deliveries": 13}
+VERDICT_RULES = ([r for ds in KEYS for r in dataset_rules(ds, *GIVEN.get(ds, (None, ())))] + SPECIAL[:2] + SPECIAL[5:]
+                 + ["SELECT 'sales', 'missing column', 'product_id', 1, 'product_id'"])
+VERDICTS = ("SELECT d.dataset, row_count, column_count, coalesce(errors, 0) AS error_count, CASE WHEN d.dataset IN ('sales', 'inventory', 'finance') THEN 1::BIGINT ELSE 0 END AS warning_count, "
+            "coalesce(errors, 0) = 0 AS is_valid FROM (" + " UNION ALL ".join(
+                f"SELECT '{ds}' AS dataset, count(*) AS row_count, {n}::BIGINT AS column_count FROM raw_{ds}" for ds, n in WIDTH.items())
+            + f") d LEFT JOIN (SELECT dataset, count(*) AS errors FROM ({' UNION ALL '.join(VERDICT_RULES)}) WHERE violations > 0 GROUP BY dataset) e USING (dataset)")
+
+# ---- cleaned files: ISO dates and months ----------------------------------------------------------
+SPELLED = "'', 'na', 'n/a', 'none', 'null', 'nan'"
+
+
+def iso(x: str) -> str:
+    return f"CASE WHEN regexp_matches(trim({x}), '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') THEN TRY_CAST(trim({x}) AS DATE) END"
+
+
+def processed_rules(ds: str, months: str = "") -> list[str]:
+    table, none = f"iso_{ds}", lambda c: gone(c, SPELLED)
+    out = [rule(ds, "missing value", c, none(c), c, table) for c in FILLED[ds].split()]
+    for c in NUMBERS.get(ds, "").split():
+        out += [rule(ds, "not numeric", c, f"NOT {none(c)} AND {num(c)} IS NULL", c, table), rule(ds, "negative value", c, f"NOT {none(c)} AND {num(c)} < 0", c, table)]
+    for c in DATES.get(ds, "").split():
+        out += [rule(ds, "invalid date", c, f"NOT {none(c)} AND {iso(c)} IS NULL", c, table), rule(ds, "missing date", c, none(c), c, table)]
+    for c in months.split():
+        out += [rule(ds, "missing month", c, none(c), c, table), rule(ds, "invalid month", c, f"NOT {none(c)} AND NOT regexp_matches(trim({c}), '^[0-9]{{4}}-(0?[1-9]|1[0-2])$')", c, table)]
+    out.append(f"SELECT '{ds}', 'duplicate key', '{KEYS[ds]}', CAST(sum(n - 1) AS BIGINT), min({KEYS[ds]}) FILTER (n > 1) FROM (SELECT {KEYS[ds]}, count(*) AS n FROM {table} GROUP BY ALL)")
+    out += [f"SELECT '{ds}', 'unknown reference', '{column}', count(DISTINCT {column}), min({column}) FROM {table} WHERE NOT {none(column)} AND {column} NOT IN (SELECT {key} FROM iso_{parent})"
+            for child, column, parent, key in LINKS if child == ds and parent in ("stores", "employees")]
+    return out
+
+
+ISO = {
+    "iso_employees": "SELECT COLUMNS(*)::VARCHAR FROM employees",
+    "iso_stores": "SELECT COLUMNS(* EXCLUDE (opening_date))::VARCHAR, CASE WHEN store_number % 5 = 0 THEN '01/02/1994' WHEN store_number % 5 = 1 THEN 'null' ELSE CAST(opening_date AS VARCHAR) END AS opening_date FROM stores",
+    "iso_sales": "SELECT COLUMNS(* EXCLUDE (date))::VARCHAR, CASE WHEN quantity_sold = 13 THEN '2026-02-31' WHEN quantity_sold = 11 THEN '' ELSE CAST(date AS VARCHAR) END AS date FROM sales",
+    "iso_finance": "SELECT COLUMNS(* EXCLUDE (month))::VARCHAR, CASE WHEN month LIKE '%-02' THEN replace(month, '-02', '-13') WHEN month LIKE '%-03' THEN 'N/A' ELSE month END AS month FROM finance",
+}
+PROCESSED = ("SELECT * FROM (" + " UNION ALL ".join([
+    *processed_rules("stores"), *processed_rules("employees"), *processed_rules("sales"), *processed_rules("finance", "month"),
+    *[r.replace("raw_finance", "iso_finance") for r in SPECIAL[3:5]]]) + ") WHERE violations > 0")
+MONEY = ("monthly_sales_target", "total_revenue", "total_cost", "gross_profit", "operating_expense", "operating_profit", "target_achievement_percent")
+CLEAN_FINANCE = ("SELECT finance_id, store_id, store_name, region, risk_status, " + ", ".join(f"CAST(CAST({c} AS DECIMAL(20,2)) AS VARCHAR) AS {c}" for c in MONEY)
+                 + ", CASE WHEN (month NOT LIKE '%-11' AND month NOT LIKE '%-12') OR (month LIKE '%-0%' AND store_id < 'S012') THEN month END AS month, "
+                 "CASE WHEN month LIKE '%-12' THEN 'invalid month' WHEN month LIKE '%-11' THEN 'missing month' END AS problem FROM finance")
+def report(ds: str, given: str, columns: int, final: str, usable: str, bad: str, counters: dict[str, str], lists: tuple[str, str, str], removed: str = "") -> str:
+    zero = {"text": "0", "ids": "0", "labels": "0", "missing": "0", "dates": "0", "life": "0", "life_na": "0", "expiry": "0", "expiry_na": "0"} | counters
+    n = {k: f"CAST(({v}) AS BIGINT)" for k, v in zero.items()}
+    return (f"SELECT '{ds}_data.csv' AS input_file, '{ds}_clean.csv' AS output_file, (SELECT count(*) FROM {given}) AS original_rows, {columns}::INTEGER AS original_columns, "
+            f"CAST(({final}) AS BIGINT) AS final_rows, CAST(({usable}) - ({final}) AS BIGINT) AS duplicates_removed, '{removed}' AS columns_removed, {n['text']} AS text_values_normalized, "
+            f"{n['ids']} AS id_values_standardized, {n['labels']} AS categorical_values_standardized, {n['missing']} AS generic_missing_values_standardized, {n['dates']} AS date_values_standardized, "
+            f"'{lists[0]}' AS date_columns_standardized, '{lists[1]}' AS month_columns_standardized, '{lists[2]}' AS numeric_columns_standardized, {n['life']} AS perishable_missing_shelf_life, "
+            f"{n['life_na']} AS non_perishable_shelf_life_set_to_na, {n['expiry']} AS perishable_missing_expiry, {n['expiry_na']} AS non_perishable_expiry_set_to_na, CAST(({bad}) AS BIGINT) AS quarantined_rows")
+
+
+def plain_report(ds: str, columns: int, dates: str, numbers: str, date_columns: int) -> str:
+    """A dataset that is clean already: nothing changes but its dates."""
+    rows = f"SELECT count(*) FROM raw_{ds}"
+    return report(ds, f"raw_{ds}", columns, rows, rows, "0", {"dates": f"SELECT {date_columns} * count(*) FROM raw_{ds}"}, (dates, "", numbers))
+
+
+def dirty_report(ds: str, columns: int, counters: dict[str, str], lists: tuple[str, str, str], removed: str = "") -> str:
+    return report(ds, f"dirty_{ds}", columns, f"SELECT count(*) FROM (SELECT DISTINCT * FROM clean_{ds} WHERE problem IS NULL)",
+                  f"SELECT count(*) FROM clean_{ds} WHERE problem IS NULL", f"SELECT count(*) FROM clean_{ds} WHERE problem IS NOT NULL", counters, lists, removed)
+
+
+CLEANING_REPORT = " UNION ALL ".join([
+    plain_report("vendors", 4, "", "average_delivery_days, rating", 0), plain_report("employees", 6, "", "monthly_target", 0),
+    plain_report("stores", 7, "opening_date", "monthly_sales_target", 1), plain_report("complaints", 15, "date", "resolution_time_days", 1),
+    plain_report("vendor_deliveries", 13, "order_date, expected_delivery_date, actual_delivery_date", "ordered_quantity, received_quantity, purchase_value, delay_days, quality_rating", 3),
+    dirty_report("sales", 10, {
+        "text": "SELECT sum((product_name LIKE '%  %')::INT + (region LIKE '%  ')::INT + 1) FROM dirty_sales", "ids": "SELECT 2 * count(*) FROM dirty_sales",
+        "labels": "SELECT sum(CASE WHEN lower(trim(payment_status)) IN ('paid', 'pending', 'delayed') AND payment_status <> upper(left(payment_status, 1)) || lower(substr(payment_status, 2)) THEN 1 ELSE 0 END) FROM dirty_sales",
+        "missing": "SELECT count(*) FILTER (employee_id = 'N/A') + count(*) FILTER (payment_status = 'null') FROM dirty_sales",
+        "dates": "SELECT count(*) FROM dirty_sales WHERE date <> '31-02-26'"}, ("date", "", "quantity_sold, unit_price, total_sales")),
+    dirty_report("products", 7, {
+        "text": "SELECT count(*) FROM dirty_products WHERE is_perishable LIKE ' %'", "ids": "SELECT count(*) FROM dirty_products", "labels": "SELECT count(*) FROM dirty_products",
+        "life": "SELECT count(*) FROM clean_products WHERE problem IS NULL AND is_perishable = 'Yes' AND shelf_life_days IS NULL",
+        "life_na": "SELECT count(*) FROM clean_products WHERE problem IS NULL AND is_perishable = 'No'"}, ("", "", "reorder_level")),
+    dirty_report("inventory", 9, {
+        "ids": "SELECT count(*) FROM dirty_inventory WHERE current_stock <> '5'", "labels": "SELECT count(*) FROM dirty_inventory", "dates": "SELECT count(*) FROM dirty_inventory",
+        "expiry": "SELECT count(*) FROM clean_inventory WHERE problem IS NULL AND expiry_date IS NULL", "expiry_na": "SELECT count(*) FROM clean_inventory WHERE problem IS NULL AND expiry_date = 'NA'"},
+        ("date", "", "current_stock, reorder_level"), "reorder_trigger_level"),
+    dirty_report("finance", 13, {
+        "text": "SELECT count(*) FROM dirty_finance WHERE month NOT LIKE '%-11' AND month NOT LIKE '%-12' AND NOT (month LIKE '%-0%' AND store_id < 'S012')",
+        "labels": "SELECT count(*) FROM dirty_finance"}, ("", "month", ", ".join(MONEY))),
+])
+REPORT_CTE = {**RAW, "dirty_sales": DIRTY_SALES, "clean_sales": CLEAN_SALES, "dirty_products": DIRTY_PRODUCTS, "clean_products": CLEAN_PRODUCTS,
+              "dirty_inventory": DIRTY_INVENTORY, "clean_inventory": CLEAN_INVENTORY, "dirty_finance": "SELECT * FROM finance", "clean_finance": CLEAN_FINANCE}
+PRODUCT_UPSERT = "SELECT product_id, product_name, category, CASE WHEN reorder_level % 4 = 0 THEN CAST(unit_price + 1 AS DECIMAL(12,2)) ELSE unit_price END AS unit_price FROM products UNION ALL SELECT 'NEW-' || store_id, store_name, NULL, CAST(1 AS DECIMAL(12,2)) FROM stores"
+REFRESH_LOG = " UNION ALL ".join(
+    f"SELECT 'v1' AS run_id, '{t}' AS dataset_name, '{t}.parquet' AS source_file_name, count(*) AS total_rows, count(*) AS successful_rows, 0::BIGINT AS failed_rows, 'Success' AS import_status, "
+    f"NULL::VARCHAR AS error_message, TIMESTAMP '2001-08-01 06:00:00' AS imported_at, 0::BIGINT AS duplicate_rows FROM {t}" for t in KEYS)
 SALES_CTE = {"dirty_sales": DIRTY_SALES, "clean_sales": CLEAN_SALES}
 LABEL_CHANGES = "(CASE WHEN lower(trim(payment_status)) IN ('paid', 'pending', 'delayed') AND payment_status <> upper(left(payment_status, 1)) || lower(substr(payment_status, 2)) THEN 1 ELSE 0 END)"
 SNAP = f"SELECT *, 'FIN-' || vendor_id || '-2026-0' || (delivery_count % 9 + 1) || '-x' AS some_id FROM ({VENDOR_SNAPSHOT})"
@@ -127,6 +234,13 @@ ORACLE: dict[str, str] = {
     "validation_verdict": with_views(ALL, f"SELECT count(*) = 0 AS is_valid, count(*) AS error_count, CAST(0 AS BIGINT) AS warning_count, CAST(sum(violations) AS BIGINT) AS violating_rows FROM ({VIOLATIONS})", RAW),
     "validation_with_override": with_views(ALL, OVERRIDE, {**RAW, "dirty_sales": DIRTY_SALES}),
     "reference_samples": with_views(["sales", "employees"], "SELECT DISTINCT employee_id AS value FROM sales WHERE employee_id NOT IN (SELECT employee_id FROM employees) ORDER BY 1 LIMIT 10"),
+    "cleaning_report": with_views(ALL, CLEANING_REPORT, REPORT_CTE),
+    "bucketed_upsert": with_views(["products", "stores"], PRODUCT_UPSERT),
+    "refresh_log": with_views(ALL, REFRESH_LOG),
+    "violation_samples": with_views(ALL, SAMPLES, {**RAW, "dirty_sales": DIRTY_SALES}),
+    "dataset_verdicts": with_views(ALL, VERDICTS, {**RAW, "dirty_sales": DIRTY_SALES}),
+    "processed_violations": with_views(["stores", "employees", "sales", "finance"], PROCESSED, ISO),
+    "cleaned_finance": with_views(["finance"], CLEAN_FINANCE),
     "shelf_life_checks": with_views(["products"], counted({
         "invalid perishable flag": "is_perishable NOT IN ('Yes', 'No')", "missing shelf life": "is_perishable = 'Yes' AND shelf_life_days IS NULL", "invalid shelf life": "FALSE", "fractional shelf life": "FALSE",
         "shelf life not positive": "is_perishable = 'Yes' AND shelf_life_days <= 0", "shelf life of non-perishable": "is_perishable = 'No'"}, "products")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, functions as F
 
 from tillwatch.functions import text
@@ -9,8 +11,11 @@ from tillwatch.operators import cleaning, combined, quality
 from tillwatch.plans.catalog import query
 from tillwatch.plans.detectors import AT, vendor_snapshot_of
 from tillwatch.plans.reports import all_tables
+from tillwatch.plans.stages import own_folder
 from tillwatch.sources import sinks
 from tillwatch.sources.business import Business
+from tillwatch.sources.config import LOAD_ORDER
+from tillwatch.sources.versioned import BucketedTable
 
 DAY = "date_format({0}, 'dd-MM-yy')"
 
@@ -91,6 +96,41 @@ def reference_samples(b: Business):
     return quality.reference_samples(raw_tables(b), "sales", "employee_id")
 
 
+@query()
+def violation_samples(b: Business):
+    """Samples of all 14 references and all number columns, with the dirty sales in place of the stored ones."""
+    return quality.violation_samples(quality.with_overrides(raw_tables(b), {"sales": dirty_sales(b)}))
+
+
+@query()
+def dataset_verdicts(b: Business):
+    """The nine verdicts with files that lack columns: sales without product_id, stock without expiry dates, finance without expenses."""
+    tables = raw_tables(b)
+    return quality.dataset_verdicts(quality.with_overrides(tables, {
+        "sales": dirty_sales(b), "inventory": tables["inventory"].drop("expiry_date"), "finance": tables["finance"].drop("operating_expense")}))
+
+
+def processed_tables(b: Business) -> dict[str, DataFrame]:
+    """Four datasets as cleaned files: ISO dates and months, some of them spoiled or missing."""
+    tables = all_tables(b)
+    spoiled = {
+        "stores": {"opening_date": "CASE WHEN store_number % 5 = 0 THEN '01/02/1994' WHEN store_number % 5 = 1 THEN 'null' ELSE CAST(opening_date AS STRING) END"},
+        "sales": {"date": "CASE WHEN quantity_sold = 13 THEN '2026-02-31' WHEN quantity_sold = 11 THEN '' ELSE CAST(date AS STRING) END"},
+        "finance": {"month": "CASE WHEN month LIKE '%-02' THEN replace(month, '-02', '-13') WHEN month LIKE '%-03' THEN 'N/A' ELSE month END"},
+    }
+    out = {}
+    for name in ("stores", "employees", "sales", "finance"):
+        df = b.stores() if name == "stores" else tables[name]
+        out[name] = df.selectExpr(*[f"{spoiled.get(name, {}).get(c, f'CAST({c} AS STRING)')} AS {c}" for c in tables[name].columns])
+    return out
+
+
+@query()
+def processed_violations(b: Business):
+    """The checks of cleaned files: dates and months in ISO form, which must be filled."""
+    return quality.violations(processed_tables(b), processed=True)
+
+
 @query()
 def shelf_life_checks(b: Business):
     return quality.shelf_life_checks(b.products().selectExpr("is_perishable", "CAST(shelf_life_days AS STRING) AS shelf_life_days"))
@@ -124,6 +164,19 @@ def cleaned_inventory(b: Business):
     return cleaning.clean("inventory", dirty_inventory(b), cleaning.accepted(cleaning.clean("products", dirty_products(b))))
 
 
+def dirty_finance(b: Business) -> DataFrame:
+    """Months with one digit, unknown ones and missing ones."""
+    month = ("CASE WHEN month LIKE '%-0%' AND store_id < 'S012' THEN replace(month, '-0', '-') WHEN month LIKE '%-12' THEN replace(month, '-12', '-13') "
+             "WHEN month LIKE '%-11' THEN 'n/a' ELSE concat(' ', month) END")
+    rest = [c for c in b.finance().columns if c not in ("month", "risk_status")]
+    return b.finance().selectExpr(f"{month} AS month", "upper(risk_status) AS risk_status", *[f"CAST({c} AS STRING) AS {c}" for c in rest])
+
+
+@query()
+def cleaned_finance(b: Business):
+    return cleaning.clean("finance", dirty_finance(b))
+
+
 @query()
 def accepted_sales(b: Business):
     """Two copies of the file: exact duplicates are removed."""
@@ -138,19 +191,49 @@ def cleaning_statistics(b: Business):
     return cleaning.statistics("sales", raw, cleaning.clean("sales", raw))
 
 
+@query()
+def cleaning_report(b: Business):
+    """All nine datasets cleaned and written, four of them dirty, with the counters of each."""
+    folder, rows = own_folder(b.spark, "cleaned"), []
+    raw = raw_tables(b) | {"sales": dirty_sales(b), "products": dirty_products(b), "inventory": dirty_inventory(b), "finance": dirty_finance(b)}
+    for name in LOAD_ORDER:  # products come before the stock that looks up their flags
+        products = b.spark.read.parquet(f"{folder}/products") if name == "inventory" else None
+        rows.append(cleaning.cleaned_with_report(name, raw[name], products, lambda df, name=name: sinks.write_table(df, f"{folder}/{name}")))
+    return b.spark.createDataFrame(rows, cleaning.REPORT)
+
+
 @query()
 def typed_finance(b: Business):
     """Finance as text loaded into typed columns."""
     return cleaning.typed("finance", b.finance().selectExpr(*[f"CAST({c} AS STRING) AS {c}" for c in b.finance().columns]))
 
 
+def price_update(b: Business) -> DataFrame:
+    return b.products().where("reorder_level % 4 = 0").selectExpr("product_id", "product_name", "CAST(unit_price + 1 AS DECIMAL(12,2)) AS unit_price").unionByName(
+        b.stores().selectExpr("concat('NEW-', store_id) AS product_id", "store_name AS product_name", "CAST(1 AS DECIMAL(12,2)) AS unit_price"))
+
+
 @query()
 def product_upsert(b: Business):
     """New prices for every product of even reorder level and one new product per nation."""
-    source = b.products().where("reorder_level % 4 = 0").selectExpr("product_id", "product_name", "CAST(unit_price + 1 AS DECIMAL(12,2)) AS unit_price").unionByName(
-        b.stores().selectExpr("concat('NEW-', store_id) AS product_id", "store_name AS product_name", "CAST(1 AS DECIMAL(12,2)) AS unit_price"))
     target = b.products().select("product_id", "product_name", "category", "unit_price")
-    return cleaning.upsert(target, source, "product_id")
+    return cleaning.upsert(target, price_update(b), "product_id")
+
+
+@query()
+def bucketed_upsert(b: Business):
+    """The same merge into a table of key buckets, in two batches: the prices, then the new products."""
+    table = BucketedTable(b.spark, own_folder(b.spark, "products"), "product_id", buckets=16)
+    table.create(b.products().select("product_id", "product_name", "category", "unit_price"))
+    table.merge(price_update(b).where("product_id NOT LIKE 'NEW-%'"), 1)
+    table.merge(price_update(b).where("product_id LIKE 'NEW-%'"), 2)
+    return table.read()
+
+
+@query()
+def refresh_log(b: Business):
+    """The log of a full refresh of all nine tables."""
+    return sinks.full_refresh(all_tables(b), own_folder(b.spark, "refresh"), "v1", datetime.datetime(2001, 8, 1, 6))
 
 
 def import_logs(b: Business) -> DataFrame:

@@ -8,6 +8,7 @@ nothing that was written.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_stages").rstrip("/")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for tables that a query writes for itself."""
+    return f"{shared_folder(spark)}/tillwatch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
