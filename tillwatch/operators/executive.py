@@ -178,3 +178,17 @@ def selection_reference(scored: DataFrame, requested: DataFrame | None = None,
     if source is None:
         raise ValueError("one of requested, previous or current is needed")
     return source.selectExpr("issue_id", "executive_rank", "executive_score", "'selected' AS outcome")
+
+
+def selection_of_run(scored: DataFrame, runs, run_at: str, requested: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """The issues that a run analyses: those requested; else the list of the last run before it (a RunTable); else a ranking made now.
+
+    An earlier list counts if it has a row with an id and a rank; its first `limit` ranks are taken."""
+    if requested is not None:
+        return selection_reference(scored, requested=requested)
+    previous = runs.as_of(run_at)
+    if previous is not None:
+        usable = previous.where("issue_id IS NOT NULL AND executive_rank IS NOT NULL")
+        if not usable.isEmpty():
+            return selection_reference(scored, previous=order_by(usable, "executive_rank", "issue_id").limit(limit))
+    return selection_reference(scored, current=executive_priorities(scored, limit))

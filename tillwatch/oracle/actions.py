@@ -254,7 +254,69 @@ def context(name: str, views: list[str], columns: str = "*") -> str:
 
 
 SELECTION = {k: v for k, v in {**FULL, "finalists": FINALISTS, "picks": PICKS}.items() if k in ("scored", "profiles", "finalists", "picks")}
+SIZE = "length(issue_id)"
+UNGROUNDED_CAUSES = """SELECT issue_id AS key, 'confidence_score changed' AS deviation, CAST(confidence_score + 1 AS VARCHAR) AS detail FROM causes WHERE evidence_count % 7 = 0
+ UNION ALL SELECT issue_id, 'root_cause_category changed', 'A guess' FROM causes WHERE evidence_count % 11 = 0
+ UNION ALL SELECT issue_id, 'unsupported factor', 'Nobody was looking.' FROM causes WHERE evidence_count % 5 = 0
+ UNION ALL SELECT issue_id, 'unsupported evidence', 'FINDING-UNKNOWN' FROM causes WHERE evidence_count % 3 = 0
+ UNION ALL SELECT issue_id, 'unknown id', 'FIN-X99-1' FROM causes WHERE evidence_count % 2 = 0
+ UNION ALL SELECT issue_id, 'unknown number', '98,765.43' FROM causes WHERE evidence_count % 2 = 0"""
+UNGROUNDED_RECOMMENDATIONS = f"""SELECT issue_id AS key, 'missing item' AS deviation, issue_id AS detail FROM recommendations WHERE {SIZE} % 9 = 0
+ UNION ALL SELECT 'ISSUE-UNKNOWN', 'unknown item', 'ISSUE-UNKNOWN' FROM (SELECT 1 FROM recommendations LIMIT 1)
+ UNION ALL SELECT issue_id, 'suggested_owner_role changed', 'Nobody' FROM recommendations WHERE {SIZE} % 9 <> 0 AND {SIZE} % 6 = 0
+ UNION ALL SELECT issue_id, 'suggested_deadline changed', CAST(suggested_deadline + 1 AS VARCHAR) FROM recommendations WHERE {SIZE} % 9 <> 0 AND {SIZE} % 4 = 0
+ UNION ALL SELECT issue_id, 'unsupported action', 'Do something else.' FROM recommendations WHERE {SIZE} % 5 = 0"""
+# ---- the brief's references: five lists, numbered within their kind -----------------------------------
+KPI_ORDER = ("total_sales", "total_revenue", "sales_growth", "store_target_achievement", "average_order_value", "total_operating_profit", "low_stock_count",
+             "overstock_count", "high_severity_complaint_count", "open_complaint_count", "vendor_delay_count", "vendor_on_time_delivery_rate")
+POINTS = ("SELECT unnest(p) AS text, generate_subscripts(p, 1) AS n FROM (SELECT CASE WHEN len(q) > 0 THEN q ELSE ['No immediate critical workflow action was detected.'] END AS p FROM (SELECT list_filter(["
+          "CASE WHEN high_priority_open_issue_count > 0 THEN 'Review ' || high_priority_open_issue_count || ' high-priority open business issues.' END, "
+          "CASE WHEN recommendations_needing_review > 0 THEN 'Complete management review for ' || recommendations_needing_review || ' recommendations.' END, "
+          "CASE WHEN blocked_task_count > 0 THEN 'Resolve blockers affecting ' || blocked_task_count || ' tasks.' END, "
+          "CASE WHEN overdue_task_count > 0 THEN 'Address ' || overdue_task_count || ' overdue tasks.' END], lambda x: x IS NOT NULL) AS q FROM brief))")
+TOP_OPEN = f"SELECT issue_id, title, priority_score FROM previous WHERE status = 'Open' ORDER BY {LEVEL}, priority_score DESC, issue_id LIMIT 10"
+TOP_RECOMMENDED = f"SELECT recommendation_id, recommendation_title, priority_score FROM stored ORDER BY {LEVEL}, priority_score DESC, confidence_score DESC, recommendation_id LIMIT 10"
+SHOWN = (f"SELECT task_id, title, min(place) AS place FROM (SELECT * FROM (SELECT task_id, title, (1, CAST(due_date AS VARCHAR)) AS place FROM tasks "
+         "WHERE due_date < DATE '2001-08-08' AND status <> 'Completed' ORDER BY due_date, task_id LIMIT 10) UNION ALL SELECT * FROM (SELECT task_id, title, "
+         f"(2, ({TASK_RANK}) || ({sev('t.priority_level')}) || coalesce(CAST(due_date AS VARCHAR), '')) AS place FROM tasks t "
+         f"ORDER BY {TASK_RANK}, {sev('t.priority_level')}, due_date, task_id LIMIT 10)) GROUP BY task_id, title")
+
+
+def reference(kind: str, prefix: str, ident: str, summary: str, order: str, source: str) -> str:
+    return (f"SELECT '{kind}' AS source_type, 'BRIEF-{prefix}:' || ({ident}) AS evidence_id, {ident} AS source_identifier, {summary} AS summary, "
+            f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS position FROM ({source})")
+
+
+SLUG = "trim(regexp_replace({0}, '[^A-Za-z0-9_.:-]+', '-', 'g'), '-')"
+TIDY = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+REFERENCES = " UNION ALL ".join([
+    reference("KPI", "KPI", "kpi_key", "kpi_name || ': ' || display_value", f"list_position([{', '.join(repr(k) for k in KPI_ORDER)}], kpi_key)", "SELECT * FROM kpis"),
+    reference("Issue", "ISSUE", SLUG.format("issue_id"), TIDY.format("title"), "priority_score DESC, issue_id", TOP_OPEN),
+    reference("Recommendation", "RECOMMENDATION", SLUG.format("recommendation_id"), TIDY.format("recommendation_title"), "priority_score DESC, recommendation_id", TOP_RECOMMENDED),
+    reference("Task", "TASK", SLUG.format("task_id"), TIDY.format("title"), "place, task_id", SHOWN),
+    f"SELECT 'Management Attention', 'BRIEF-ATTENTION:' || lpad(CAST(n AS VARCHAR), 3, '0'), 'ATTENTION-' || lpad(CAST(n AS VARCHAR), 3, '0'), text, CAST(n AS INTEGER) FROM ({POINTS})",
+])
+BRIEF_REFERENCES = {**BRIEF_CTE, "refs": REFERENCES}
+LINKS = """SELECT attention_id, attention_text, evidence_id, place FROM (
+ SELECT source_identifier AS attention_id, summary AS attention_text, evidence_id, (0, 0) AS place FROM refs WHERE source_type = 'Management Attention'
+ UNION ALL SELECT a.source_identifier, a.summary, r.evidence_id, (CASE r.source_type WHEN 'Issue' THEN 1 WHEN 'Recommendation' THEN 2 WHEN 'Task' THEN 3 ELSE 4 END, r.position)
+ FROM refs a JOIN refs r ON a.source_type = 'Management Attention' AND ((r.source_type = 'Issue' AND regexp_matches(lower(a.summary), 'issue|priority'))
+  OR (r.source_type = 'Recommendation' AND lower(a.summary) LIKE '%recommendation%') OR (r.source_type = 'Task' AND regexp_matches(lower(a.summary), 'task|blocked|overdue'))
+  OR (r.source_type = 'KPI' AND lower(a.summary) LIKE '%kpi%')))
+ QUALIFY row_number() OVER (PARTITION BY attention_id ORDER BY place, evidence_id) <= 20"""
+UNGROUNDED_BRIEF = """SELECT 'blocked_task_count' AS key, 'amount changed' AS deviation, CAST(blocked_task_count + 1 AS VARCHAR) AS detail FROM brief
+ UNION ALL SELECT 'ATTENTION-001', 'point changed', 'Something else.'
+ UNION ALL SELECT source_identifier, 'unsupported evidence', 'BRIEF-TASK:UNKNOWN' FROM refs WHERE source_type = 'Management Attention'
+ UNION ALL SELECT 'summary', 'unknown number', '424242'"""
 ORACLE: dict[str, str] = {
+    "ungrounded_causes": check(UNGROUNDED_CAUSES, DEEP),
+    "ungrounded_recommendations": check(UNGROUNDED_RECOMMENDATIONS, STATE),
+    "ungrounded_brief": check(UNGROUNDED_BRIEF, BRIEF_REFERENCES),
+    "brief_references": check("SELECT * FROM refs", BRIEF_REFERENCES),
+    "attention_links": check(f"SELECT attention_id, attention_text, string_agg(evidence_id, ', ' ORDER BY place, evidence_id) AS evidence_ids FROM ({LINKS}) GROUP BY ALL", BRIEF_REFERENCES),
+    "latest_brief": check("SELECT 'BRIEF-2001-08-08' AS brief_id, DATE '2001-08-08' AS brief_date, 'Daily Executive Brief' AS brief_type, summary_text, 'Draft' AS status, '2001-08-08 06:00:00' AS run_at FROM brief", BRIEF_CTE),
+    "task_details": check("SELECT t.task_id, TRUE AS found, t.title, t.status, t.due_date, i.title AS issue_title, i.status AS issue_status, i.summary AS issue_summary, s.recommendation_title, s.status AS recommendation_status, s.expected_impact, r.root_cause_category, r.root_cause_summary FROM tasks t JOIN issues i USING (issue_id) LEFT JOIN stored s ON s.recommendation_id = t.recommendation_id LEFT JOIN reviewed r ON r.issue_id = t.issue_id WHERE t.priority_level = 'High' "
+        "UNION ALL SELECT 'TASK-UNKNOWN-' || issue_id, FALSE, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM issues WHERE issue_type = 'Store Performance Risk'", STATE),
     "store_finance_context": context("c_finance", ["finance"]),
     "store_sales_context": context("c_sales", ["sales"]),
     "store_category_decline": context("c_category", ["sales"]),

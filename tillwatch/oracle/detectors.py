@@ -457,6 +457,7 @@ ORACLE: dict[str, str] = {
     "repeated_complaint_category": with_views(["complaints"], complaint_categories(1.01)),
     "open_high_severity_complaints": with_views(["complaints"], OPEN_HIGH),
     "monthly_complaint_growth": with_views(["complaints"], GROWTH),
+    "complaint_growth_last_full_month": with_views(["complaints"], GROWTH.replace("FROM complaints", "FROM (SELECT * FROM complaints WHERE date < DATE '2001-08-01')")),
     "unresolved_complaint_ageing": with_views(["complaints"], AGEING),
     "complaint_findings": with_views(["complaints"], COMPLAINTS_ALL),
     "combined_financial_risk": with_views(["finance"], LEGACY_FINANCE),

@@ -220,6 +220,9 @@ ORACLE: dict[str, str] = {
     "finding_reconciliation": check("SELECT count(*) AS monitoring_finding_total, count(*) AS priority_input_finding_total, TRUE AS totals_match, count(*) FILTER (source_module = 'sales') AS sales_findings, count(*) FILTER (source_module = 'inventory') AS inventory_findings, count(*) FILTER (source_module = 'complaints') AS complaints_findings, count(*) FILTER (source_module = 'vendor_finance') AS vendor_finance_findings, (SELECT count(*) FROM issues WHERE priority_level = 'High') AS high_issues, (SELECT count(*) FROM issues WHERE priority_level = 'Medium') AS medium_issues, (SELECT count(*) FROM issues WHERE priority_level = 'Low') AS low_issues FROM findings", ISSUES),
     "grounding_check": check(f"SELECT * FROM (SELECT coalesce(a.issue_id, b.issue_id) AS issue_id, CASE WHEN a.issue_id IS NULL THEN 'unknown id' WHEN b.issue_id IS NULL THEN 'missing id' WHEN a.r <> b.r THEN 'order changed' WHEN a.priority_level <> b.priority_level THEN 'level changed' WHEN abs(a.priority_score - b.priority_score) > 0.000001 THEN 'score changed' END AS deviation FROM (SELECT *, row_number() OVER ({TOP}) AS r FROM issues {TOP} LIMIT 50) a FULL JOIN (SELECT *, row_number() OVER ({TOP}) AS r FROM previous WHERE {ACTIVE} {TOP} LIMIT 50) b ON a.issue_id = b.issue_id) WHERE deviation IS NOT NULL", BOTH),
     "ungrounded_citations": check("SELECT issue_id, finding_id AS source_finding_id FROM findings f WHERE issue_id NOT IN (SELECT issue_id FROM previous) AND NOT EXISTS (SELECT 1 FROM evidence e WHERE e.issue_id = f.issue_id AND e.source_finding_id = f.finding_id AND e.source_module <> 'complaints')", {**BOTH, "evidence": STORED}),
+    "product_decline_list": with_views(VIEWS, f"SELECT * FROM ({SALES_ALL}) WHERE analysis_type = 'Product Sales Decline' {PAGE}"),
+    "previous_selection": check(f"SELECT issue_id, CAST(row_number() OVER ({TOP}) AS INTEGER) AS executive_rank, priority_score AS executive_score, 'selected' AS outcome FROM previous WHERE {ACTIVE} {TOP} LIMIT 5", BOTH),
+    "current_selection": check("SELECT issue_id, executive_rank, executive_score, 'selected' AS outcome FROM picks", CHOSEN),
     "sales_finding_list": with_views(VIEWS, f"SELECT * FROM ({SALES_ALL}) WHERE severity = 'High' AND analysis_type = 'Store Sales Decline' {PAGE}"),
     "inventory_finding_list": with_views(VIEWS, f"SELECT * FROM ({INVENTORY_ALL}) WHERE severity = 'High' AND store_id = 'S003' {PAGE}"),
     "complaint_finding_list": with_views(VIEWS, f"SELECT * FROM ({COMPLAINTS_ALL}) WHERE complaint_status = 'Open' AND complaint_type = 'Late Delivery' {PAGE}"),

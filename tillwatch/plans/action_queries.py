@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillwatch.operators import brief, kpi, recommend, rootcause, workflow
+from tillwatch.operators import brief, grounding, kpi, recommend, rootcause, workflow
 from tillwatch.operators.templates import order_by
 from tillwatch.plans.catalog import query
 from tillwatch.plans.detectors import DETECTED_AT
-from tillwatch.plans.stages import RUN_AT, Stages
+from tillwatch.plans.stages import RUN_AT, Stages, own_folder
 from tillwatch.sources.business import Business
+from tillwatch.sources.runs import RunTable
 
 RUN_DATE = "2001-08-08"
 
@@ -146,6 +147,17 @@ def task_list(b: Business):
         "task_id", "issue_title", "recommendation_title", "assigned_role", "due_date", "priority_level", "status")
 
 
+@query()
+def task_details(b: Business):
+    """Every high-priority task, and one id per store issue that nobody knows."""
+    s = Stages(b)
+    wanted = s.table("tasks").where("priority_level = 'High'").select("task_id").unionByName(
+        s.table("issues").where("issue_type = 'Store Performance Risk'").selectExpr("concat('TASK-UNKNOWN-', issue_id) AS task_id"))
+    return workflow.task_details(s.table("tasks"), s.table("issues"), s.table("stored_recommendations"), s.table("reviewed_causes"), wanted).select(
+        "task_id", "found", "title", "status", "due_date", "issue_title", "issue_status", "issue_summary", "recommendation_title", "recommendation_status",
+        "expected_impact", "root_cause_category", "root_cause_summary")
+
+
 def review_events(s: Stages) -> DataFrame:
     """Three review actions per stored recommendation, the order depending on its score."""
     return s.table("stored_recommendations").selectExpr(
@@ -290,6 +302,82 @@ def daily_brief(b: Business):
         "get_json_object(brief_data, '$.top_open_issues[0].issue_id') AS first_issue")
 
 
+@query()
+def latest_brief(b: Business):
+    """Briefs as two runs left them; the newest of the last run before the ninth of August."""
+    runs = RunTable(b.spark, own_folder(b.spark, "briefs"))
+    columns = ("brief_id", "brief_date", "brief_type", "summary_text", "status")
+    earlier = b.stores().where("store_number < 3").selectExpr(
+        "concat('BRIEF-OLD-', store_number) AS brief_id", f"date_sub(DATE '{RUN_DATE}', store_number) AS brief_date", f"'{brief.BRIEF_TYPE}' AS brief_type",
+        "'earlier text' AS summary_text", "'Draft' AS status", "CAST('2001-08-07 05:00:00' AS TIMESTAMP_NTZ) AS created_at")
+    today = daily_brief_of(b).select(*columns).withColumn("created_at", F.expr("CAST('2001-08-08 06:00:00' AS TIMESTAMP_NTZ)"))
+    runs.append(earlier, "2001-08-07 06:00:00")
+    runs.append(earlier.unionByName(today), "2001-08-08 06:00:00")
+    runs.append(earlier.limit(0), "2001-08-09 06:00:00")
+    return brief.latest(runs.as_of("2001-08-09 00:00:00")).select(*columns, "run_at")
+
+
+# ---- grounding: texts as they came back, with changes that depend on the item ------------------------
+def together(*parts: DataFrame) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.select(*grounding.COLUMNS)
+
+
+@query()
+def ungrounded_causes(b: Business):
+    s = Stages(b)
+    causes = s.table("root_causes")
+    returned = causes.selectExpr(
+        "issue_id", "if(evidence_count % 11 = 0, 'A guess', root_cause_category) AS root_cause_category", "concat(' ', root_cause_summary) AS root_cause_summary",
+        "if(evidence_count % 7 = 0, confidence_score + 1, confidence_score + 0.0000001D) AS confidence_score")
+    factors = rootcause.split_factors(causes).selectExpr("issue_id AS key", "explode(factors) AS value")
+    cited = s.table("evidence").selectExpr("issue_id AS key", "source_finding_id AS value")
+    extra = lambda every, value: causes.where(f"evidence_count % {every} = 0").selectExpr("issue_id AS key", f"'{value}' AS value")
+    texts = causes.selectExpr("issue_id AS key", "concat(root_cause_explanation, if(evidence_count % 2 = 0, ' It cost 98,765.43 under FIN-X99-1.', '')) AS text")
+    facts = causes.selectExpr("issue_id AS key", "concat_ws(' ', title, contributing_factors, evidence_summary) AS text")
+    return together(
+        grounding.changed_fields(causes, returned, "issue_id", ("root_cause_category", "root_cause_summary"), ("confidence_score",)),
+        grounding.unsupported(factors.unionByName(extra(5, "Nobody was looking.")), factors, "factor"),
+        grounding.unsupported(cited.unionByName(extra(3, "FINDING-UNKNOWN")), cited, "evidence"),
+        grounding.unknown_mentions(texts, facts))
+
+
+@query()
+def ungrounded_recommendations(b: Business):
+    s = Stages(b)
+    made = s.table("recommendations")
+    size = "length(issue_id)"
+    returned = made.where(f"{size} % 9 <> 0").selectExpr(
+        "issue_id", "recommendation_title", f"if({size} % 6 = 0, 'Nobody', suggested_owner_role) AS suggested_owner_role",
+        f"if({size} % 4 = 0, date_add(suggested_deadline, 1), suggested_deadline) AS suggested_deadline", "expected_impact", "status", "confidence_score",
+    ).unionByName(made.orderBy("issue_id").limit(1).selectExpr(
+        "'ISSUE-UNKNOWN' AS issue_id", "recommendation_title", "suggested_owner_role", "suggested_deadline", "expected_impact", "status", "confidence_score"))
+    steps = recommend.action_steps(made).join(made.select("recommendation_id", "issue_id"), "recommendation_id").selectExpr("issue_id AS key", "explode(steps) AS value")
+    more = made.where(f"{size} % 5 = 0").selectExpr("issue_id AS key", "'Do something else.' AS value")
+    return together(
+        grounding.changed_fields(made, returned, "issue_id", ("recommendation_title", "suggested_owner_role", "suggested_deadline", "expected_impact", "status"), ("confidence_score",)),
+        grounding.unsupported(steps.unionByName(more), steps, "action"))
+
+
+@query()
+def ungrounded_brief(b: Business):
+    """A brief that miscounts blocked tasks, rewrites its first point, cites a task nobody knows, and speaks of a number of its own."""
+    _, _, texts = brief_parts(b)
+    names = ("open_issue_count", "high_priority_open_issue_count", "in_progress_issue_count", "total_tasks", "blocked_task_count", "overdue_task_count")
+    listed = lambda shown: texts.selectExpr("inline(array(" + ", ".join(f"struct('{c}' AS item, {shown(c)} AS amount)" for c in names) + "))")
+    refs = reference_rows(b)
+    points = refs.where("source_type = 'Management Attention'").selectExpr("source_identifier AS item", "summary AS point", "position AS place")
+    links = brief.attention_links(refs).selectExpr("attention_id AS key", "explode(evidence_ids) AS value")
+    said = texts.selectExpr("'summary' AS key", "concat(summary_text, ' In all 424242 visits.') AS text")
+    return together(
+        grounding.changed_fields(listed(lambda c: c), listed(lambda c: f"{c} + {int(c == 'blocked_task_count')}"), "item", numbers=("amount",)),
+        grounding.changed_fields(points, points.selectExpr("item", "if(place = 1, 'Something else.', point) AS point", "place"), "item", ("point",), order="place"),
+        grounding.unsupported(links.unionByName(points.selectExpr("item AS key", "'BRIEF-TASK:UNKNOWN' AS value")), links, "evidence"),
+        grounding.unknown_mentions(said, texts.selectExpr("'summary' AS key", "summary_text AS text")))
+
+
 def reference_rows(b: Business) -> DataFrame:
     s, kpis, texts = brief_parts(b)
     top = workflow.top_open_issues(s.table("previous_issues"), s.table("evidence"), s.table("reviewed_causes"))

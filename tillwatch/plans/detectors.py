@@ -178,6 +178,13 @@ def monthly_complaint_growth(b: Business):
         b.complaints("store_id", "store_name", "region", "date", "severity", "status"), **AT)
 
 
+@query()
+def complaint_growth_last_full_month(b: Business):
+    """The same rule as of the last month that is complete."""
+    return complaints.monthly_complaint_growth(
+        b.complaints("store_id", "store_name", "region", "date", "severity", "status"), as_of_month="2001-07", **AT)
+
+
 @query()
 def unresolved_complaint_ageing(b: Business):
     return complaints.unresolved_complaint_ageing(b.complaints(), **AT)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from tillwatch.operators import executive, issues, monitoring
 from tillwatch.plans.catalog import query
-from tillwatch.plans.stages import RUN_AT, Stages
+from tillwatch.plans.stages import RUN_AT, Stages, own_folder
 from tillwatch.sources.business import Business
+from tillwatch.sources.runs import RunTable
 
 
 @query()
@@ -115,6 +116,27 @@ def requested_issues(b: Business):
     return executive.selection_reference(s.scored(), requested=wanted)
 
 
+@query()
+def previous_selection(b: Business):
+    """The list of the last run before this one: not that of this run, and not one that came after it."""
+    s = Stages(b)
+    runs = RunTable(b.spark, own_folder(b.spark, "selections"))
+    earlier = issues.manager_priorities(s.table("previous_issues"), 10).selectExpr("issue_id", "manager_rank AS executive_rank", "priority_score AS executive_score")
+    runs.append(earlier.limit(0), "2001-06-01 06:00:00")
+    runs.append(earlier, "2001-07-01 06:00:00")
+    runs.append(s.table("executive").select("issue_id", "executive_rank", "executive_score"), RUN_AT)
+    return executive.selection_of_run(s.scored(), runs, RUN_AT, limit=5)
+
+
+@query()
+def current_selection(b: Business):
+    """No earlier run has a list, so the issues are ranked now."""
+    s = Stages(b)
+    runs = RunTable(b.spark, own_folder(b.spark, "selections"))
+    runs.append(s.table("executive").select("issue_id", "executive_rank", "executive_score"), RUN_AT)
+    return executive.selection_of_run(s.scored(), runs, RUN_AT)
+
+
 @query()
 def finding_reconciliation(b: Business):
     """What the rules find when they run anew, against the findings that the issues were made of."""
@@ -153,6 +175,7 @@ def _filtered(name: str, module: str, **filters: str):
 
 
 _filtered("sales_finding_list", "sales", severity=" high ", analysis_type="store sales DECLINE")
+_filtered("product_decline_list", "sales", analysis_type=" product SALES decline ")
 _filtered("inventory_finding_list", "inventory", severity="High", store_id="s003")
 _filtered("complaint_finding_list", "complaints", complaint_status="open", complaint_type="Late Delivery")
 _filtered("vendor_finding_list", "vendor_finance", business_area="Procurement", severity="high")
