@@ -20,9 +20,13 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all nodes share: spark.checkpoint.dir, else a folder of the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/_steps").rstrip("/")
+    """The folder that all nodes share: spark.checkpoint.dir, else a folder of the warehouse; on a cluster never a machine's own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("on a cluster set spark.checkpoint.dir to a shared folder")
+    return f"{warehouse}/_steps"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

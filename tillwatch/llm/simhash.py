@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import near_copies
-from .common import stored, text_of
+from .common import blocks, stored, text_of
 from .components import components
 from .decontaminate import row_type
 
@@ -56,7 +55,7 @@ def fingerprints(docs: DataFrame, words_each: int = 3, text: str = "text", carry
         rows = rows.select("row")  # its text is in the row
 
     def run(batches):
-        for batch in batches:
+        for batch in blocks(batches, 4 << 20, text if carry is None else "text"):
             texts = text_of(batch, text if carry is None else "text").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([fingerprint(t, words_each) for t in texts], pa.int64())], ["row", "fp"])
 
@@ -113,7 +112,6 @@ def classes(docs: DataFrame, words_each: int = 3, text: str = "text", carry: lis
     return marked.join(of, "fp")
 
 
-def keep_one(docs: DataFrame, words_each: int = 5, percent: int = 80, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """docs with one row of each class of near copies: the one with the smallest id. The README has copies of a Jaccard similarity
-    of 0.8 to 0.9 at 3 to 11 bits, which the grid can't carry (33 visits for 2 bits, up to 545 for 4): near_copies finds them."""
-    return near_copies.keep_one(docs, words_each, percent, text, id_column)
+def keep_one(docs: DataFrame, words_each: int = 3, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """docs with one row of each class of near copies, the one with the smallest id: shingles and bits as in `classes`."""
+    return classes(docs, words_each, text, None, id_column).where("rid = first").select("row.*")
