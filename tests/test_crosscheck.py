@@ -11,7 +11,10 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 SOME = ("store_sales_decline", "inventory_findings", "vendor_findings", "repeated_complaint_category", "kpi_table", "store_monthly_view",
-        "cleaned_sales", "latest_imports", "document_validation", "consolidated_issues", "evidence_profiles", "recommendations", "task_transitions")
+        "cleaned_sales", "latest_imports", "document_validation", "consolidated_issues", "evidence_profiles", "recommendations", "task_transitions",
+        "stemmed_search", "violation_samples", "dataset_verdicts", "processed_violations", "cleaned_finance", "cleaning_report", "bucketed_upsert", "refresh_log",
+        "complaint_growth_last_full_month", "previous_selection", "task_details", "latest_brief", "ungrounded_causes", "ungrounded_recommendations",
+        "ungrounded_brief", "brief_references", "attention_links")
 NAMES = tuple(entry.oracle_sql()) if os.environ.get("TILLWATCH_ALL") else SOME
 
 

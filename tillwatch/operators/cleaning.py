@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 from tillwatch.functions.text import MISSING_TEXT, fixed, is_missing, lit, round2, text_list
-from tillwatch.operators.quality import iso_date, number, raw_date
+from tillwatch.operators.quality import in_century, iso_date, number, raw_date, short_date
 from tillwatch.operators.templates import aggregates, observed
 from tillwatch.sources.config import DATASETS, LABELS, names
 
@@ -43,7 +43,7 @@ def _canonical(column: str, x: str) -> str:
 
 
 def _cleaned(dataset: str, columns: list[str]) -> tuple[dict[str, str], list[str]]:
-    """Final text and problem expressions over the squeezed columns t_*, in which missing is NULL."""
+    """Final text and problem expressions over the squeezed columns t_*, in which missing is NULL, and the parsed ones p_*."""
     final, problems = {}, []
     ids = [c for c in columns if c == "id" or c.endswith("_id")]
     whole, decimal = names(dataset, "whole"), names(dataset, "decimal")
@@ -54,13 +54,13 @@ def _cleaned(dataset: str, columns: list[str]) -> tuple[dict[str, str], list[str
         elif c in names(dataset, "labels"):
             final[c] = _canonical(c, t)
         elif c in names(dataset, "dates"):
-            final[c] = f"date_format({raw_date(t)}, 'yyyy-MM-dd')"
-            problems.append(f"CASE WHEN {t} IS NULL THEN 'missing {c}' WHEN {raw_date(t)} IS NULL THEN 'invalid {c}' END")
+            final[c] = f"date_format(p_{c}, 'yyyy-MM-dd')"
+            problems.append(f"CASE WHEN {t} IS NULL THEN 'missing {c}' WHEN p_{c} IS NULL THEN 'invalid {c}' END")
         elif c in names(dataset, "months"):
             final[c] = rf"CASE WHEN {t} RLIKE '^\\d{{4}}-(0?[1-9]|1[0-2])$' THEN concat(substring({t}, 1, 5), lpad(substring({t}, 6), 2, '0')) END"
             problems.append(f"CASE WHEN {t} IS NULL THEN 'missing {c}' WHEN NOT {t} RLIKE '^[0-9]{{4}}-(0?[1-9]|1[0-2])$' THEN 'invalid {c}' END")
         elif c in whole or c in decimal:
-            n = f"try_cast({t} AS DOUBLE)"
+            n = f"p_{c}"
             problems.append(f"CASE WHEN {t} IS NOT NULL AND {n} IS NULL THEN 'not numeric {c}' END")
             if c in whole:
                 problems.append(f"CASE WHEN {n} % 1 <> 0 THEN 'not whole {c}' END")
@@ -72,13 +72,22 @@ def _cleaned(dataset: str, columns: list[str]) -> tuple[dict[str, str], list[str
     return final, problems
 
 
+def _parsed(dataset: str, staged: DataFrame, columns: list[str]) -> DataFrame:
+    """Numbers and dates parsed once, as columns p_*: their texts and problems only look at them."""
+    numbers = [c for c in columns if c in names(dataset, "whole") + names(dataset, "decimal") + (["shelf_life_days"] if dataset == "products" else [])]
+    dates = [c for c in columns if c in names(dataset, "dates") + (["expiry_date"] if dataset == "inventory" else [])]
+    first = staged.selectExpr("*", *[f"try_cast(t_{c} AS DOUBLE) AS p_{c}" for c in numbers], *[f"{short_date(f't_{c}')} AS d_{c}" for c in dates])
+    return first.selectExpr("*", *[f"{in_century(f'd_{c}')} AS p_{c}" for c in dates]) if dates else first
+
+
 def clean(dataset: str, raw: DataFrame, products: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Canonical text columns plus `problem` (NULL when the row is usable)."""
     columns = [c for c in raw.columns if c not in names(dataset, "drop")]
     final, problems = _cleaned(dataset, columns)
     staged = raw.selectExpr(*[f"{squeeze(c)} AS t_{c}" for c in columns]).selectExpr(*[f"{known(f't_{c}')} AS t_{c}" for c in columns])
+    staged = _parsed(dataset, staged, columns)
     if dataset == "products":
-        life = number("t_shelf_life_days")
+        life = "p_shelf_life_days"
         flag = _canonical("is_perishable", "t_is_perishable")
         filled = f"{flag} = 'Yes' AND t_shelf_life_days IS NOT NULL"
         final["shelf_life_days"] = (f"CASE WHEN {flag} = 'No' THEN 'NA' WHEN {filled} AND {life} > 0 AND {life} % 1 = 0 "
@@ -94,9 +103,9 @@ def clean(dataset: str, raw: DataFrame, products: DataFrame | None = None, stric
         flags = products.selectExpr("product_id AS flag_id", "is_perishable AS flag")
         staged = staged.selectExpr("*", "upper(t_product_id) AS flag_id").join(flags, "flag_id", "left")
         filled = "flag = 'Yes' AND t_expiry_date IS NOT NULL"
-        final["expiry_date"] = f"CASE WHEN flag = 'No' THEN 'NA' WHEN {filled} THEN date_format({raw_date('t_expiry_date')}, 'yyyy-MM-dd') END"
+        final["expiry_date"] = f"CASE WHEN flag = 'No' THEN 'NA' WHEN {filled} THEN date_format(p_expiry_date, 'yyyy-MM-dd') END"
         problems += ["CASE WHEN flag_id IS NOT NULL AND flag IS NULL THEN 'unknown product_id' END",
-                     f"CASE WHEN {filled} AND {raw_date('t_expiry_date')} IS NULL THEN 'invalid expiry_date' END"]
+                     f"CASE WHEN {filled} AND p_expiry_date IS NULL THEN 'invalid expiry_date' END"]
     problem = f"coalesce({', '.join(problems)}, NULL)" if problems else "CAST(NULL AS STRING)"
     if strict:
         problem = f"CASE WHEN {problem} IS NOT NULL THEN raise_error(concat('{dataset}: ', {problem})) END"

@@ -9,10 +9,19 @@ from tillwatch.operators.templates import aggregates, order_by
 from tillwatch.sources.config import DATASETS, names
 
 
+def short_date(x: str) -> str:
+    """DD-MM-YY text to a date of this century; impossible days are NULL."""
+    return f"CAST(try_to_timestamp(trim({x}), 'd-M-yy') AS DATE)"
+
+
+def in_century(date: str) -> str:
+    """Years 69 to 99 are 1900s."""
+    return f"CASE WHEN year({date}) >= 2069 THEN add_months({date}, -1200) ELSE {date} END"
+
+
 def raw_date(x: str) -> str:
-    """DD-MM-YY text to a date; years 69 to 99 are 1900s, impossible days are NULL."""
-    parsed = f"CAST(try_to_timestamp(trim({x}), 'd-M-yy') AS DATE)"
-    return f"CASE WHEN year({parsed}) >= 2069 THEN add_months({parsed}, -1200) ELSE {parsed} END"
+    """DD-MM-YY text to a date."""
+    return in_century(short_date(x))
 
 
 def iso_date(x: str) -> str:

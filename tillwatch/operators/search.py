@@ -117,7 +117,7 @@ def rank(alternatives: list[dict], places: dict[str, list[int]]) -> int | None:
 
 def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        scores = [rank(json.loads(p), {x["word"]: list(x["positions"]) for x in found}) for p, found in zip(batch["parts"], batch["found"])]
+        scores = [rank(json.loads(p), {x["word"]: [int(p) for p in x["positions"]] for x in found}) for p, found in zip(batch["parts"], batch["found"])]
         batch["score"] = pd.array(scores, dtype="Int64")
         yield batch.loc[batch["score"].notna(), ["query_id", "unit_id", "score"]]
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwatch.operators import (
@@ -23,8 +25,13 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all nodes share: the cluster's checkpoint folder, else one in the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_stages").rstrip("/")
+    """The folder that all nodes share: the cluster's checkpoint folder, else one in the warehouse; on a cluster never a machine's own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("on a cluster set spark.checkpoint.dir to a shared folder")
+    return f"{warehouse}/_stages"
 
 
 def own_folder(spark: SparkSession, name: str) -> str:
@@ -32,11 +39,6 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tillwatch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-
-
 class Stages:
     def __init__(self, b: Business):
         self.b = b
@@ -46,14 +48,23 @@ class Stages:
         """Read a stage, writing it first when this application has not yet done so."""
         app = self.spark.sparkContext.applicationId
         slot = (app, self.b.sf_dir, name)
-        path = _WRITTEN.get(slot)
-        if path is None or not _exists(self.spark, path):
-            digest = hashlib.sha256(self.b.sf_dir.encode()).hexdigest()[:12]
-            path = f"{shared_folder(self.spark)}/tillwatch/{app}/{digest}/{name}"
-            (build or getattr(self, f"_{name}"))().write.mode("overwrite").parquet(path)
-            _WRITTEN[slot] = path
+        if slot in _WRITTEN:
+            try:
+                return self.spark.read.parquet(_WRITTEN[slot])
+            except AnalysisException:  # the folder was cleared
+                pass
+        digest = hashlib.sha256(self.b.sf_dir.encode()).hexdigest()[:12]
+        path = f"{shared_folder(self.spark)}/tillwatch/{app}/{digest}/{name}"
+        (build or getattr(self, f"_{name}"))().write.mode("overwrite").parquet(path)
+        _WRITTEN[slot] = path
         return self.spark.read.parquet(path)
 
+    def together(self, prefix: str, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Write independent tables as stages of their own, all at once: their jobs share the cluster instead of waiting for each other."""
+        with ThreadPoolExecutor(max_workers=len(parts)) as pool:
+            written = {name: pool.submit(self.table, f"{prefix}_{name}", lambda df=df: df) for name, df in parts.items()}
+        return {name: future.result() for name, future in written.items()}
+
     # ---- loaded business tables that several rules read -------------------------
     def _sales(self) -> DataFrame:
         """By store, product and month: every rule and context adds up months, so the lines themselves are not copied."""
@@ -83,7 +94,7 @@ class Stages:
         }
 
     def _findings(self) -> DataFrame:
-        return issues.with_issue_key(issues.all_findings(self.families()))
+        return issues.with_issue_key(issues.all_findings(self.together("family", self.families())))
 
     def _issues(self) -> DataFrame:
         return issues.consolidate(self.table("findings")).selectExpr("*", f"TIMESTAMP_NTZ '{RUN_AT}' AS last_detected_at")
@@ -136,7 +147,10 @@ class Stages:
         return rootcause.product_sales_context(self.table("sales"))
 
     def _root_causes(self) -> DataFrame:
-        return rootcause.analyses(self.table("issues"), self.table("evidence"), self.contexts(), RUN_AT)
+        issues_, evidence = self.table("issues"), self.table("evidence")
+        contexts = self.contexts()
+        fresh = {name: df for name, df in contexts.items() if name != "product_sales"}  # that one is a stage already
+        return rootcause.analyses(issues_, evidence, contexts | self.together("context", fresh), RUN_AT)
 
     def _reviewed_causes(self) -> DataFrame:
         """Root causes as reviewers left them after an earlier run."""
