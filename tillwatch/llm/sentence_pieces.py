@@ -4,8 +4,12 @@ The model's protobuf is parsed here: pieces with scores and types, model kind, n
 normaliser (character map, extra blanks, dummy prefix, metaspace marker), the unigram model with its scores, or for a BPE model
 its merges in the order of the scores, byte fallback, and the matching decoder. If no piece has the marker behind another
 character, texts are cut before each run of markers: no piece can cross such a cut, so the ids stay the same, and each distinct
-word of a block is encoded once. Batches are encoded by the library's threads. Every text is also encoded by the sentencepiece library: where the two differ,
-its ids are taken and `parity` is false, so the output always is what the model's own library gives.
+word of a block is encoded once. Batches are encoded by the library's threads, and the ids that are given out are the tokenizers'.
+
+Parity is verified with the sentencepiece library. If texts are cut and the normaliser only marks blanks, each distinct word is
+checked once, when it is first met: no piece crosses a cut, so equal words make equal texts. Any other model is checked text by text.
+Where the libraries differ, the ids of the model's own library are given out, `parity` is false in every row that is touched, and
+counting these rows counts the repairs.
 
 Defined results: a null text gives null ids, tokens and flags; an empty text gives no ids; repeated rows are encoded alike; an
 empty table gives an empty result; texts of any length are encoded whole; other columns stay untouched.
@@ -17,7 +21,7 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -142,36 +146,53 @@ def backend(data: bytes):
 class Encoder:
     """Encodes whole texts; the ids of distinct words are kept, up to `keep` of them. Ids travel as bytes of 32-bit numbers."""
 
-    def __init__(self, data: bytes, keep: int = 150_000):
-        self.tokenizer = backend(data)
+    def __init__(self, data: bytes, keep: int = 150_000, tokenizer=None, words=None):
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.tokenizer = tokenizer or backend(data)
         model = parsed(data)
         self.cut = separable(model)
         #: Without a character map or blanks to merge, the normaliser only marks blanks.
         self.plain = not model.character_map and not model.single_blanks and model.escape_blanks
         self.prefix = MARK if model.dummy_prefix else ""
-        self.words, self.keep = backend(data), keep
+        self.words, self.keep = words or backend(data), keep
         if self.cut:  # it gets normalised words
             self.words.normalizer = self.words.pre_tokenizer = None
         self.known: dict[str, bytes] = {}
+        #: Words whose ids are those of the model's own library, as the tokenizers' differ.
+        self.repaired: set[str] = set()
         #: What each id stands for in a decoded text.
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        pack = lambda encodings: [array("i", e.ids).tobytes() for e in encodings]
-        if not self.cut:
-            return pack(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-        normal = (lambda t: self.prefix + t.replace(" ", MARK)) if self.plain else self.tokenizer.normalizer.normalize_str
-        cut = [_WORDS(normal(t)) if t else [] for t in texts]
+    def packed(self, texts: list[str], threads: int = 1) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text, and whether both libraries agree on them."""
+        pack = lambda ids: array("i", ids).tobytes()
+        if not (self.cut and self.plain):
+            own = [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            wanted = [pack(x) for x in self.library.encode(texts, num_threads=threads)]
+            return wanted, [a == b for a, b in zip(own, wanted, strict=True)]
+        cut = [_WORDS(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
         new = list(set(chain.from_iterable(cut)).difference(self.known))
         if len(self.known) + len(new) > self.keep:
-            self.known, new = {}, list(set(chain.from_iterable(cut)))
-        self.known.update(zip(new, pack(self.words.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+            self.known, self.repaired, new = {}, set(), list(set(chain.from_iterable(cut)))
+        own = [pack(e.ids) for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        # the library puts its own mark in front of a text, so the word is given without it
+        bare = [w[len(self.prefix) :].replace(MARK, " ") if w.startswith(MARK) else w for w in new]
+        for k, ids in enumerate(self.library.encode(bare, num_threads=threads)):
+            if not bare[k]:  # one blank at the end of a text: an empty text has no mark
+                ids = self.library.encode("a ")[len(self.library.encode("a")) :]
+            if own[k] != (ids := pack(ids)):
+                own[k] = ids
+                self.repaired.add(new[k])
+        self.known.update(zip(new, own, strict=True))
+        same = [True] * len(texts) if not self.repaired else [self.repaired.isdisjoint(words) for words in cut]
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut], same
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [array("i", x).tolist() for x in self.packed(texts)]
+        return [array("i", x).tolist() for x in self.packed(texts)[0]]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         """Texts of ids: the bytes of the pieces. Where they aren't valid UTF-8, the tokenizers decoder decides."""
         out = []
         for row in ids:
@@ -179,22 +200,20 @@ class Encoder:
                 text = b"".join(map(self.surface.__getitem__, row)).decode()
                 out.append(text[1:] if self.prefix and text.startswith(" ") else text)
             except UnicodeDecodeError:
-                out.append(self.tokenizer.decode(row, skip_special_tokens=False))
+                out.append(self.tokenizer.decode(list(row), skip_special_tokens=False))
         return out
 
 
 _WORDS = re.compile(WORD).findall
-_LOADED: dict[int, tuple] = {}
-
+_LOADED: dict[int, Encoder] = {}
 
-def loaded(data: bytes):
-    """Both libraries' encoders, made once per worker."""
-    import sentencepiece
 
+def loaded(data: bytes) -> Encoder:
+    """The encoder, made once per worker."""
     key = hash(data)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoder(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+        _LOADED[key] = Encoder(data)
     return _LOADED[key]
 
 
@@ -205,7 +224,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encoded(docs: DataFrame, model_path: str | None = None, text: str = "text", threads: int = 1, block_bytes: int = 1 << 20) -> DataFrame:
+def encoded(docs: DataFrame, model_path: str | None = None, text: str = "text", threads: int = 2, block_bytes: int = 1 << 20) -> DataFrame:
     """docs as `row` with ids, decoded (the text of the ids), and parity."""
     path = model_path or default_model()
     if os.path.getsize(path) > MAX_MODEL_BYTES:
@@ -217,19 +236,19 @@ def encoded(docs: DataFrame, model_path: str | None = None, text: str = "text",
     def run(batches):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        ours, theirs = loaded(sent.value)
+        encoder = loaded(sent.value)
         for block in blocks(batches, block_bytes, text):
             texts = text_of(block, text).to_pylist()
             given = [t for t in texts if t is not None]
-            wanted = theirs.encode(given, num_threads=threads)
-            packed = [array("i", x).tobytes() for x in wanted]
-            same = iter([a == b for a, b in zip(ours.packed(given), packed, strict=True)])
-            back = iter(ours.decode(wanted))
+            packed, agreed = encoder.packed(given, threads)
+            flat = np.frombuffer(b"".join(packed), dtype=np.int32)
+            lengths = [len(x) // 4 for x in packed]
+            back, same = iter(encoder.decode([array("i", x) for x in packed])), iter(agreed)
             none = np.array([t is None for t in texts], dtype=bool)
             sizes = np.zeros(len(texts), dtype=np.int32)
-            sizes[~none] = [len(x) for x in wanted]
+            sizes[~none] = lengths
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False)), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([
                 block.column("row"), ids, pa.array([None if t is None else next(back) for t in texts], pa.string()),
                 pa.array([None if t is None else next(same) for t in texts], pa.bool_())], ["row", "ids", "decoded", "parity"])
