@@ -1,7 +1,7 @@
 """Language identification: averaged embeddings of hashed subwords with a linear softmax, trained by stochastic gradient descent.
 
 Subwords are byte n-grams of the lower-cased text. The model is two small tables, fitted in numpy on the driver on a bounded
-sample of labelled rows (`rows_each` for each label, at most `most_labels` labels), and broadcast. A fifth of the sample
+sample of labelled rows (`rows_each` of every label, `most_rows` and `most_bytes` in all), and broadcast. A fifth of the sample
 calibrates: a temperature for the probabilities, and the score under which a prediction counts as rejected so that the accepted
 ones keep the wanted accuracy. Prediction averages over all subwords of the whole text.
 
@@ -28,8 +28,8 @@ GRAMS = (2, 3, 4)
 @dataclass(frozen=True)
 class Fit:
     rows_each: int = 1500
-    most_labels: int = 256
-    text_bytes: int = 1 << 18
+    most_rows: int = 30_000
+    most_bytes: int = 128 << 20
     buckets: int = 1 << 15
     width: int = 8
     epochs: int = 6
@@ -133,7 +133,7 @@ def fitted(sample: pa.Table, fit: Fit) -> Model | None:
 def predicted(docs: DataFrame, fit: Fit = Fit(), text: str = "text", lang: str = "lang", ident: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """docs as `row` with held_out, lang_pred, score (calibrated probability) and rejected."""
     learn = docs.where(~held_out(ident) & F.col(f"`{ident}`").isNotNull() & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    model = fitted(labelled_sample(learn.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{lang}`").alias("label"), F.col(f"`{text}`").alias("text")), fit.rows_each, fit.most_labels, fit.text_bytes), fit)
+    model = fitted(labelled_sample(learn.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{lang}`").alias("label"), F.col(f"`{text}`").alias("text")), fit.rows_each, fit.most_rows, fit.most_bytes), fit)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), held_out(ident).alias("held_out"), F.col(f"`{text}`").alias("text"))
 
