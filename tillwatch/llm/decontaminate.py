@@ -1,8 +1,9 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-The test phrases (windows of ten words of each benchmark item; a shorter item is one window) go to every task; the benchmark is
-sent in parts of at most `part_bytes` of text, one pass each, so what a broadcast holds is bounded however large the benchmark
-is. A shard is a block of documents of about `block_bytes`. Its index holds, as word numbers, the runs of words that the part
+The test phrases (windows of ten words of each benchmark item; a shorter item is one window) go to every task. A benchmark of more
+than `part_bytes` of text is searched for part by part: one part is collected, broadcast, and its hits are written before its
+broadcast is destroyed and the next part comes, so driver and tasks hold one part at a time. Equal items count once; an item of
+more than part_bytes is in a part by itself. A shard is a block of documents of about `block_bytes`. Its index holds, as word numbers, the runs of words that the part
 knows and that are long enough for its shortest phrase; no phrase can occur outside. Phrases are searched backwards through the
 wavelet matrix, located by sampled suffix positions, and merged into removal spans. Documents are never shuffled.
 
@@ -13,7 +14,6 @@ any length and a text of any length are handled whole; other columns of the docu
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Ranges, blocks, find_words, lower_ascii, mix, text_buffers, text_of, whole_rows
+from .common import ALNUM, Ranges, blocks, find_words, lower_ascii, stored, text_buffers, text_of, whole_rows
 from .fm_index import FMIndex
 
 SPAN = "array<struct<start:bigint,end:bigint>>"
@@ -59,7 +59,7 @@ def phrases(ids: list, texts: list, window: int) -> Phrases:
 
 def parts(benchmark: DataFrame, window: int, part_bytes: int, item: str = "item_id", text: str = "text") -> Iterator[Phrases]:
     """The benchmark in parts of bounded size, told apart by a hash of the item."""
-    rows = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t"))
+    rows = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     n = int(size // part_bytes) + 1
     for k in range(n if size else 0):
@@ -170,11 +170,17 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: in
     out = whole_rows(docs)
     row = out.schema["row"].dataType.simpleString()
     schema = f"row {row_type(out)}, n_words bigint, hits {SPAN}, items array<string>" if row else ""
-    sent = [docs.sparkSession.sparkContext.broadcast(p) for p in parts(benchmark, window, part_bytes)] or [None]
-    for k, part in enumerate(sent):
-        last = cut and k == len(sent) - 1
-        out = out.mapInArrow(marker(part, block_bytes, text, last), schema + (", clean string" if last else ""))
-    return out
+    waiting = parts(benchmark, window, part_bytes)
+    part = next(waiting, None)
+    while True:
+        sent = docs.sparkSession.sparkContext.broadcast(part) if part is not None else None
+        part = next(waiting, None)  # two at a time in the driver, one in the tasks
+        last = cut and part is None
+        out = out.mapInArrow(marker(sent, block_bytes, text, last), schema + (", clean string" if last else ""))
+        if part is None:
+            return out
+        out = stored(out, "hits")
+        sent.destroy()
 
 
 def row_type(frame: DataFrame) -> str:
@@ -200,5 +206,3 @@ def digest(marked: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
 
-
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
