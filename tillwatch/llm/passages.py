@@ -13,7 +13,8 @@ compared. Neighbouring windows with the same anchor form a segment; a text of n
 
 An anchor with over `most_kinds` different segments (a common phrase inside ever different text) would make a large shard. Its
 segments are cut into single windows, which are counted by their hash in a plain grouping, however many there are.
-Places name their text by its id and a 64-bit hash, so repeated rows and ids, and null ids, do no harm.
+Places name their text by its id and a 64-bit hash. Rows that share both are one text: their pieces are passed on once by the shard,
+and the spans of a text are gathered as a set, so n repeated rows, also with null ids, cost n times one of them.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def by_shard(find: Finder):
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         pieces: list[Piece] = []
-        current = None
+        current = last = None
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("shard", "anchor", "seg", "lead", "n", "copies", "body")]
             for shard, anchor, seg, lead, n, copies, body in zip(*columns, strict=True):
@@ -182,6 +183,9 @@ def by_shard(find: Finder):
                     yield solved(pieces)
                     pieces = []
                 current = shard
+                if (anchor, seg) == last:  # the same text stood in several rows with one id
+                    continue
+                last = anchor, seg
                 pieces.append(Piece((anchor, seg), lead, n, copies, body))
         if pieces:
             yield solved(pieces)
@@ -189,13 +193,26 @@ def by_shard(find: Finder):
     return run
 
 
-def covered(texts: DataFrame, grid: Grid, find: Finder) -> DataFrame:
-    """texts(id, th, text) -> (id, th, spans): the spans of units to remove, for texts that have any; spans may overlap."""
+def placed(texts: DataFrame, grid: Grid) -> DataFrame:
+    """(id, th, anchor, seg, start, lead, n): the segments of texts(id, th, text)."""
     ident = texts.schema["id"].dataType.simpleString()
-    places = stored(texts.mapInArrow(scan(grid), f"id {ident}, th bigint, anchor bigint, seg bigint, start bigint, lead int, n int"), "places")
+    return texts.mapInArrow(scan(grid), f"id {ident}, th bigint, anchor bigint, seg bigint, start bigint, lead int, n int")
+
+
+def recurring(places: DataFrame) -> DataFrame:
+    """The places whose anchor stands in more than one."""
     # A written table, so that the join's sides are plain shuffles and a hot anchor can be split among tasks.
-    recurring = stored(places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
-    places = stored(places.join(recurring, "anchor", "left_semi"), "recurring")
+    often = stored(places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
+    return stored(places.join(often, "anchor", "left_semi"), "recurring")
+
+
+def covered(texts: DataFrame, grid: Grid, find: Finder) -> DataFrame:
+    """texts(id, th, text) -> (id, th, spans): the spans of units to remove, for texts that have any; spans may overlap."""
+    return settled(recurring(stored(placed(texts, grid), "places")), texts, grid, find)
+
+
+def settled(places: DataFrame, texts: DataFrame, grid: Grid, find: Finder) -> DataFrame:
+    """(id, th, spans) of the texts with the given places, whose windows are compared with each other where they share an anchor."""
     of_first = [F.first(c).alias(c) for c in ("id", "th", "start", "lead", "n")]
     kinds = stored(places.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), *of_first), "kinds")
     size = kinds.agg(F.coalesce(F.sum((F.col("n") + grid.window) * (7 if grid.words else 1)), F.lit(0))).first()[0]
@@ -208,16 +225,16 @@ def covered(texts: DataFrame, grid: Grid, find: Finder) -> DataFrame:
     pieces = stored(chosen.mapInArrow(run, schema), "pieces")
     shards = int(size // grid.shard_bytes) + 1
     whole = (
-        pieces.where("off < 0").withColumn("shard", F.pmod("anchor", F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "seg")
+        pieces.where("off < 0").withColumn("shard", F.pmod("anchor", F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "anchor", "seg")
         .mapInArrow(by_shard(find), f"anchor bigint, seg bigint, spans {SPANS}")
     )
     single = pieces.where("off >= 0")
     twice = single.groupBy("window").agg(F.sum("copies").alias("times")).where("times > 1").select("window")
     off = F.col("off").cast("bigint")
-    split = single.join(twice, "window", "left_semi").select("anchor", "seg", F.array(F.struct(off.alias("start"), (off + grid.window).alias("end"))).alias("spans"))
+    split = single.join(twice, "window", "left_semi").select("anchor", "seg", F.array(F.struct(off.alias("start"), (off + grid.window).alias("end"))).alias("spans")).distinct()
     found = whole.union(split)
     moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
-    return places.join(found, ["anchor", "seg"]).select("id", "th", moved.alias("spans")).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return places.join(found, ["anchor", "seg"]).select("id", "th", moved.alias("spans")).groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def kept_parts(grid: Grid):
@@ -249,11 +266,19 @@ def kept_parts(grid: Grid):
     return run, f"n_units bigint, removed {SPANS}, kept binary"
 
 
+def texts_of(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    return docs.select(F.col(f"`{ident}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
+
+
 def without_recurring(docs: DataFrame, grid: Grid, find: Finder, text: str = "text", ident: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """docs as `row` (its columns, or those of carry) with n_units, removed (merged spans of units) and kept (UTF-8 bytes)."""
+    return without_spans(docs, covered(texts_of(docs, text, ident), grid, find), grid, text, ident, carry)
+
+
+def without_spans(docs: DataFrame, spans: DataFrame, grid: Grid, text: str = "text", ident: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """docs as `row` with n_units, removed and kept, given the spans (id, th, spans) of their texts."""
+    found = spans.select(F.col("id").alias("f_id"), F.col("th").alias("f_th"), "spans")
     value, th = F.col(f"`{text}`"), F.xxhash64(F.col(f"`{text}`"))
-    texts = docs.select(F.col(f"`{ident}`").alias("id"), th.alias("th"), value.alias("text"))
-    found = covered(texts, grid, find).select(F.col("id").alias("f_id"), F.col("th").alias("f_th"), "spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(f"`{ident}`").alias("id"), th.alias("th"), value.alias("text"))
     both = rows.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left").select("row", "text", "spans")
     run, extra = kept_parts(grid)

@@ -7,6 +7,11 @@ and, merged in order, against the part of each level that has its anchors. A win
 where two passages agree on o bytes before and W - o bytes after it: in both orders such passages stand together, between places
 where the common length falls below. Then levels of equal size are merged, which keeps every passage in log(n) merges.
 
+`LevelIndex` keeps the family as written tables, so that batches of documents can come one after the other: a batch becomes a level,
+sorted by anchor; its passages are scanned together with those of all levels that share an anchor; levels of about equal size are
+merged. Documents of earlier batches get new spans where a later one repeats them, so after any number of batches the spans are
+those of one run over all. A batch that is added again replaces itself.
+
 Defined results: a null text is empty; texts shorter than a window lose nothing; of equal strings all are removed, the first one
 too, also where they overlap in one document; repeated rows are each other's copies; empty tables give empty results. Removed
 bytes may split a character, so what is left is binary.
@@ -17,9 +22,10 @@ from __future__ import annotations
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .passages import Grid, Piece, without_recurring
+from .passages import Grid, Piece, placed, recurring, settled, texts_of, without_recurring, without_spans
 
 GRID = Grid(words=False, window=200, gram=32, block_bytes=3 << 19)
 BATCH = 1024
@@ -120,3 +126,56 @@ def finder(window: int, gram: int, batch: int = BATCH):
 
 def without_repeats(docs: DataFrame, grid: Grid = GRID, **columns) -> DataFrame:
     return without_recurring(docs, grid, finder(grid.window, grid.gram), **columns)
+
+
+LEVELS = "batch bigint, level int, folder string, size bigint"
+
+
+class LevelIndex:
+    """Suffix levels in a folder: texts and spans by batch, and the levels that the last row of the log for each batch number names."""
+
+    def __init__(self, spark: SparkSession, root: str, grid: Grid = GRID):
+        self.spark, self.root, self.grid = spark, root.rstrip("/"), grid
+
+    def levels(self, before: int | None = None) -> list[tuple[str, int]]:
+        """(folder, size) of the levels after the last batch, or before the given one; largest first."""
+        log = self.spark.read.schema(LEVELS).json(f"{self.root}/log")
+        log = log if before is None else log.where(F.col("batch") < before)
+        rows = log.join(log.agg(F.max("batch").alias("last")), F.col("batch") == F.col("last")).dropDuplicates(["level"]).orderBy("level").collect()
+        return [(r["folder"], r["size"]) for r in rows]
+
+    def add(self, docs: DataFrame, batch: int, text: str = "text", ident: str = "doc_id") -> None:
+        """Scan a batch against itself and all levels, then take it in as a level. Batches are numbered from 0."""
+        texts_of(docs, text, ident).write.mode("overwrite").parquet(f"{self.root}/texts/batch={batch}")
+        texts = self.spark.read.parquet(f"{self.root}/texts/batch={batch}")
+        fresh = self._written(placed(texts, self.grid), f"{self.root}/levels/batch={batch}-new")
+        levels = self.levels(batch) if batch else []
+        places = fresh
+        if levels:
+            mine = fresh.select("anchor").distinct()
+            places = fresh.unionByName(self.spark.read.parquet(*[f for f, _ in levels]).join(mine, "anchor", "left_semi"))
+            texts = self.spark.read.parquet(*[f"{self.root}/texts/batch={k}" for k in range(batch + 1)])
+        spans = settled(recurring(places), texts, self.grid, finder(self.grid.window, self.grid.gram))
+        spans.write.mode("overwrite").parquet(f"{self.root}/spans/batch={batch}")
+        levels = [*levels, (f"{self.root}/levels/batch={batch}-new", fresh.count())]
+        while len(levels) > 1 and levels[-1][1] * 2 > levels[-2][1]:
+            (low, a), (high, b) = levels.pop(), levels.pop()
+            folder = f"{self.root}/levels/batch={batch}-{len(levels)}"
+            self._written(self.spark.read.parquet(high, low), folder)
+            levels.append((folder, a + b))
+        rows = [(batch, k, folder, size) for k, (folder, size) in enumerate(levels)]
+        self.spark.createDataFrame(rows, LEVELS).coalesce(1).write.mode("append").json(f"{self.root}/log")
+
+    def _written(self, places: DataFrame, folder: str) -> DataFrame:
+        places.repartitionByRange("anchor", "seg").sortWithinPartitions("anchor", "seg").write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(places.schema).parquet(folder)
+
+    def spans(self) -> DataFrame:
+        """(id, th, spans) of all texts that have any."""
+        last = self.spark.read.schema(LEVELS).json(f"{self.root}/log").agg(F.max("batch")).first()[0]
+        every = self.spark.read.parquet(*[f"{self.root}/spans/batch={k}" for k in range(last + 1)])
+        return every.select("id", "th", F.explode("spans").alias("s")).groupBy("id", "th").agg(F.collect_set("s").alias("spans"))
+
+    def without_repeats(self, docs: DataFrame, text: str = "text", ident: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+        """Documents of any batch, without the bytes that recur in any of them."""
+        return without_spans(docs, self.spans(), self.grid, text, ident, carry)
