@@ -124,3 +124,41 @@ def test_keep_one_of_copies(odd):
     texts = [r.text for r in kept.collect()]
     assert Counter(texts)["The quick brown fox jumps over the lazy dog. " * 8] == 1
     assert simhash.keep_one(odd.limit(0)).count() == 0
+
+
+def test_keep_one_of_each_class(docs):
+    """The stage of the pipeline: one row, the first id, of every class of the SimHash operator."""
+    rows = docs.select("doc_id", "text").collect()
+    prints = [plain_fingerprint(r.text, 3) for r in rows]
+    label = roots(set(prints), lambda a, b: (a ^ b).bit_count() <= 2)
+    least = {}
+    for r, p in zip(rows, prints, strict=True):
+        least[label[p]] = min(least.get(label[p], r.doc_id), r.doc_id)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(least.values())
+
+
+@pytest.mark.parametrize("kind", UNITS)
+def test_many_repeated_rows(spark, kind):
+    """A thousand equal rows with one id, a thousand with none, a thousand with ids of their own: all covered, in bounded time."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text)] * 1000 + [(None, text)] * 1000 + [(10 + i, text) for i in range(1000)] + [(5000, "short"), (None, None)]
+    out = UNITS[kind][0].without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = Counter((r.n_units > 1 and sum(s["end"] - s["start"] for s in r.removed) == r.n_units, bytes(r.kept)) for r in out.collect())
+    assert got[True, b""] == 3000 and sum(got.values()) == 3002
+
+
+def test_batches_against_written_levels(spark, docs, odd, tmp_path):
+    """Three batches, one of them added twice: what is removed is what one run over all removes; levels grow geometrically."""
+    frame = docs.select("doc_id", "text").union(odd.select(odd.doc_id + 10**6, "text"))
+    rows = frame.collect()
+    index = suffix_levels.LevelIndex(spark, str(tmp_path / "index"))
+    batches = [rows[0::3], rows[1::3], rows[2::3], []]
+    for k, some in enumerate(batches):
+        index.add(spark.createDataFrame(some, frame.schema), k)
+        if k == 1:
+            index.add(spark.createDataFrame(some, frame.schema), k)
+    sizes = [n for _, n in index.levels()]
+    assert all(2 * b <= a for a, b in zip(sizes, sizes[1:], strict=False)) and len(sizes) <= 3
+    want = sorted(removed_by_force([r.text for r in rows], 200, UNITS["bytes"][2], UNITS["bytes"][3]))
+    got = index.without_repeats(frame).collect()
+    assert sorted((r.n_units, sum(s.end - s.start for s in r.removed), bytes(r.kept)) for r in got) == want

@@ -108,6 +108,19 @@ def test_positions_inside_layers():
         assert any(abs(s - a) <= slack and abs(e - b) <= slack + 1 and s <= a and e >= b for s, e in found), (name, found, a, b)
 
 
+def test_base64_over_several_lines():
+    """Wrapped at 64 and 76 characters, also inside a compressed stream; the span covers the lines."""
+    draw = random.Random(1)
+    noise = bytes(draw.randrange(33, 127) for _ in range(400))
+    for width, end in ((64, "\n"), (76, "\r\n")):
+        for inner in (gzip.compress(noise + b" " + SECRET.encode()), b"plain words " * 9 + SECRET.encode()):
+            code = base64.b64encode(inner).decode()
+            text = "head\n" + end.join(code[i : i + width] for i in range(0, len(code), width)) + "\n-- tail"
+            spans = [s for s in secret_scan.scan_text(text)[1] if s[0] == 0 and s[3].startswith("/lines/base64")]
+            assert spans or width == 64 and inner[:5] == b"plain"
+            assert all(5 <= a < b <= len(text) - 5 for _, a, b, _ in spans)
+
+
 def test_streams_that_end_nowhere():
     """Oversized streams are reported, broken ones passed by, layers seen before are not unwrapped again."""
     bomb = base64.b64encode(zlib.compress(b"a" * 5_000_000)).decode()

@@ -5,6 +5,7 @@ and each result is put on a worklist as a layer of its own, to be scanned and un
 
 - url: the percent escapes of a layer, as UTF-8
 - unicode: backslash escapes (u, U, x) and HTML character references of a layer
+- lines: base64 that is broken over lines of 40 characters or more, put together
 - base64: runs of the plain or the URL alphabet that give text or a compressed stream
 - packed: gzip, zlib, bzip2, xz and zstandard streams inside base64, also nested
 
@@ -82,6 +83,8 @@ class Layer:
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});")
+#: A line break inside base64.
+_BREAK = re.compile(r"(?<=[A-Za-z0-9+/]{40})\r?\n(?=[A-Za-z0-9+/])(?=(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?(?![A-Za-z0-9+/=]))")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 
 
@@ -266,6 +269,8 @@ class Scan:
             yield inner
         if ("\\" in text or "&" in text) and (inner := unescaped(layer, "unicode", _ESCAPE, _escaped)):
             yield inner
+        if "\n" in text and (inner := unescaped(layer, "lines", _BREAK, lambda _: ())):
+            yield inner
         for m in _BASE64.finditer(text):
             yield from self.run(layer, m[0], m.start(), found, seen) or self.parts(layer, m, found, seen)
 
