@@ -38,10 +38,19 @@ def changed_fields(expected: DataFrame, returned: DataFrame, key: str, texts: tu
 
 def unsupported(returned: DataFrame, allowed: DataFrame, what: str) -> DataFrame:
     """(key, deviation, detail) of the returned (key, value) that the allowed (key, value) do not hold."""
-    found = returned.select("key", "value").distinct().join(allowed.select("key", "value").distinct(), ["key", "value"], "left_anti")
+    found = _not_held(returned, allowed, ["key", "value"])
     return found.selectExpr("key", f"{lit('unsupported ' + what)} AS deviation", "value AS detail")
 
 
+def _not_held(rows: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct rows that `held` lacks, as an anti-join gives them (NULL equals nothing): one aggregate over both sides.
+
+    Long texts are estimated far too small, so a join would send a whole side through the driver as a broadcast."""
+    known = held.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+    both = rows.selectExpr(*columns, "FALSE AS held").unionByName(known.selectExpr(*columns, "TRUE AS held"))
+    return both.groupBy(*columns).agg(*aggregates({"held": "bool_or(held)"})).where("NOT held").drop("held")
+
+
 def mentions(texts: DataFrame) -> DataFrame:
     """(key, kind, word, number): ids and numbers in the texts (key, text), each once; ids are taken out before numbers are looked for."""
     rest = f"regexp_replace(text, '{IDENTIFIER}', ' ')"
@@ -55,8 +64,9 @@ def unknown_mentions(texts: DataFrame, facts: DataFrame, tolerance: float = 0.00
     """(key, deviation, detail) of ids and numbers in the texts (key, text) that are in no fact (key, text) of the same item."""
     said, known = mentions(texts), mentions(facts)
     bucket = f"CAST(floor(number / {tolerance}D) AS BIGINT)"
-    ids = said.where("kind = 'id'").join(known.where("kind = 'id'").select("key", "word"), ["key", "word"], "left_anti").select("key", "kind", "word")
+    ids = _not_held(said.where("kind = 'id'"), known.where("kind = 'id'"), ["key", "word"]).selectExpr("key", "'id' AS kind", "word")
     near = known.where("kind = 'number'").selectExpr("key", f"explode(array({bucket} - 1, {bucket}, {bucket} + 1)) AS bucket", "number AS fact")
-    numbers = said.where("kind = 'number'").selectExpr("key", "kind", "word", "number", f"{bucket} AS bucket").join(near, ["key", "bucket"], "left").groupBy(
+    # the numbers of all items: too many to be sent to every task, whatever their texts are estimated at
+    numbers = said.where("kind = 'number'").selectExpr("key", "kind", "word", "number", f"{bucket} AS bucket").join(near.hint("merge"), ["key", "bucket"], "left").groupBy(
         "key", "kind", "word").agg(*aggregates({"close": f"coalesce(bool_or(abs(number - fact) <= {tolerance}D), FALSE)"})).where("NOT close").select("key", "kind", "word")
     return ids.unionByName(numbers).selectExpr("key", "concat('unknown ', kind) AS deviation", "word AS detail")
