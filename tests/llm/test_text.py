@@ -9,6 +9,8 @@ import struct
 from array import array
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +229,40 @@ def test_a_wrong_rebuild_shows_and_is_repaired(spark, monkeypatch):
     assert [list(array("i", x)) for x in ids] == theirs.encode(texts)
 
 
+def test_distinct_words_are_encoded_as_one_list():
+    """Words are cut in Arrow as the pattern cuts them; the new ones of a block are one input of the tokenizers, and known ones none."""
+    import sentencepiece
+
+    texts = ["", " ", "a", " a", "a ", "  a  b ", "a\nb c\t", "é日本 the\nend", "▁x ▁▁ y▁", "the " * 50, "x" * 3000] + [f"w{k} w{k % 7}" for k in range(500)]
+    for prefix in ("▁", ""):
+        words, ends = sentence_pieces.cut_words(pa.array(texts, pa.string()), prefix and " ")
+        wanted = [re.findall(sentence_pieces.WORD, prefix + t.replace(" ", "▁")) if t else [] for t in texts]
+        assert [w.replace(" ", "▁") for w in words.to_pylist()] == [w for part in wanted for w in part]
+        assert np.diff(ends).tolist() == [len(part) for part in wanted]
+
+    class Counted:
+        inputs = 0
+
+        def __init__(self, inner):
+            inner.normalizer = inner.pre_tokenizer = None
+            self.inner = inner
+
+        def encode_batch_fast(self, batch, **options):
+            self.inputs += len(batch)
+            return self.inner.encode_batch_fast(batch, **options)
+
+    with open(sentence_pieces.default_model(), "rb") as file:
+        data = file.read()
+    encoder = sentence_pieces.Encoder(data, words=Counted(sentence_pieces.backend(data)))
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
+    for _ in range(2):
+        ids, same = encoder.packed(texts)
+        assert [list(array("i", x)) for x in ids] == theirs.encode(texts) and all(same) and encoder.words.inputs == 1
+    flat, sizes, _ = encoder.ids_of(pa.array(texts))
+    assert encoder.decoded(flat, sizes).to_pylist() == theirs.decode(theirs.encode(texts)) == encoder.decode(theirs.encode(texts))
+    assert encoder.packed([]) == ([], []) and encoder.decoded(*encoder.ids_of(pa.array([], pa.string()))[:2]).to_pylist() == []
+
+
 def test_model_kinds_are_checked():
     with pytest.raises(ValueError):
         sentence_pieces.backend(message((2, message((3, 3)))))

@@ -4,7 +4,8 @@ The model's protobuf is parsed here: pieces with scores and types, model kind, n
 normaliser (character map, extra blanks, dummy prefix, metaspace marker), the unigram model with its scores, or for a BPE model
 its merges in the order of the scores, byte fallback, and the matching decoder. If no piece has the marker behind another
 character, texts are cut before each run of markers: no piece can cross such a cut, so the ids stay the same, and each distinct
-word of a block is encoded once. Batches are encoded by the library's threads, and the ids that are given out are the tokenizers'.
+word of a block is encoded once. Words are cut, told apart and put together again in Arrow, so Python sees only distinct ones. Whole texts are encoded by
+the library's threads, words as one list. The ids that are given out are the tokenizers'.
 
 Parity is verified with the sentencepiece library. If texts are cut and the normaliser only marks blanks, each distinct word is
 checked once, when it is first met: no piece crosses a cut, so equal words make equal texts. Any other model is checked text by text.
@@ -18,7 +19,6 @@ empty table gives an empty result; texts of any length are encoded whole; other
 from __future__ import annotations
 
 import os
-import re
 import struct
 from array import array
 from collections.abc import Iterator, Sequence
@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,34 +165,73 @@ class Encoder:
         self.repaired: set[str] = set()
         #: What each id stands for in a decoded text.
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+        #: Pieces that stand for no text of their own.
+        self.unknown = [k for k, (_, _, kind) in enumerate(model.pieces) if kind in (UNKNOWN, CONTROL)]
+        self.surfaces = pa.array(self.surface, pa.binary())
 
-    def packed(self, texts: list[str], threads: int = 1) -> tuple[list[bytes], list[bool]]:
-        """The ids of each text, and whether both libraries agree on them."""
-        pack = lambda ids: array("i", ids).tobytes()
+    def ids_of(self, texts: pa.Array, threads: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts without nulls: all ids one after the other, how many each text has, and whether both libraries agree on them."""
         if not (self.cut and self.plain):
-            own = [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            wanted = [pack(x) for x in self.library.encode(texts, num_threads=threads)]
-            return wanted, [a == b for a, b in zip(own, wanted, strict=True)]
-        cut = [_WORDS(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
+            given = texts.to_pylist()
+            own = [_pack(e.ids) for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
+            wanted = [_pack(x) for x in self.library.encode(given, num_threads=threads)]
+            same = np.array([a == b for a, b in zip(own, wanted, strict=True)], dtype=bool)
+            return np.frombuffer(b"".join(wanted), dtype=np.int32), np.array([len(x) // 4 for x in wanted], dtype=np.int64), same
+        words, ends = cut_words(texts, self.prefix)
+        coded = words.dictionary_encode()
+        distinct, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices
+        self.learn(distinct, threads)
+        known = [self.known[w] for w in distinct]
+        sizes = np.array([len(x) // 4 for x in known], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(known), dtype=np.int32)))
+
+        def per_text(amounts: np.ndarray) -> np.ndarray:
+            return np.diff(np.append(0, np.cumsum(amounts[which.to_numpy()], dtype=np.int64))[ends])
+
+        wrong = np.array([w.replace(" ", MARK) in self.repaired for w in distinct], dtype=np.int32) if self.repaired else np.zeros(len(distinct), dtype=np.int32)
+        return lists.take(which).flatten().to_numpy(), per_text(sizes), per_text(wrong) == 0
+
+    def learn(self, words: list[str], threads: int = 1) -> None:
+        """Puts the ids of distinct words into `known`; a word has blanks where its pieces have markers."""
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.keep:
-            self.known, self.repaired, new = {}, set(), list(set(chain.from_iterable(cut)))
-        own = [pack(e.ids) for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+            self.known, self.repaired, new = {}, set(), words
+        marked = [w.replace(" ", MARK) for w in new]
         # the library puts its own mark in front of a text, so the word is given without it
-        bare = [w[len(self.prefix) :].replace(MARK, " ") if w.startswith(MARK) else w for w in new]
-        for k, ids in enumerate(self.library.encode(bare, num_threads=threads)):
-            if not bare[k]:  # one blank at the end of a text: an empty text has no mark
-                ids = self.library.encode("a ")[len(self.library.encode("a")) :]
-            if own[k] != (ids := pack(ids)):
-                own[k] = ids
-                self.repaired.add(new[k])
-        self.known.update(zip(new, own, strict=True))
-        same = [True] * len(texts) if not self.repaired else [self.repaired.isdisjoint(words) for words in cut]
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut], same
+        bare = [w[len(self.prefix) :] if w.startswith(" ") else w for w in new]
+        wanted = self.library.encode(bare, num_threads=threads)
+        if "" in bare:  # one blank at the end of a text: an empty text has no mark
+            wanted[bare.index("")] = self.library.encode("a ")[len(self.library.encode("a")) :]
+        flat = np.fromiter(chain.from_iterable(wanted), dtype=np.int32)
+        # as one list of words, which is one encoding: an object for every word costs more than its pieces
+        whole = np.array(self.words.encode_batch_fast([marked], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=np.int32) if new else flat
+        # pieces spell their words, so equal ids are cut at equal places; unknown ones spell nothing and are compared word by word
+        if not np.array_equal(whole, flat) or np.isin(flat, self.unknown).any():
+            own = self.words.encode_batch_fast(marked, add_special_tokens=False)
+            self.repaired.update(w for w, mine, ids in zip(marked, own, wanted, strict=True) if mine.ids != list(ids))
+        raw, ends = flat.tobytes(), (4 * np.cumsum(np.fromiter(map(len, wanted), dtype=np.int64, count=len(wanted)))).tolist()
+        self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+
+    def packed(self, texts: list[str], threads: int = 1) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text, and whether both libraries agree on them."""
+        flat, sizes, same = self.ids_of(pa.array(texts, pa.string()), threads)
+        return [x.tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])] if texts else [], same.tolist()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [array("i", x).tolist() for x in self.packed(texts)[0]]
 
+    def decoded(self, flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """`decode` of a block of texts: the bytes of the pieces, taken at once."""
+        ends = np.append(0, np.cumsum(sizes))
+        pieces = pa.concat_arrays([self.surfaces.take(pa.array(flat)), pa.array([b""])])
+        at = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[ends]
+        texts = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(at), pieces.buffers()[2])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            return pa.array(self.decode([x.tolist() for x in np.split(flat, ends[1:-1])]), pa.string())
+        return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts) if self.prefix else texts
+
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         """Texts of ids: the bytes of the pieces. Where they aren't valid UTF-8, the tokenizers decoder decides."""
         out = []
@@ -204,7 +244,27 @@ class Encoder:
         return out
 
 
-_WORDS = re.compile(WORD).findall
+def _pack(ids: Sequence[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def cut_words(texts: pa.Array, prefix: str) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of the texts one after the other, as `WORD` cuts them, with blanks for markers; and how many there are up to each text."""
+    texts = pc.replace_substring(texts.cast(pa.string()), MARK, " ")
+    if prefix:
+        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, ""))
+    texts = pa.concat_arrays([texts, pa.array([""])])  # buffers of its own, and an end
+    data = texts.buffers()[2] or pa.py_buffer(b"")
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[: len(texts)]
+    blank = np.frombuffer(data, dtype=np.uint8)[: ends[-1]] == ord(" ")
+    starts = blank.copy()
+    starts[1:] &= ~blank[:-1]
+    starts[ends[:-1][np.diff(ends) > 0]] = True
+    at = np.flatnonzero(starts).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, ends[-1]).astype(np.int32)), data)
+    return words, np.searchsorted(at, ends)
+
+
 _LOADED: dict[int, Encoder] = {}
 
 
@@ -238,20 +298,17 @@ def encoded(docs: DataFrame, model_path: str | None = None, text: str = "text",
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         encoder = loaded(sent.value)
         for block in blocks(batches, block_bytes, text):
-            texts = text_of(block, text).to_pylist()
-            given = [t for t in texts if t is not None]
-            packed, agreed = encoder.packed(given, threads)
-            flat = np.frombuffer(b"".join(packed), dtype=np.int32)
-            lengths = [len(x) // 4 for x in packed]
-            back, same = iter(encoder.decode([array("i", x) for x in packed])), iter(agreed)
-            none = np.array([t is None for t in texts], dtype=bool)
-            sizes = np.zeros(len(texts), dtype=np.int32)
-            sizes[~none] = lengths
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            texts = text_of(block, text)
+            given = texts.drop_null()
+            flat, sizes, agreed = encoder.ids_of(given, threads)
+            none = texts.is_null().to_numpy(zero_copy_only=False)
+            place = pa.array(np.cumsum(~none) - 1, mask=none)
+            lengths = np.zeros(len(texts), dtype=np.int32)
+            lengths[~none] = sizes
+            ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([
-                block.column("row"), ids, pa.array([None if t is None else next(back) for t in texts], pa.string()),
-                pa.array([None if t is None else next(same) for t in texts], pa.bool_())], ["row", "ids", "decoded", "parity"])
+            yield pa.RecordBatch.from_arrays(
+                [block.column("row"), ids, encoder.decoded(flat, sizes).take(place), pa.array(agreed).take(place)], ["row", "ids", "decoded", "parity"])
 
     return rows.mapInArrow(run, f"row {row_type(rows)}, ids array<int>, decoded string, parity boolean")
 
