@@ -6,7 +6,7 @@ import os
 import re
 
 from tillwatch.functions.text import clean_column, clean_column_or_nan, clean_text, clean_text_or_nan
-from tillwatch.operators import grounding, rootcause, sales
+from tillwatch.operators import grounding, issues, rootcause, sales
 from tillwatch.plans import stages
 from tillwatch.sources.business import Business
 
@@ -24,6 +24,19 @@ def test_a_context_writes_only_the_stage_it_reads(spark, tmp_path, monkeypatch):
         assert {os.path.basename(path) for path in stages._WRITTEN.values()} == written
 
 
+def test_findings_are_written_once(spark, tmp_path, monkeypatch):
+    """Each family with its issue keys, read as one table: no stage holds the findings a second time."""
+    monkeypatch.setattr(stages, "_WRITTEN", {})
+    monkeypatch.setattr(stages, "shared_folder", lambda spark: str(tmp_path))
+    s = stages.Stages(Business(spark, "/root/testdata/sf0.001"))
+    found = s.table("findings")
+    whole = issues.with_issue_key(issues.all_findings(s.families()))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert found.schema.simpleString() == whole.schema.simpleString() and rows(found) == rows(whole) != []
+    folders = {name for *_, names in [(p, d) for p, d, _ in os.walk(tmp_path)] for name in names}
+    assert {f"findings_{module}" for module in issues.MODULES} <= folders and "findings" not in folders and not any(f.startswith("family") for f in folders)
+
+
 def test_grounding_sends_no_table_to_every_task(spark):
     returned = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", None), (None, "x")], "key string, value string")
     allowed = spark.createDataFrame([("a", "x"), ("b", None), (None, "x"), ("c", "y")], "key string, value string")

@@ -45,7 +45,8 @@ class Stages:
         self.spark = b.spark
 
     def table(self, name: str, build=None) -> DataFrame:
-        """Read a stage, writing it first when this application has not yet done so."""
+        """Read a stage, writing it first when this application has not yet done so. A stage that is built in parts is written part by part
+        and read as one table."""
         app = self.spark.sparkContext.applicationId
         slot = (app, self.b.sf_dir, name)
         if slot in _WRITTEN:
@@ -55,7 +56,12 @@ class Stages:
                 pass
         digest = hashlib.sha256(self.b.sf_dir.encode()).hexdigest()[:12]
         path = f"{shared_folder(self.spark)}/tillwatch/{app}/{digest}/{name}"
-        (build or getattr(self, f"_{name}"))().write.mode("overwrite").parquet(path)
+        made = build() if build else getattr(self, f"_{name}")()
+        if isinstance(made, dict):
+            self.together(name, made)
+            path = f"{path}_{{{','.join(made)}}}"
+        else:
+            made.write.mode("overwrite").parquet(path)
         _WRITTEN[slot] = path
         return self.spark.read.parquet(path)
 
@@ -93,8 +99,9 @@ class Stages:
             "vendor_finance": vendors.unionByName(stores),
         }
 
-    def _findings(self) -> DataFrame:
-        return issues.with_issue_key(issues.all_findings(self.together("family", self.families())))
+    def _findings(self) -> dict[str, DataFrame]:
+        """By family: the issue key is made row by row, so each family is written once, with it."""
+        return {module: issues.with_issue_key(issues.harmonise(df, module)) for module, df in self.families().items()}
 
     def _issues(self) -> DataFrame:
         return issues.consolidate(self.table("findings")).selectExpr("*", f"TIMESTAMP_NTZ '{RUN_AT}' AS last_detected_at")
