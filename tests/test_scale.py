@@ -7,7 +7,7 @@ import re
 
 from tillwatch.functions.text import clean_column, clean_column_or_nan, clean_text, clean_text_or_nan
 from tillwatch.operators import grounding, issues, rootcause, sales
-from tillwatch.plans import stages
+from tillwatch.plans import all_queries, stages
 from tillwatch.sources.business import Business
 
 
@@ -37,6 +37,15 @@ def test_findings_are_written_once(spark, tmp_path, monkeypatch):
     assert {f"findings_{module}" for module in issues.MODULES} <= folders and "findings" not in folders and not any(f.startswith("family") for f in folders)
 
 
+def test_a_brief_reads_the_lines_once(spark, tmp_path, monkeypatch):
+    """KPIs and texts are stages: no plan of a brief goes back to the order lines."""
+    monkeypatch.setattr(stages, "_WRITTEN", {})
+    monkeypatch.setattr(stages, "shared_folder", lambda spark: str(tmp_path))
+    b = Business(spark, "/root/testdata/sf0.001")
+    for name in ("ungrounded_brief", "brief_summary", "daily_brief"):
+        assert "lineitem" not in plan(all_queries()[name](spark, b.sf_dir))
+
+
 def test_grounding_sends_no_table_to_every_task(spark):
     returned = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", None), (None, "x")], "key string, value string")
     allowed = spark.createDataFrame([("a", "x"), ("b", None), (None, "x"), ("c", "y")], "key string, value string")

@@ -267,10 +267,11 @@ def numbered_kpis(b: Business) -> DataFrame:
 
 
 def brief_parts(b: Business):
+    """The KPIs and the one row of texts as stages: a brief reads both many times, and they are made of all lines, issues and tasks."""
     s = Stages(b)
-    kpis = numbered_kpis(b)
-    texts = brief.attention_and_summary(brief.totals(
-        s.table("previous_issues"), s.table("stored_recommendations"), s.table("tasks"), kpis, RUN_DATE))
+    kpis = s.table("brief_kpis", lambda: numbered_kpis(b))
+    texts = s.table("brief_texts", lambda: brief.attention_and_summary(brief.totals(
+        s.table("previous_issues"), s.table("stored_recommendations"), s.table("tasks"), kpis, RUN_DATE)))
     return s, kpis, texts
 
 
@@ -379,6 +380,10 @@ def ungrounded_brief(b: Business):
 
 
 def reference_rows(b: Business) -> DataFrame:
+    return Stages(b).table("brief_references", lambda: _references(b))
+
+
+def _references(b: Business) -> DataFrame:
     s, kpis, texts = brief_parts(b)
     top = workflow.top_open_issues(s.table("previous_issues"), s.table("evidence"), s.table("reviewed_causes"))
     listed = workflow.recommendation_list(s.table("stored_recommendations"), s.table("issues"), 10)
