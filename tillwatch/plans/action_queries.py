@@ -355,7 +355,7 @@ def ungrounded_recommendations(b: Business):
         f"if({size} % 4 = 0, date_add(suggested_deadline, 1), suggested_deadline) AS suggested_deadline", "expected_impact", "status", "confidence_score",
     ).unionByName(made.orderBy("issue_id").limit(1).selectExpr(
         "'ISSUE-UNKNOWN' AS issue_id", "recommendation_title", "suggested_owner_role", "suggested_deadline", "expected_impact", "status", "confidence_score"))
-    steps = recommend.action_steps(made).join(made.select("recommendation_id", "issue_id"), "recommendation_id").selectExpr("issue_id AS key", "explode(steps) AS value")
+    steps = s.table("action_steps", lambda: recommend.action_steps(made)).join(made.select("recommendation_id", "issue_id"), "recommendation_id").selectExpr("issue_id AS key", "explode(steps) AS value")
     more = made.where(f"{size} % 5 = 0").selectExpr("issue_id AS key", "'Do something else.' AS value")
     return together(
         grounding.changed_fields(made, returned, "issue_id", ("recommendation_title", "suggested_owner_role", "suggested_deadline", "expected_impact", "status"), ("confidence_score",)),
