@@ -191,3 +191,11 @@ def test_vendor_context_sorts_no_deliveries(spark):
     direct = deliveries.groupBy("vendor_id").agg(*aggregates({"vendor_name": "max(vendor_name)", **vendor_finance.DELIVERY_METRICS}))
     assert made.schema.simpleString() == direct.schema.simpleString() and sorted(map(str, made.collect())) == sorted(map(str, direct.collect()))
     assert "HashAggregate" in plan(made) and "HashAggregate" not in plan(direct)
+
+
+def test_texts_are_searched_once(spark):
+    """Both sides of the comparison of numbers read one shuffle of the words found."""
+    texts = spark.createDataFrame([("a", "FIN-X1 cost 10.00 and 7"), ("b", "S-1 and 3")], "key string, text string")
+    unknown = grounding.unknown_mentions(texts, texts.where("key = 'a'"))
+    assert [(r.key, r.detail) for r in unknown.orderBy("detail").collect()] == [("b", "3"), ("b", "S-1")]
+    assert "ReusedExchange" in plan_after(unknown)

@@ -51,22 +51,34 @@ def _not_held(rows: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame
     return both.groupBy(*columns).agg(*aggregates({"held": "bool_or(held)"})).where("NOT held").drop("held")
 
 
-def mentions(texts: DataFrame) -> DataFrame:
-    """(key, kind, word, number): ids and numbers in the texts (key, text), each once; ids are taken out before numbers are looked for."""
+def _found(texts: DataFrame) -> DataFrame:
+    """(key, kind, word, number): every id and number in the texts (key, text); ids are taken out before numbers are looked for."""
     rest = f"regexp_replace(text, '{IDENTIFIER}', ' ')"
     found = texts.selectExpr(
         "key", f"concat(transform(regexp_extract_all(text, '{IDENTIFIER}', 0), x -> struct('id' AS kind, x AS word)), "
                f"transform(regexp_extract_all({rest}, '{NUMBER}', 0), x -> struct('number' AS kind, x AS word))) AS found").selectExpr("key", "inline(found)")
-    return found.selectExpr("key", "kind", "word", "CASE WHEN kind = 'number' THEN try_cast(replace(word, ',', '') AS DOUBLE) END AS number").distinct()
+    return found.selectExpr("key", "kind", "word", "CASE WHEN kind = 'number' THEN try_cast(replace(word, ',', '') AS DOUBLE) END AS number")
+
+
+def mentions(texts: DataFrame) -> DataFrame:
+    """(key, kind, word, number): ids and numbers in the texts (key, text), each once."""
+    return _found(texts).distinct()
 
 
 def unknown_mentions(texts: DataFrame, facts: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """(key, deviation, detail) of ids and numbers in the texts (key, text) that are in no fact (key, text) of the same item."""
-    said, known = mentions(texts), mentions(facts)
+    """(key, deviation, detail) of ids and numbers in the texts (key, text) that are in no fact (key, text) of the same item.
+
+    Each text and fact is searched once: one aggregate tells the words that a fact has as they are written, and only the rest is
+    compared with the numbers of the facts. Both sides of that join are filtered on its result alone, so they share its shuffle."""
     bucket = f"CAST(floor(number / {tolerance}D) AS BIGINT)"
-    ids = _not_held(said.where("kind = 'id'"), known.where("kind = 'id'"), ["key", "word"]).selectExpr("key", "'id' AS kind", "word")
-    near = known.where("kind = 'number'").selectExpr("key", f"explode(array({bucket} - 1, {bucket}, {bucket} + 1)) AS bucket", "number AS fact")
+    # a fact's number that equals itself within the tolerance, so no infinite one
+    known = f"CASE WHEN kind = 'id' OR abs(number - number) <= {tolerance}D THEN 2 ELSE 0 END"
+    both = _found(texts).selectExpr("*", "1 AS mark").unionByName(_found(facts).where("key IS NOT NULL").selectExpr("*", f"{known} AS mark"))
+    words = both.groupBy("key", "kind", "word", "number").agg(*aggregates({"marks": "bit_or(mark)"}))
+    place = lambda shift: f"struct(key, {bucket} + {shift} AS bucket, number AS fact)"
+    # outer: an inner one would filter the words before they are added up, and the shuffle would not be the same
+    near = words.where("marks >= 2").selectExpr(f"inline_outer(if(kind = 'number', array({place(-1)}, {place(0)}, {place(1)}), NULL))")
     # the numbers of all items: too many to be sent to every task, whatever their texts are estimated at
-    numbers = said.where("kind = 'number'").selectExpr("key", "kind", "word", "number", f"{bucket} AS bucket").join(near.hint("merge"), ["key", "bucket"], "left").groupBy(
-        "key", "kind", "word").agg(*aggregates({"close": f"coalesce(bool_or(abs(number - fact) <= {tolerance}D), FALSE)"})).where("NOT close").select("key", "kind", "word")
-    return ids.unionByName(numbers).selectExpr("key", "concat('unknown ', kind) AS deviation", "word AS detail")
+    rest = words.where("marks = 1").selectExpr("key", "kind", "word", "number", f"{bucket} AS bucket").join(near.hint("merge"), ["key", "bucket"], "left").groupBy(
+        "key", "kind", "word").agg(*aggregates({"close": f"coalesce(bool_or(abs(number - fact) <= {tolerance}D), FALSE)"})).where("NOT close")
+    return rest.selectExpr("key", "concat('unknown ', kind) AS deviation", "word AS detail")

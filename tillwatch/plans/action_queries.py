@@ -333,7 +333,7 @@ def ungrounded_causes(b: Business):
     returned = causes.selectExpr(
         "issue_id", "if(evidence_count % 11 = 0, 'A guess', root_cause_category) AS root_cause_category", "concat(' ', root_cause_summary) AS root_cause_summary",
         "if(evidence_count % 7 = 0, confidence_score + 1, confidence_score + 0.0000001D) AS confidence_score")
-    factors = rootcause.split_factors(causes).selectExpr("issue_id AS key", "explode(factors) AS value")
+    factors = s.table("factors", lambda: rootcause.split_factors(causes)).selectExpr("issue_id AS key", "explode(factors) AS value")
     cited = s.table("evidence").selectExpr("issue_id AS key", "source_finding_id AS value")
     extra = lambda every, value: causes.where(f"evidence_count % {every} = 0").selectExpr("issue_id AS key", f"'{value}' AS value")
     texts = causes.selectExpr("issue_id AS key", "concat(root_cause_explanation, if(evidence_count % 2 = 0, ' It cost 98,765.43 under FIN-X99-1.', '')) AS text")
